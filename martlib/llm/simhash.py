@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from martlib.llm.common import map_texts, materialize, read
 from martlib.llm.components import connected_components
 
-SHINGLE, SEED, SEGMENTS, BITS = 3, 42, 16, 64
-WIDTH = BITS // SEGMENTS
+SHINGLE, SEED, SEGMENTS, BITS = 3, 42, 32, 64
+#: Bits of a segment, and bits that hold its count.
+WIDTH = FIELD = BITS // SEGMENTS
 #: Hashes whose bits are counted at a time, so that a long text needs bounded memory.
 BLOCK = 16_384
 
@@ -54,29 +55,32 @@ def add_fingerprint(df: DataFrame, text: str = "text", drop: tuple[str, ...] = (
     return map_texts(df, text, [T.StructField("simhash", T.LongType())], lambda: lambda texts: [[fingerprint(t) for t in texts]], drop)
 
 
-def _counts(fp: Column) -> list[Column]:
-    mask = (1 << WIDTH) - 1
-    return [F.bit_count(F.shiftrightunsigned(fp, WIDTH * k).bitwiseAND(F.lit(mask))).cast("long") for k in range(SEGMENTS)]
-
-
 def _point(fp: Column) -> Column:
-    """The grid point as one number: four bits for each segment's count."""
-    total = F.lit(0).cast("long")
-    for k, c in enumerate(_counts(fp)):
-        total = total.bitwiseXOR(F.shiftleft(c, 4 * k))
+    """The grid point as one number: FIELD bits for each segment's count."""
+    mask, total = (1 << WIDTH) - 1, F.lit(0).cast("long")
+    for k in range(SEGMENTS):
+        bits = F.shiftrightunsigned(fp, WIDTH * k).bitwiseAND(F.lit(mask))
+        total = total.bitwiseOR(F.shiftleft(F.bit_count(bits).cast("long"), FIELD * k))
     return total
 
 
-def neighbour_links(fps: DataFrame) -> DataFrame:
-    """(a, b) links between fingerprints (column fp, distinct) such that fingerprints within two bits are connected through
-    fingerprints within two bits, and no others are."""
+def grid_cells(fps: DataFrame) -> DataFrame:
+    """(fp, k, d, cell): each fingerprint's own cell (k = -1) and those one step up or down (d) in segment k."""
     grid = fps.select("fp", _point(F.col("fp")).alias("point"))
     steps = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).alias("d")), *[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d")) for k in range(SEGMENTS) for d in (1, -1)])
-    moved = F.when(F.col("s.k") < 0, F.col("point")).otherwise(F.col("point") + F.col("s.d") * F.expr("shiftleft(1L, 4 * greatest(s.k, 0))"))
-    count = F.expr("shiftrightunsigned(point, 4 * greatest(s.k, 0)) & 15")
+    full = (1 << FIELD) - 1
+    count = F.expr(f"shiftrightunsigned(point, {FIELD} * greatest(s.k, 0)) & {full}L")
+    moved = F.expr(f"(point & ~shiftleft({full}L, {FIELD} * greatest(s.k, 0))) | shiftleft((shiftrightunsigned(point, {FIELD} * greatest(s.k, 0)) & {full}L) + s.d, {FIELD} * greatest(s.k, 0))")
     inside = (F.col("s.k") < 0) | ((F.col("s.d") == 1) & (count < WIDTH)) | ((F.col("s.d") == -1) & (count > 0))
-    cells = grid.select("fp", "point", F.explode(steps).alias("s")).where(inside).select("fp", "s.k", "s.d", moved.alias("cell"))
-    met = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("cell")
+    return grid.select("fp", "point", F.explode(steps).alias("s")).where(inside).select("fp", "s.k", "s.d", moved.alias("cell"))
+
+
+def neighbour_links(fps: DataFrame) -> DataFrame:
+    """(a, b) links between fingerprints (column fp, distinct) such that fingerprints within two bits are connected through
+    fingerprints within two bits, and no others are."""
+    cells = grid_cells(fps)
+    # Written first, so that its size is known: while few cells are shared, the join below needs no shuffle.
+    met = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cells")
     shared = cells.join(met, "cell", "left_semi")
     # The values of the cell within one bit: fp itself, or fp with one 0 (d = 1) or 1 (d = -1) of segment k turned over.
     bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: WIDTH * F.col("k") + i), lambda p: F.getbit("fp", p) == F.when(F.col("d") == 1, 0).otherwise(1))
