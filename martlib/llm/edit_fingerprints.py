@@ -114,16 +114,20 @@ def _agreeing(a: Column, b: Column) -> Column:
 def similar_documents(prints: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
     """(a, b, likeness): links between documents (columns key, fingerprint) that share a band, verified on all bins.
 
-    Exact copies collapse to their least key first. In each band's bucket every member is compared with the least key of the
-    bucket, so a bucket of any size costs one comparison for each member and no pairs are formed. Null keys are left out.
+    Documents of one fingerprint are linked to the least key among them, which alone stands for them further on. In each
+    band's bucket every member is compared with the least key of the bucket, so a bucket of any size costs one comparison for
+    each member and no pairs are formed. Null keys are left out.
     """
-    one = prints.where(F.col(key).isNotNull()).groupBy("fingerprint").agg(F.min(key).alias("key"))
+    known = prints.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "fingerprint")
+    one = known.groupBy("fingerprint").agg(F.min("key").alias("key"))
+    equal = known.withColumnRenamed("key", "b").join(one.withColumnRenamed("key", "a"), "fingerprint").where("a <> b").select("a", "b", F.lit(1.0).alias("likeness")).distinct()
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring("fingerprint", width * i + 1, F.lit(width)).alias("v")))
     placed = one.select("key", "fingerprint", F.explode(band).alias("band"))
     heads = placed.groupBy("band").agg(F.min_by(F.struct("key", "fingerprint"), "key").alias("head"))
     links = placed.join(heads, "band").where("key <> head.key").select("head.key", F.col("key").alias("other"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-    return links.select(F.col("key").alias("a"), F.col("other").alias("b"), _agreeing(F.col("fa"), F.col("fb")).alias("likeness")).where(F.col("likeness") >= least)
+    near = links.select(F.col("key").alias("a"), F.col("other").alias("b"), _agreeing(F.col("fa"), F.col("fb")).alias("likeness")).where(F.col("likeness") >= least)
+    return equal.unionByName(near)
 
 
 def by_descending_id(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:

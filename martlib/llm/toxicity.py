@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-Each word enters as a word embedding and the mean of its character 3-gram embeddings. Forward and backward GRUs read a
+Each word enters as a word embedding and the mean of the embeddings of its GRAM-byte character grams. Forward and backward GRUs read a
 window of WINDOW words; attention weighs their states; one logistic unit scores the window. A text's score is the highest
 over all its windows, which overlap by WINDOW - STRIDE words. Training sees bounded samples of labelled rows: in a toxic
 text the window that scores highest carries the label, in any other text every sampled window does.
@@ -19,12 +19,12 @@ from pyspark.sql import types as T
 
 from martlib.llm.common import map_texts, read
 
-WINDOW, STRIDE, THRESHOLD = 40, 32, 0.3
+WINDOW, STRIDE, GRAM, THRESHOLD = 40, 32, 5, 0.3
 #: Bounds of training: labelled documents drawn of each class, the longest text drawn (code points), and the vocabulary.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, VOCABULARY, GRAMS = 700, 1200, 20_000, 6000, 4096
-EMBED, CHARS, HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 8, 8, 6, 128, 0.01, 7
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, VOCABULARY, GRAMS = 1000, 2500, 20_000, 6000, 16_384
+EMBED, CHARS, HIDDEN, STEPS, BATCH, RATE, SLOW, DECAY, DROP, SEED = 8, 8, 8, 200, 128, 0.015, 0.1, 0.3, 0.2, 7
 #: Words whose gates a worker keeps, and windows that it reads side by side.
-CACHE_WORDS, SIDE_BY_SIDE = 400_000, 2048
+CACHE_WORDS, SIDE_BY_SIDE = 150_000, 2048
 _WORD = re.compile(r"\w+")
 
 
@@ -42,26 +42,33 @@ def _sigmoid(x):
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(flat gram numbers, sizes): the byte 3-grams of each `<word>`, all words at once."""
-    parts = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
-    sizes = np.array([len(x) for x in parts]) - 2
+    """(flat gram numbers, sizes): the GRAM-byte grams of each `<word>`, all words at once; short words are padded to one."""
+    parts = [f"<{w}>".encode("utf-8", "surrogatepass").ljust(GRAM, b">") for w in words]
+    sizes = np.array([len(x) for x in parts]) - (GRAM - 1)
     b = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    flat = (b[:-2] * 7919 + b[1:-1] * 211 + b[2:]) % GRAMS
-    ends = np.cumsum(sizes + 2)[:-1]
-    return np.delete(flat, np.concatenate([ends - 2, ends - 1])) if len(ends) else flat, sizes
+    flat = np.zeros(len(b) - GRAM + 1, np.int64)
+    for k in range(GRAM):
+        flat = flat * 263 + b[k : k + len(flat)]
+    flat = (flat ^ flat >> 17) % GRAMS
+    inside = np.ones(len(flat), bool)  # not across two words
+    for k in range(1, GRAM):
+        inside[np.cumsum(sizes + GRAM - 1)[:-1] - k] = False
+    return flat[inside], sizes
 
 
 class Network:
     """Parameters P: word and gram embeddings, the two GRUs (gates z, r, n), attention and output."""
 
-    def __init__(self, vocabulary: list[str], prior: np.ndarray | None = None):
+    def __init__(self, vocabulary: list[str], prior: np.ndarray | None = None, gram_prior: np.ndarray | None = None):
         rng = np.random.default_rng(SEED)
         self.at = {w: i + 1 for i, w in enumerate(vocabulary)}  # 0: any other word
         h, d = HIDDEN, EMBED + CHARS
         f = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
-        self.P = {"word": f(len(vocabulary) + 1, EMBED) * 0.3, "gram": f(GRAMS, CHARS) * 0.3, "att": f(2 * h), "out": f(2 * h), "bias": np.array([-1.0], np.float32)}
+        self.P = {"word": f(len(vocabulary) + 1, EMBED) * 0.1, "gram": f(GRAMS, CHARS) * 0.1, "att": f(2 * h), "out": f(2 * h), "bias": np.array([-1.0], np.float32)}
         if prior is not None:
             self.P["word"][1:, 0] = prior  # how much more often training saw the word in toxic texts
+        if gram_prior is not None:
+            self.P["gram"][:, 0] = gram_prior
         for way in "fb":
             self.P |= {f"W{way}": f(d, 3 * h), f"U{way}": f(h, 3 * h), f"c{way}": np.zeros(3 * h, np.float32)}
 
@@ -194,7 +201,9 @@ class Trainer:
         for k, g in G.items():
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            P[k] -= (RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
+            if k in ("word", "gram"):
+                P[k] *= 1 - RATE * DECAY
+            P[k] -= (RATE * (SLOW if k in ("word", "gram") else 1.0) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
 
 
 class Scorer:
@@ -262,6 +271,12 @@ class Scorer:
             yield owner[at : at + SIDE_BY_SIDE], self.net.scores(self.rows, part, None)
 
 
+def _evidence(a: int, n: int, b: int, m: int) -> float:
+    """How many standard errors apart a word's shares of toxic (a of n) and other (b of m) texts are."""
+    p = (a + b + 1) / (n + m + 2)
+    return (a / max(n, 1) - b / max(m, 1)) / (p * (1 - p) * (1 / max(n, 1) + 1 / max(m, 1))) ** 0.5
+
+
 def train(rows: list[tuple[str, int]]) -> Network:
     """A network from (text, label) rows; deterministic for equal rows in equal order."""
     rng = np.random.default_rng(SEED)
@@ -272,20 +287,29 @@ def train(rows: list[tuple[str, int]]) -> Network:
     for w, y in texts:
         seen[y].update(set(w))
     both = seen[0] + seen[1]
-    vocabulary = sorted((w for w in both if both[w] >= 3), key=lambda w: (-both[w], w))[:VOCABULARY]
-    prior = np.array([np.log((seen[1][w] + 0.5) / (sizes[1] + 1)) - np.log((seen[0][w] + 0.5) / (sizes[0] + 1)) for w in vocabulary], np.float32)
-    net = Network(vocabulary, np.clip(prior, -3, 3) / 3 if len(vocabulary) else None)
+    vocabulary = sorted((w for w in both if both[w] >= 5), key=lambda w: (-both[w], w))[:VOCABULARY]
+    prior = np.array([_evidence(seen[1][w], sizes[1], seen[0][w], sizes[0]) for w in vocabulary], np.float32)
+    grams = (np.zeros(GRAMS), np.zeros(GRAMS))
+    for w, y in texts:
+        grams[y][np.unique(grams_of(list(set(w)))[0])] += 1
+    gram_prior = np.array([_evidence(a, sizes[1], b, sizes[0]) if a + b >= 5 else 0.0 for a, b in zip(grams[1], grams[0], strict=True)], np.float32)
+    net = Network(vocabulary, np.clip(prior, -10, 10) / 4 if len(vocabulary) else None, np.clip(gram_prior, -10, 10) / 2)
     if not texts or not all(sizes):
         net.P["bias"][0] = 4.0 if sizes[1] else -4.0
         net.P["out"][:] = 0
         return net
     trainer = Trainer(net)
-    weight = dict(zip(vocabulary, prior.tolist(), strict=True))
+    every = list(dict.fromkeys(v for w, _ in texts for v in w))
+    inputs = net.embed(every)
+    weight = dict(zip(every, np.maximum(inputs[:, 0], 2 * inputs[:, EMBED]).tolist(), strict=True))
     spans = [windows_of(len(w)) for w, _ in texts]
-    for epoch in range(EPOCHS):
+    epoch = -1
+    while trainer.t < STEPS:
+        epoch += 1
         picked: list[tuple[list[str], int]] = []
         if epoch == 0:  # at first, the window with the words most peculiar to toxic texts
-            hardest = [int(np.argmax([max(weight.get(v, 0) for v in w[a:b]) for a, b in own])) for (w, _), own in zip(texts, spans, strict=True)]
+            of_word = [[weight.get(v, 0.0) for v in w] for w, _ in texts]
+            hardest = [int(np.argmax([max(of[a:b]) for a, b in own])) for of, own in zip(of_word, spans, strict=True)]
         else:
             found: list[list[float]] = [[] for _ in texts]
             for i, p in Scorer(net).windows([w for w, _ in texts]):
@@ -299,7 +323,8 @@ def train(rows: list[tuple[str, int]]) -> Network:
         order = rng.permutation(len(picked))
         for at in range(0, len(order), BATCH):
             some = [picked[i] for i in order[at : at + BATCH]]
-            trainer.step([w for w, _ in some], np.array([y for _, y in some], np.float32))
+            lost = [rng.random(len(w)) < DROP for w, _ in some]  # a word now and then, so that single texts are not learned by heart
+            trainer.step([[v for v, x in zip(w, out, strict=True) if not x] or w for (w, _), out in zip(some, lost, strict=True)], np.array([y for _, y in some], np.float32))
     return net
 
 
