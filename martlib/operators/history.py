@@ -71,6 +71,14 @@ def scd1_upsert(dim: DataFrame, batch: DataFrame, key: str, description: str, or
     return dim.select(key, description).join(best, key, "full").select(key, F.coalesce("__new", description).alias(description))
 
 
+def scd1_latest(dim: DataFrame, batch: DataFrame, key: str, description: str, at: str, tie: str) -> DataFrame:
+    """As scd1_upsert, but the dimension remembers when it learned a description, so an old batch that runs again cannot
+    replace a later one. Columns: key, description, at, tie."""
+    columns = [key, description, at, tie]
+    both = dim.select(*columns).unionByName(batch.select(*columns))
+    return latest_per_key(both, [key], [F.col(description).isNull().asc(), F.desc_nulls_last(at), F.desc_nulls_last(tie)])
+
+
 def scd1_rebuild(lines: DataFrame, key: str, description: str, at: str, tie: str) -> DataFrame:
     """The same from all lines, with the first and last day of each key; one shuffle by key."""
     order = F.struct(F.col(description).isNotNull().alias("a"), F.col(at).alias("b"), F.col(tie).alias("c"))
