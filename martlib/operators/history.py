@@ -47,8 +47,9 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, attributes: list[s
 
 def scd2_rebuild(events: DataFrame, key: str, attribute: str, at: str, tie: list[Column | str]) -> DataFrame:
     """The whole history from all events: the day's last value of each key, runs of equal values, closed intervals. Rows
-    without a key are left out. All windows share the key, so the events shuffle once."""
-    day = events.where(F.col(key).isNotNull()).withColumn("__day", F.to_date(at))
+    without a key are left out. Dealing the needed columns out by key serves all windows and the aggregate: one shuffle."""
+    needed = list(dict.fromkeys([key, attribute, at, *tie])) if all(isinstance(t, str) for t in tie) else events.columns
+    day = events.where(F.col(key).isNotNull()).select(*needed).withColumn("__day", F.to_date(at)).repartition(F.col(key))
     days = latest_per_key(day, [key, "__day"], [F.desc(at), *[C.col(t) if isinstance(t, Column) else F.desc(t) for t in tie]])
     runs = islands_by_change(days.select(key, "__day", attribute), [key], ["__day"], attribute)
     versions = runs.groupBy(key, "version_number").agg(F.first(attribute).alias(attribute), F.min("__day").alias("valid_from"))
