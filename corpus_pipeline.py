@@ -27,10 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id. Rows without an id have no group and stay."""
+    """Of each group of near copies, the document with the least id, once if its row is repeated. Rows without an id have no
+    group and stay. Shingles and distance are those of op7_simhash."""
     prints = add_fingerprint(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), drop=("text",))
     heads = near_groups(prints).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from martlib.llm.common import map_texts, read
 
 #: Fixed value: how the byte-level pre-tokenizer cuts text.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_PART, CACHE_PARTS = 96, 300_000
+LONG_PART, CACHE_PARTS = 96, 200_000
 NO_RANK = 1 << 62
 
 

@@ -23,7 +23,7 @@ from martlib.llm.common import map_texts, read
 #: Bounds of the model: about SAMPLE_DOCS documents for a language, its MODEL_WORDS most frequent words (each in two
 #: documents or more), and its MODEL_GRAMS most frequent n-grams of those.
 SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, MAX_GRAM = 1200, 20_000, 20_000, 4
-BACKOFF, CACHE_WORDS, UNKNOWN = math.log(0.4), 300_000, "und"
+BACKOFF, CACHE_WORDS, UNKNOWN = math.log(0.4), 200_000, "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -33,7 +33,8 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, str, int]]:
-    """(language, word, count) of the model, counted by Spark in a sample drawn by hash of the key; bounded as stated above."""
+    """(language, word, count) of the model, counted by Spark in a sample drawn by hash of the key; bounded as stated above,
+    for the 1,000 most frequent languages at most."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(lang).agg(F.count("*").alias("__n"))
     drawn = known.join(F.broadcast(sizes.orderBy(F.desc("__n"), lang).limit(1000)), lang)

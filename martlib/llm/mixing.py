@@ -68,12 +68,15 @@ def budgets(leaves: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int =
     """leaves: domain, lang, source, tokens. Adds budget. Weights are positive integers by level."""
     weights = weights or (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
     caps = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = caps.agg(((F.sum(F.col("tokens").cast(_D)) * percent).cast(_D)).alias("t")).select(F.expr("cast(t div 100 as bigint)").alias("total"))
     above = None
     for k, level in enumerate(LEVELS):
         parent, key = list(LEVELS[:k]), list(LEVELS[: k + 1])
-        nodes = caps.groupBy(*key).agg(F.sum("cap").alias("cap")).withColumn("weight", weight_of(F.col(level), weights[k]))
-        family = nodes.crossJoin(F.broadcast(total)) if above is None else nodes.join(above, parent)  # one row
+        nodes = caps.groupBy(*key).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("weight", weight_of(F.col(level), weights[k]))
+        if above is None:  # the root's budget; one row for each domain
+            every = F.sum(F.col("tokens").cast(_D)).over(Window.partitionBy(F.lit(1)))
+            family = nodes.withColumn("every", (every * percent).cast(_D)).withColumn("total", F.expr("cast(every div 100 as bigint)")).drop("every")
+        else:
+            family = nodes.join(above, parent)
         above = _deal(family, parent or [F.lit(1)], level).select(*key, F.col("budget").alias("total"))
     return leaves.join(above.withColumnRenamed("total", "budget"), list(LEVELS))
 

@@ -97,3 +97,9 @@ def test_run(spark, odd, none, tmp_path):
     d = tables(spark, tmp_path, documents=odd.withColumn("predicted", F.lit(7)).withColumn("row", F.lit("r")), labels=labels)
     assert P.run(spark, d).count() > 0
     assert P.run(spark, tables(spark, tmp_path / "none", documents=none, labels=labels)).count() == 0
+
+
+def test_repeated_rows_count_once(spark, odd, sf_dir):
+    got = dict(P.STAGES)["simhash_near_dedup"](spark, odd, sf_dir)
+    ids = [r["doc_id"] for r in got.collect()]
+    assert len(ids) == len(set(ids)) and None in ids and 6 in ids and 7 not in ids
