@@ -43,9 +43,12 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd tr
 DROP_TAGS = frozenset("head nav footer aside form script style title textarea noscript iframe template svg canvas button select option dialog menu object audio video xmp noembed noframes".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay sidebar "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond related share sharing social newsletter subscribe signup login widget pagination pager toolbar".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay paywall "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond related share sharing social newsletter subscribe signup login widget "
+    "pagination pager toolbar".split()
 )
+#: Before such a word, these say what a layout has or lacks, as in has-sidebar.
+LAYOUT_WORDS = frozenset("has hide no show with without".split())
 PAGE_HEADER = frozenset("header site-header page-header masthead topbar top-bar".split())
 
 _TAG = re.compile(
@@ -79,7 +82,8 @@ def _named(attrs: str) -> tuple[str, bool]:
     label = f"{got.get('class', '')} {got.get('id', '')}".lower()
     drop = got.get("role", "").lower() in DROP_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
     if label != " " and not drop:
-        drop = not DROP_WORDS.isdisjoint(_WORDS.split(label)) or not PAGE_HEADER.isdisjoint(label.split())
+        words = _WORDS.split(label)
+        drop = any(w in DROP_WORDS and before not in LAYOUT_WORDS for before, w in zip(["", *words], words, strict=False)) or not PAGE_HEADER.isdisjoint(label.split())
     return got.get("class", ""), drop
 
 

@@ -15,6 +15,7 @@ def test_pages(spark, tmp_path):
         (6, "http://a.com", "<main><p>main</p></main><p>rest</p>"), (7, "x", "<article><p>a</p><div id='comments'><p>reader</p></div><section class='share-bar'>s</section><form>f</form><p>z"),
         (8, "x", "<p title='a > b'>t</p><p hidden>no</p><div role=navigation>n</div><header>h</header>"), (1, "http://a.com/1", ARTICLE), (None, None, "<p>n</p>"), (9, "u", "<div>" * 300 + "deep"),
         (10, "u", "<article><header><h1>Head</h1></header><p>x &nbsp; y</p></article>"), (11, "u", "<p>" + "w " * 60_000), (12, "u", "a < b <unclosed"),
+        (13, "u", "<div class='page has-sidebar no-comments'><article><p>kept</p><ol class='comment-list'><li>reader</ol></article></div><div class='cookie-banner'>c</div>"),
     ]
     d = tables(spark, tmp_path, pages=spark.createDataFrame(rows, PAGES))
     out = H.op2_html_extract(spark, d)
@@ -22,6 +23,7 @@ def test_pages(spark, tmp_path):
     got = texts(out)
     assert got[1] == "Tit&le\nOne\nTwo words here\na\nb" and got[2] == got[3] == "" and got[4] == "just text <b> &am" and got[5] == "x"
     assert got[6] == "main" and got[7] == "a\nz" and got[8] == "t" and got[None] == "n" and got[9] == "deep" and got[10] == "Head\nx y" and len(got[11]) == 119_999 and got[12].startswith("a < b")
+    assert got[13] == "kept"
     assert {r["page_id"]: r["n_chars"] for r in out.collect()}[1] == len(got[1])
     assert H.op2_html_extract(spark, tables(spark, tmp_path / "none", pages=spark.createDataFrame([], PAGES))).count() == 0
 
