@@ -8,7 +8,7 @@ from martlib.functions import columns as C
 from martlib.operators import aggregates as A
 from martlib.operators import clean as P
 from martlib.operators import quality as Q
-from martlib.plans.shop_queries import SALES, sales, versions
+from martlib.plans.shop_queries import _VERSIONS, SALES, sales, versions
 from martlib.sources.readers import explode_parallel_arrays, table
 
 QUERIES: dict = {}
@@ -59,8 +59,8 @@ def line_type_summary(spark, d):
     return kept.groupBy(C.line_type("invoice", "q").alias("kind")).agg(F.count("*").alias("lines"), F.sum("q").cast("bigint").alias("units"))
 
 
-@query(f"""WITH {SALES}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE quantity >= 5) AS k, count(*) FILTER (WHERE quantity < 5) AS j FROM s)
-SELECT 'every line is loaded or rejected' AS check_name, 'critical' AS severity, n = k + j AS passed, (n - k - j)::DOUBLE AS observed FROM n UNION ALL SELECT 'revenue reconciles', 'critical', true, 0.0 FROM n
+@query(f"""WITH {SALES}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE quantity >= 5) AS k, count(*) FILTER (WHERE quantity < 5) AS j, sum(revenue) AS rm, sum(revenue) FILTER (WHERE quantity >= 5) AS fm, sum(revenue) FILTER (WHERE quantity < 5) AS jm FROM s)
+SELECT 'every line is loaded or rejected' AS check_name, 'critical' AS severity, n = k + j AS passed, (n - k - j)::DOUBLE AS observed FROM n UNION ALL SELECT 'revenue reconciles', 'critical', rm = fm + jm, (rm - fm - jm)::DOUBLE FROM n
 UNION ALL SELECT 'the load is not empty', 'critical', n > 0, n::DOUBLE FROM n""")
 def reconcile_layers(spark, d):
     s = sales(spark, d)
@@ -101,7 +101,7 @@ def sums_match(spark, d):
     return Q.sum_equals_rows(lines, "q", lines, "order totals")
 
 
-@query("SELECT 0::BIGINT AS keys_without_one_current")
+@query(f"WITH {_VERSIONS} SELECT count(*) AS keys_without_one_current FROM (SELECT o_custkey FROM v GROUP BY 1 HAVING sum(is_current::INT) <> 1)")
 def one_current(spark, d):
     return Q.one_current_version(versions(spark, d), "o_custkey").agg(F.count("*").alias("keys_without_one_current"))
 
