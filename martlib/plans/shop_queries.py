@@ -150,23 +150,23 @@ def busiest_suppliers(spark, d):
     return K.busiest(table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")), "s_name", F.col("l_returnflag") == "R")
 
 
-@query("""WITH p AS (SELECT p_brand AS symbol, l_shipdate::DATE AS trade_date, avg(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6)))::DOUBLE AS adj_close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+@query("""WITH p AS (SELECT p_brand AS symbol, l_shipdate::DATE AS trade_date, sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6)))::DOUBLE / count(*) AS adj_close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 q AS (SELECT * FROM p WHERE trade_date > (SELECT max(trade_date) FROM p) - 365),
 e AS (SELECT *, adj_close / lag(adj_close) OVER w - 1 AS r, max(adj_close) OVER (w ROWS UNBOUNDED PRECEDING) AS peak, avg(adj_close) OVER (w ROWS 49 PRECEDING) AS ma FROM q WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))
-SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, round(max_by(adj_close, trade_date), 4) AS last_close, round(100 * (max_by(adj_close, trade_date) / min_by(adj_close, trade_date) - 1), 4) AS return_pct,
+SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, max_by(adj_close, trade_date) AS last_close, round(100 * (max_by(adj_close, trade_date) / min_by(adj_close, trade_date) - 1), 4) AS return_pct,
   round(100 * stddev_samp(r) * sqrt(252), 4) AS volatility_pct, round(100 * min(adj_close / peak - 1), 4) AS max_drawdown_pct, max_by(adj_close > ma, trade_date) AS above_ma FROM e GROUP BY symbol""")
 def price_report(spark, d):
     out = K.symbol_report(brand_prices(spark, d))
-    return out.withColumns({c: F.round(c, 4) for c in ("last_close", "return_pct", "volatility_pct", "max_drawdown_pct")})
+    return out.withColumns({c: F.round(c, 4) for c in ("return_pct", "volatility_pct", "max_drawdown_pct")})
 
 
 def brand_prices(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    mean = F.avg((F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,6)")).cast("double")
+    mean = F.sum((F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,6)")).cast("double") / F.count("*")
     return j.groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("trade_date")).agg(mean.alias("adj_close"))
 
 
-@query("""WITH p AS (SELECT p_brand AS symbol, l_shipdate::DATE AS trade_date, avg(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6)))::DOUBLE AS adj_close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+@query("""WITH p AS (SELECT p_brand AS symbol, l_shipdate::DATE AS trade_date, sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,6)))::DOUBLE / count(*) AS adj_close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 e AS (SELECT symbol, trade_date, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS r FROM p) SELECT symbol, trade_date, round(r, 4) AS daily_return FROM e WHERE abs(r) > 0.25""")
 def big_moves(spark, d):
     moves = W.daily_return(brand_prices(spark, d), ["symbol"], "trade_date", "adj_close")
