@@ -6,14 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of one Arrow batch that are Python objects at the same time.
-SLICE_ROWS = 256
+#: Rows of one Arrow batch, and UTF-8 bytes of their texts, that are Python objects at the same time (one row at least).
+SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
+#: Rows of an Arrow batch. Spark holds a batch outside its heap several times over, and texts are wide.
+BATCH_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,13 +30,33 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of the parts in which a batch is handled."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        most = (ends[at - 1] if at else 0) + SLICE_BYTES
+        stop = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, most, side="right"))))
+        yield at, stop - at
+        at = stop
+
+
 def map_texts(df: DataFrame, text: str, added: list[T.StructField], make: Callable[[], Callable[[list], list[list]]], drop: tuple[str, ...] = ()) -> DataFrame:
     """Append columns that depend on one text column, row by row, without a shuffle.
 
     make() runs once in each task and returns a function from a list of texts (None for null) to one list for each added
     column. Every other column passes through unchanged, nulls included; an input column with the name of an added one is
-    replaced. Columns named in drop are read but not returned. Rows are handled SLICE_ROWS at a time.
+    replaced. Columns named in drop are read but not returned. Rows are handled a slice at a time, so memory follows SLICE_BYTES.
     """
+    small_batches(df.sparkSession)
     new = [f.name for f in added]
     if text.lower() in {n.lower() for n in new}:
         source, text = df.withColumn("__text", F.col(text)), "__text"
@@ -47,8 +71,8 @@ def map_texts(df: DataFrame, text: str, added: list[T.StructField], make: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at, n in slices(batch.column(text)):
+                part = batch.slice(at, n)
                 columns = work(part.column(text).to_pylist())
                 made = [pa.array(values, type=kind) for values, kind in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *made], names=[*names, *new])

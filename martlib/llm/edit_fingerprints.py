@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlib.llm.common import map_texts, read
+from martlib.llm.common import map_texts, read, small_batches
 
 BANDS, ROWS, CLASSES, PERIOD, SEED = 32, 4, 256, 4096, 11
 BINS = BANDS * ROWS
@@ -236,6 +236,7 @@ def compare_edited(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     are empty; two empty texts have likeness 1. Repeated ids are in order of text, and rows without an id come last. A single
     row is followed by itself. An empty table gives an empty table. Further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     return by_descending_id(docs.select("doc_id", "text"), range_docs).mapInArrow(_walked, FIELDS)
 
 
