@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from martlib.llm.bpe import encode_texts
 from martlib.llm.common import materialize, read
 from martlib.llm.mixing import mix
+from martlib.llm.near_copies import near_copy_groups
 from martlib.llm.secret_scan import mask_secrets
-from martlib.llm.simhash import add_fingerprint, near_groups
 from martlib.llm.toxicity import score_toxicity, train, training_rows
 
 
@@ -27,12 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id, once if its row is repeated. Rows without an id have no
-    group and stay. Shingles and distance are those of op7_simhash."""
-    prints = add_fingerprint(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), drop=("text",))
-    heads = near_groups(prints).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near copies (near_copies: five-word shingles, similarity 0.8 or more), the document with the least id.
+    Rows without an id have no group and stay."""
+    known = docs.where("doc_id IS NOT NULL")
+    heads = near_copy_groups(known).groupBy("root").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
