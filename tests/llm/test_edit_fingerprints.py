@@ -85,3 +85,50 @@ def test_similar_documents(spark):
     pairs = {(r["a"], r["b"]) for r in links}
     assert sum((i, 100 + i) in pairs for i in range(20)) >= 18 and all(b in (a + 100, a + 200) for a, b in pairs)
     assert all(0.8 <= r["likeness"] <= 1 for r in links) and np.isfinite([r["likeness"] for r in links]).all()
+
+
+def test_links_past_a_dissimilar_head(spark):
+    """Each bucket that b and c share has a least key that is like neither; blocks of any size give the same links."""
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 256, E.BINS, dtype=np.uint8)
+    c = b.copy()
+    c[[0, 7, 40, 77, 120]] ^= 1
+    rows = [(1000, b), (1001, c)]
+    for k in range(E.BANDS):
+        for i, like in enumerate((b, c)):
+            head = rng.integers(0, 256, E.BINS, dtype=np.uint8)
+            head[E.ROWS * k : E.ROWS * (k + 1)] = like[E.ROWS * k : E.ROWS * (k + 1)]
+            rows.append((10 * k + i, head))
+    prints = spark.createDataFrame([(i, f.tobytes().hex()) for i, f in rows], "doc_id long, fingerprint string")
+    assert {(r["a"], r["b"]) for r in E.similar_documents(prints).collect()} == {(1000, 1001)}
+
+
+def test_large_buckets_connect_as_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    start = rng.integers(0, 256, E.BINS, dtype=np.uint8)
+    sigs = []
+    for _ in range(20):  # a family, alike in half of its bins: families of copies inside it, one bucket for all
+        own = start.copy()
+        own[E.BINS // 2 :] = rng.integers(0, 256, E.BINS // 2, dtype=np.uint8)
+        for _ in range(3):
+            x = own.copy()
+            x[rng.integers(8, E.BINS, 12)] ^= 3
+            sigs.append(x)
+    members = spark.createDataFrame([(1, i, i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "bucket long, key long, mark long, sig binary")
+    pairs = {(i, j) for j in range(60) for i in range(j) if (sigs[i] == sigs[j]).mean() >= 0.8}
+    every = {tuple(r) for r in E.links_in_buckets(members, 0.8, forest=False, block=7).select("a", "b").collect()}
+    assert every == pairs and len(pairs) > 20
+    tops = lambda links: {i: min(j for j in range(60) if j in reach(i, links)) for i in range(60)}
+
+    def reach(i, links):
+        seen, queue = {i}, [i]
+        while queue:
+            k = queue.pop()
+            for n in {x for p in links if k in p for x in p} - seen:
+                seen.add(n)
+                queue.append(n)
+        return seen
+
+    for block in (7, 512):
+        forest = {tuple(r) for r in E.links_in_buckets(members, 0.8, forest=True, block=block).select("a", "b").collect()}
+        assert forest <= pairs and tops(forest) == tops(pairs)
