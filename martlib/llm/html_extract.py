@@ -2,8 +2,8 @@
 
 1. parse_pages: one pass over each page gives its text blocks, where each block lies (article, main, body) and a hash of
    every block-level element subtree that could belong to a template.
-2. site_templates: Spark counts each hash per host over pages of different content. A hash on min_pages pages or more, and
-   on min_share of the host's pages or more, is a template.
+2. site_templates: Spark counts each hash per host over pages of different content. A hash on min_pages pages or more is a
+   template, however many pages the host has.
 3. extract_main_text: blocks under a template subtree go, and so do blocks under elements whose tag, role or class says
    menu, header, footer, sidebar, notice, advert, form, script, style or comment.
 
@@ -222,15 +222,13 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return materialize(parsed.withColumn("__row", F.monotonically_increasing_id()), "pages")
 
 
-def site_templates(parsed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+def site_templates(parsed: DataFrame, min_pages: int) -> DataFrame:
     """(__host, __hash) of the subtrees that recur. Copies of a page count once: their common content is no template."""
     seen = parsed.select("__host", "__content", F.explode("__hashes").alias("__hash")).distinct()
-    counts = seen.groupBy("__host", "__hash").count().where(F.col("count") >= min_pages)
-    sizes = parsed.select("__host", "__content").distinct().groupBy("__host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= min_pages)
-    return counts.join(sizes, "__host").where(F.col("count") >= min_share * F.col("__pages")).select("__host", "__hash")
+    return seen.groupBy("__host", "__hash").count().where(F.col("count") >= min_pages).select("__host", "__hash")
 
 
-def extract_main_text(pages: DataFrame, html: str = "html", min_pages: int = 10, min_share: float = 0.2) -> DataFrame:
+def extract_main_text(pages: DataFrame, html: str = "html", min_pages: int = 10) -> DataFrame:
     """pages without its html, and with `text`: blocks of the article in page order, joined by a line feed.
 
     Null or empty html: text is empty. Null url: the page belongs to the host ''. Repeated rows each give a row. Further
@@ -242,7 +240,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", min_pages: int = 10,
     decided = parsed.where("__decided is not null").select(*keep, F.col("__decided").alias("text"))
     open_ = parsed.where("__decided is null")
     owned = open_.select("__row", "__host", F.explode(F.array_distinct(F.flatten("__blocks.owners"))).alias("__hash"))
-    dead = owned.join(site_templates(parsed, min_pages, min_share), ["__host", "__hash"], "left_semi").groupBy("__row").agg(F.collect_set("__hash").alias("__dead"))
+    dead = owned.join(site_templates(parsed, min_pages), ["__host", "__hash"], "left_semi").groupBy("__row").agg(F.collect_set("__hash").alias("__dead"))
     left = F.filter("__blocks", lambda b: F.col("__dead").isNull() | ~F.arrays_overlap(b["owners"], F.col("__dead")))
     resolved = open_.join(dead, "__row", "left").select(*keep, F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))
     return decided.unionByName(resolved)

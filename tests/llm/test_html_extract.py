@@ -41,6 +41,14 @@ def test_site_templates(spark):
     assert got[104] == "a common passage\nown 4"  # the passage stays, the recurring box goes
 
 
+def test_section_template_of_a_large_host(spark):
+    """A block on one page in ten of a host goes as it does on a small host."""
+    box = "<div><p>From the sports desk</p></div>"
+    rows = [(i, "http://large.com/%d" % i, f"<body>{box if i % 10 == 0 else ''}<p>text {i}</p></body>") for i in range(300)]
+    got = texts(H.extract_main_text(spark.createDataFrame(rows, PAGES)))
+    assert all(got[i] == f"text {i}" for i in range(300))
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "old")], "page_id int, url string, html string, text string")
     assert H.extract_main_text(df).columns == ["page_id", "url", "text"]
