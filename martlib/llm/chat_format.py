@@ -98,6 +98,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return whole.select("conv_id", safe.alias("formatted"), "level", F.size("turns").cast("long").alias("n_turns"), loss.alias("loss_spans"))
 
 
+def masked_text(formatted: Column, level: Column, spans: Column) -> Column:
+    """What lies under the loss mask, unescaped and joined."""
+    cut = F.transform(spans, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    at = lambda k: F.array_join(F.transform(cut, lambda x: unescape(x, k)), "")
+    return F.when(level == 0, at(0)).when(level == 1, at(1)).otherwise(at(2))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the turns and of the loss text of every conversation and of conversation -1, read back from the formatted text."""
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -105,7 +112,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = chats.sparkSession.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{trap}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     out = format_chats(chats.unionByName(extra)).withColumn("back", parse(F.col("formatted")))
     said = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    loss = masked_text(F.col("formatted"), F.col("level"), F.col("loss_spans"))
     return out.withColumn("loss", loss).select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),

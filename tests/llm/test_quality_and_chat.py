@@ -79,3 +79,15 @@ def test_chat_spans_and_levels(spark):
     assert C.format_chats(df.limit(0)).count() == 0
     plan = C.format_chats(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_mask_decides_the_loss_text(spark, tmp_path, monkeypatch):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "ab\\</s>c \U0001f600"), (2, 0, "user", "q"), (2, 1, "assistant", "plain"), (3, 0, "user", "only")], "conv_id long, turn long, role string, text string")
+    d = tables(spark, tmp_path, conversations=turns)
+    read = lambda: {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in C.op6_chat_format(spark, d).collect()}
+    said = lambda t: (len(t), hashlib.sha256(t.encode()).hexdigest())
+    assert read() == {1: said("ab\\</s>c \U0001f600"), 2: said("plain"), 3: said(""), -1: said("</s>[INST] ok [/INST]")}
+    right = C.format_chats
+    wrong = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end")))
+    monkeypatch.setattr(C, "format_chats", lambda t: right(t).withColumn("loss_spans", wrong))
+    assert read()[2] == said("lain")
