@@ -1,27 +1,31 @@
 """Main text of web pages: site templates found by counting hashed element subtrees per host.
 
-1. parse_pages: one pass over each page gives its text blocks, where each block lies (article, main, body) and a hash of
-   every block-level element subtree that could belong to a template.
+1. parse_pages: one pass over each page gives its text blocks, the element that each lies in, and a hash of every block-level
+   element subtree that could belong to a template.
 2. site_templates: Spark counts each hash per host over pages of different content. A hash on min_pages pages or more is a
    template, however many pages the host has.
-3. extract_main_text: blocks under a template subtree go, and so do blocks under elements whose tag, role or class says
-   menu, header, footer, sidebar, notice, advert, form, script, style or comment.
+3. extract_main_text: blocks under a template subtree go. So does what needs no counting: elements whose tag or role is a
+   menu, page header, footer, sidebar, notice, form, script or style, and those whose class or id names nothing else.
 
-Paragraphs, headings and list items within the article are never template candidates: a passage that many articles quote
-stays. Pages whose result no template can change have their text after step 1 and take no part in the join of step 3.
+Where a page has articles or a main element, blocks outside of them go. Paragraphs, headings and list items within an article
+are never template candidates: a passage that many articles quote stays. Pages whose result no template can change have
+their text after step 1 and take no part in the join of step 3.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
+from functools import lru_cache
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlib.llm.common import map_texts, materialize, read
+from martlib.llm.common import map_texts, materialize, read, without
 
 #: Names in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,32 +43,32 @@ IMPLIED = {
 }
 P_SCOPE = frozenset("article aside blockquote body button caption div fieldset figure footer form header html li main nav section table td th".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd tr td th table tbody thead tfoot caption figure figcaption html body article main hr".split())
+HEADINGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Elements, roles and words in class or id that are not main text.
 DROP_TAGS = frozenset("head nav footer aside form script style title textarea noscript iframe template svg canvas button select option dialog menu object audio video xmp noembed noframes".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay paywall "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond related share sharing social newsletter subscribe signup login widget "
-    "pagination pager toolbar".split()
+    "pagination pager toolbar masthead topbar".split()
 )
-#: Before such a word, these say what a layout has or lacks, as in has-sidebar.
-LAYOUT_WORDS = frozenset("has hide no show with without".split())
-PAGE_HEADER = frozenset("header site-header page-header masthead topbar top-bar".split())
+#: Words that may stand beside such a word, as in comment-list or site-footer; share-price has another one.
+BESIDE = frozenset(
+    "area article articles bar block bottom box button buttons container content entry fixed form global group header icons inline inner item items left links list main mobile outer page panel "
+    "post posts primary right row secondary section site slot sticky stories top unit wrap wrapper".split()
+)
+PAGE_HEADER = frozenset("header site-header page-header top-bar".split())
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL
 )
 _ATTR = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORDS = re.compile(r"[\s_-]+")
+_WORDS = re.compile(r"[_-]+")
+_SIZE = re.compile(r"\d+(x\d+)?")
 
-BLOCK = T.StructType([T.StructField("text", T.StringType()), T.StructField("owners", T.ArrayType(T.LongType()))])
-PARSED = [
-    T.StructField("__row", T.LongType()),
-    T.StructField("__hashes", T.ArrayType(T.LongType())),
-    T.StructField("__content", T.LongType()),
-    T.StructField("__decided", T.StringType()),
-    T.StructField("__blocks", T.ArrayType(BLOCK)),
-]
+BLOCK = T.StructType([T.StructField("text", T.StringType()), T.StructField("node", T.IntegerType())])
+NODE = T.StructType([T.StructField("hash", T.LongType()), T.StructField("parent", T.IntegerType())])
+PARSED = {"row": T.LongType(), "hashes": T.ArrayType(T.LongType()), "content": T.LongType(), "decided": T.StringType(), "blocks": T.ArrayType(BLOCK), "nodes": T.ArrayType(NODE)}
 
 
 def _hash(text: str) -> int:
@@ -72,40 +76,47 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _named(attrs: str) -> tuple[str, bool]:
-    """The class of a tag as text, and whether its attributes say that it is not main text."""
+@lru_cache(100_000)
+def names_furniture(token: str) -> bool:
+    """Whether a class or id names furniture of a page and nothing else."""
+    if token in PAGE_HEADER:
+        return True
+    words = [w for w in _WORDS.split(token) if w and not _SIZE.fullmatch(w)]
+    return any(w in DROP_WORDS for w in words) and all(w in DROP_WORDS or w in BESIDE for w in words)
+
+
+def _named(attrs: str) -> tuple[str, bool, bool]:
+    """The class of a tag as text, and whether its attributes say that it is not main text: by role or hiding, by name."""
     if not attrs or attrs.isspace():
-        return "", False
+        return "", False, False
     got = {}
     for m in _ATTR.finditer(attrs):
         got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    label = f"{got.get('class', '')} {got.get('id', '')}".lower()
-    drop = got.get("role", "").lower() in DROP_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
-    if label != " " and not drop:
-        words = _WORDS.split(label)
-        drop = any(w in DROP_WORDS and before not in LAYOUT_WORDS for before, w in zip(["", *words], words, strict=False)) or not PAGE_HEADER.isdisjoint(label.split())
-    return got.get("class", ""), drop
+    by_role = got.get("role", "").lower() in DROP_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
+    return got.get("class", ""), by_role, any(map(names_furniture, f"{got.get('class', '')} {got.get('id', '')}".lower().split()))
 
 
 class _Open:
-    """An element that is open: kids are the texts and subtree hashes below it so far."""
+    """An element that is open: kids are the texts and subtree hashes below it so far; owner is the candidate it lies in, or is."""
 
-    __slots__ = ("tag", "drop", "place", "kids", "candidate", "label")
+    __slots__ = ("tag", "drop", "place", "kids", "candidate", "owner", "label")
 
-    def __init__(self, tag, drop, place, candidate, label):
-        self.tag, self.drop, self.place, self.candidate, self.label, self.kids = tag, drop, place, candidate, label, []
+    def __init__(self, tag, drop, place, candidate, owner, label):
+        self.tag, self.drop, self.place, self.candidate, self.owner, self.label, self.kids = tag, drop, place, candidate, owner, label, []
 
 
-def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple[str, list[int]]] | None]:
-    """(candidate hashes, content hash, text or None, blocks or None) of a page; just one of the last two is given.
+def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple[str, int]] | None, list[tuple[int, int]] | None]:
+    """(candidate hashes, content hash, text or None, blocks and nodes or None) of a page: the text where no template can change
+    it. A block has the number of the innermost node it lies in, or -1; a node has its hash and its parent's number.
 
-    Places: 0 body, 1 main, 2 article. A header counts as a page header outside an article; in one, it may hold the title.
+    Places: 0 body, 1 main, 2 article. A header counts as a page header in the body alone; elsewhere it may hold the title.
     """
     page = page or ""
-    stack = [_Open("#root", False, 0, None, "")]
-    blocks: list[tuple[int, str, tuple[int, ...]]] = []
-    owners: list[int] = []
+    stack = [_Open("#root", False, 0, None, -1, "")]
+    of_tag: Counter[str] = Counter()
+    blocks: list[tuple[int, str, int]] = []
     hashes: list[int] = []
+    parents: list[int] = []
     words: list[str] = []
 
     def flush():
@@ -114,18 +125,29 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
                 top = stack[-1]
                 top.kids.append(text)
                 if not top.drop:
-                    blocks.append((top.place, text, tuple(owners)))
+                    blocks.append((top.place, text, top.owner))
             words.clear()
 
     def close():
         flush()
         node = stack.pop()
+        of_tag[node.tag] -= 1
         h = _hash(f"{node.tag} {node.label}\0" + "\0".join(map(str, node.kids)))
         stack[-1].kids.append(h)
         if node.candidate is not None:
             hashes[node.candidate] = h
-            if owners and owners[-1] == node.candidate:
-                owners.pop()
+
+    def close_to(which, until):
+        """Close the innermost open element of these tags, unless one of until lies within it."""
+        if not any(of_tag[t] for t in which):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in which:
+                while len(stack) > k:
+                    close()
+                return
+            if stack[k].tag in until:
+                return
 
     at, end = 0, len(page)
     while at < end:
@@ -143,7 +165,7 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
         if m[1] or m[4]:
             if tag in INLINE:
                 continue
-            if any(n.tag == tag for n in reversed(stack)):
+            if of_tag[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -165,84 +187,106 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in P_SCOPE:
-                    break
+            close_to(("p",), P_SCOPE)
         if tag in IMPLIED:
-            which, until = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in which:
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in until:
-                    break
+            close_to(*IMPLIED[tag])
         up = stack[-1]
-        label, says = _named(m[3] or m[6] or "")
-        drop = up.drop or tag in DROP_TAGS or says and tag not in ("html", "body", "article", "main") or tag == "header" and up.place < 2
+        label, by_role, by_name = _named(m[3] or m[6] or "")
+        by_name = by_name and not (up.place == 2 and tag in HEADINGS)
+        drop = up.drop or tag in DROP_TAGS or (by_role or by_name) and tag not in ("html", "body", "article", "main") or tag == "header" and up.place == 0
         place = 2 if tag == "article" else max(up.place, 1) if tag == "main" else up.place
-        candidate = None
+        candidate, owner = None, up.owner
         if tag not in ("html", "body", "article", "main", "head") and not (place == 2 and tag in TEXT_BLOCKS):
             candidate = len(hashes)
             hashes.append(0)
-            if not drop:
-                owners.append(candidate)
-        stack.append(_Open(tag, drop, place, candidate, label))
+            parents.append(up.owner)
+            owner = candidate
+        of_tag[tag] += 1
+        stack.append(_Open(tag, drop, place, candidate, owner, label))
     flush()
     while len(stack) > 1:
         close()
-    best = max((p for p, _, _ in blocks), default=0)
-    kept = [(t, [hashes[o] for o in own]) for p, t, own in blocks if p == best]
-    content = _hash("\n".join(t for t, _ in kept))
-    found = list(dict.fromkeys(hashes))
-    if any(own for _, own in kept):
-        return found, content, None, kept
-    return found, content, "\n".join(t for t, _ in kept), None
-
-
-
-
-def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages less its html, with the columns of PARSED and __host; written to the shared folder, so each page is parsed once."""
+    best = min(1, max((p for p, _, _ in blocks), default=0))
+    kept = [(t, own) for p, t, own in blocks if p >= best]
+    content, found = _hash("\n".join(t for t, _ in kept)), list(dict.fromkeys(hashes))
+    if all(own < 0 for _, own in kept):
+        return found, content, "\n".join(t for t, _ in kept), None, None
+    needed: dict[int, int] = {}
+    for _, own in kept:  # the nodes that kept blocks lie in, parents before children
+        path = []
+        while own >= 0 and own not in needed:
+            path.append(own)
+            own = parents[own]
+        needed |= {x: len(needed) + k for k, x in enumerate(reversed(path))}
+    nodes = [(hashes[x], needed.get(parents[x], -1)) for x in needed]
+    return found, content, None, [(t, needed.get(own, -1)) for t, own in kept], nodes
+
+
+def live_text(blocks: list[tuple[str, int]], nodes: list[tuple[int, int]], dead: set[int]) -> str:
+    """The text of the blocks that lie under no dead node."""
+    alive: list[bool] = []
+    for h, parent in nodes:
+        alive.append(h not in dead and (parent < 0 or alive[parent]))
+    return "\n".join(t for t, node in blocks if node < 0 or alive[node])
+
+
+@F.arrow_udf(T.StringType())
+def _live_text(blocks: pa.Array, nodes: pa.Array, dead: pa.Array) -> pa.Array:
+    out = []
+    for b, n, d in zip(blocks, nodes, dead, strict=True):
+        out.append(live_text([(x["text"], x["node"]) for x in b.as_py()], [(x["hash"], x["parent"]) for x in n.as_py()], set(d.as_py() or ())))
+    return pa.array(out, pa.string())
+
+
+def _own(columns: list[str]) -> str:
+    """A prefix that no column has."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def parse_pages(pages: DataFrame, own: str, html: str = "html") -> DataFrame:
+    """pages less its html, with the columns of PARSED and host, named with the prefix own; written to the shared folder, so
+    each page is parsed once."""
 
     def make():
         def work(texts):
-            rows = [parse_page(t) for t in texts]
-            blocks = [None if r[3] is None else [{"text": t, "owners": o} for t, o in r[3]] for r in rows]
-            return [[None] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], blocks]
+            found = list(zip(*map(parse_page, texts), strict=True)) or [[], [], [], [], []]
+            blocks = [None if b is None else [{"text": t, "node": n} for t, n in b] for b in found[3]]
+            nodes = [None if n is None else [{"hash": h, "parent": p} for h, p in n] for n in found[4]]
+            return [[None] * len(texts), *map(list, found[:3]), blocks, nodes]
 
         return work
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    parsed = map_texts(pages, html, PARSED, make, drop=(html,)).withColumn("__host", host)
-    return materialize(parsed.withColumn("__row", F.monotonically_increasing_id()), "pages")
+    parsed = map_texts(pages, html, [T.StructField(own + n, k) for n, k in PARSED.items()], make, drop=(html,)).withColumn(own + "host", host)
+    return materialize(parsed.withColumn(own + "row", F.monotonically_increasing_id()), "pages")
 
 
-def site_templates(parsed: DataFrame, min_pages: int) -> DataFrame:
-    """(__host, __hash) of the subtrees that recur. Copies of a page count once: their common content is no template."""
-    seen = parsed.select("__host", "__content", F.explode("__hashes").alias("__hash")).distinct()
-    return seen.groupBy("__host", "__hash").count().where(F.col("count") >= min_pages).select("__host", "__hash")
+def site_templates(parsed: DataFrame, own: str, min_pages: int) -> DataFrame:
+    """(host, hash) of the subtrees that recur. Copies of a page count once: their common content is no template."""
+    seen = parsed.select(F.col(own + "host").alias("host"), F.col(own + "content").alias("content"), F.explode(own + "hashes").alias("hash")).distinct()
+    return seen.groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", min_pages: int = 10) -> DataFrame:
     """pages without its html, and with `text`: blocks of the article in page order, joined by a line feed.
 
     Null or empty html: text is empty. Null url: the page belongs to the host ''. Repeated rows each give a row. Further
-    columns pass through; an input column named text is replaced. Unclosed tags end as in the HTML standard; a page
-    without article or main element keeps what its body has left.
+    columns pass through, whatever their names; an input column named text is replaced. Unclosed tags end as in the HTML
+    standard; a page without article or main element keeps what its body has left. Very long pages are parsed in one pass.
     """
-    parsed = parse_pages(pages.drop("text") if "text" in pages.columns else pages, html)
-    keep = [F.col(f"`{c}`") for c in parsed.columns if not c.startswith("__")]
-    decided = parsed.where("__decided is not null").select(*keep, F.col("__decided").alias("text"))
-    open_ = parsed.where("__decided is null")
-    owned = open_.select("__row", "__host", F.explode(F.array_distinct(F.flatten("__blocks.owners"))).alias("__hash"))
-    dead = owned.join(site_templates(parsed, min_pages), ["__host", "__hash"], "left_semi").groupBy("__row").agg(F.collect_set("__hash").alias("__dead"))
-    left = F.filter("__blocks", lambda b: F.col("__dead").isNull() | ~F.arrays_overlap(b["owners"], F.col("__dead")))
-    resolved = open_.join(dead, "__row", "left").select(*keep, F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))
+    slim = without(pages, ["text"])
+    own = _own(slim.columns)
+    parsed = parse_pages(slim, own, html)
+    keep = [F.col(f"`{c}`") for c in slim.columns if c.lower() != html.lower()]
+    decided = parsed.where(F.col(own + "decided").isNotNull()).select(*keep, F.col(own + "decided").alias("text"))
+    open_ = parsed.where(F.col(own + "decided").isNull())
+    owned = open_.select(F.col(own + "row").alias(own + "at"), F.col(own + "host").alias("host"), F.explode(F.array_distinct(F.col(own + "nodes.hash"))).alias("hash"))
+    dead = owned.join(site_templates(parsed, own, min_pages), ["host", "hash"], "left_semi").groupBy(own + "at").agg(F.collect_set("hash").alias(own + "dead"))
+    text = _live_text(own + "blocks", own + "nodes", F.coalesce(F.col(own + "dead"), F.array().cast("array<bigint>")))
+    resolved = open_.join(dead, open_[own + "row"] == dead[own + "at"], "left").select(*keep, text.alias("text"))
     return decided.unionByName(resolved)
 
 

@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 from martlib.llm import html_extract as H
 from tests.llm.conftest import tables
 
@@ -50,5 +53,77 @@ def test_section_template_of_a_large_host(spark):
 
 
 def test_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "u", "<p>x</p>", "old")], "page_id int, url string, html string, text string")
-    assert H.extract_main_text(df).columns == ["page_id", "url", "text"]
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "old", 7, "h", "d")], "page_id int, url string, html string, TEXT string, __row int, host string, __dead string")
+    out = H.extract_main_text(df)
+    assert out.columns == ["page_id", "url", "__row", "host", "__dead", "text"] and tuple(out.first()) == (1, "u", 7, "h", "d", "x")
+
+
+FURNITURE = ["<nav><ul><li>home<li>about</ul></nav>", "<div class='ad-slot 300x250'>buy %d</div>", "<footer>&copy; %d</footer>", "<aside>see %d</aside>"]
+
+
+def test_equals_brute_force_on_trees(spark):
+    """Pages from trees of boxes without telling names; the plain way counts rendered boxes, which are subtrees too."""
+    rng = random.Random(11)
+    boxes = {h: [box(rng, 2) for _ in range(6)] for h in range(4)}
+    pages = []
+    for i in range(160):
+        h = rng.randrange(4)
+        inside = [("p", f"story {i} {rng.random()}"), ("div", [("p", f"figure {i} {rng.random()}")])]
+        inside += rng.sample(boxes[h], rng.randrange(4)) + [("p", "a passage that all quote")]
+        rng.shuffle(inside)
+        pages.append((i, h, inside))
+    pages += [(1000 + i, 0, pages[0][2]) for i in range(20)]  # copies count once
+    contents = {i: "|".join(map(render, inside)) for i, _, inside in pages}
+    seen = defaultdict(set)
+    for i, h, inside in pages:
+        for t in inside:
+            for x in subtrees(t):
+                seen[h, render(x)].add(contents[i])
+    dead = {k for k, v in seen.items() if len(v) >= 10}
+    want = {i: "\n".join(x for t in inside for x in left(t, h, dead)) for i, h, inside in pages}
+    rows = [(i, f"https://host{h}.com/{i}", f"<body>{FURNITURE[0]}{FURNITURE[1] % i}<article>{contents[i].replace('|', '')}</article>{FURNITURE[2] % i}{FURNITURE[3] % i}") for i, h, _ in pages]
+    got = texts(H.extract_main_text(spark.createDataFrame(rows, PAGES)))
+    assert got == want
+    uncounted = texts(H.extract_main_text(spark.createDataFrame(rows, PAGES), min_pages=10**6))
+    assert sum(got[i] != uncounted[i] for i in got) > 60  # counting decides the result
+
+
+def box(rng, depth):
+    kids = [("p", f"box {rng.random()}")] + [box(rng, depth - 1) for _ in range(rng.randrange(3) if depth else 0)]
+    return (rng.choice(["div", "section"]), kids)
+
+
+def render(t):
+    return f"<{t[0]}>{t[1] if isinstance(t[1], str) else ''.join(map(render, t[1]))}</{t[0]}>"
+
+
+def subtrees(t):
+    """Those that may be templates: no paragraphs."""
+    return [] if isinstance(t[1], str) else [t, *[x for k in t[1] for x in subtrees(k)]]
+
+
+def left(t, host, dead):
+    if (host, render(t)) in dead:
+        return []
+    return [t[1]] if isinstance(t[1], str) else [x for k in t[1] for x in left(k, host, dead)]
+
+
+def test_names_in_articles(spark):
+    """Words of furniture within other names drop nothing, and no paragraph or heading goes by its name."""
+    kept = ["<section id='related-work'><p>a</p></section>", "<h2 id='notice-period'>b</h2>", "<div class='ad-hoc-analysis'><p>c</p></div>", "<p class='share-price'>d</p>", "<p class='comment'>e</p>", "<div class='product-comparison-ad'>f</div>"]
+    gone = ["<div class='ad'>x</div>", "<ul class='comment-list'><li>x</ul>", "<section class='related-posts box'>x</section>", "<div id='comments'><p>x</div>", "<div class=ad-300x250>x</div>"]
+    rows = [(1, "u", f"<article>{''.join(kept)}{''.join(gone)}</article>"), (2, "u", "<main><p>Main story</p></main><article class=teaser><p>Teaser</p></article><p>rest</p>")]
+    got = texts(H.extract_main_text(spark.createDataFrame(rows, PAGES)))
+    assert got == {1: "\n".join("abcdef"), 2: "Main story\nTeaser"}
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page, start = "<div>x" * n + "</p></span>" * n, time.perf_counter()
+        H.parse_page(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 30 * max(0.02, seconds(4000))
