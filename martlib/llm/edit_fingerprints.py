@@ -1,11 +1,13 @@
 """Document fingerprints by a randomised edit embedding (Chakraborty, Goldenberg and Koucky, 2016).
 
-A shared random walk reads a text: at step j it writes the character under its pointer, and a random bit that depends on j
-and on that character alone says whether the pointer moves on. After an edit two walks soon fall back into step, so the edit
-distance of texts becomes a Hamming distance of walks, whatever their lengths. A fingerprint samples the walk's
-coordinates: a shared hash deals the steps into BANDS * ROWS bins, and each bin keeps the low byte of the coordinate (step,
-character) with the least priority, so texts with that coordinate in common agree there. Likeness is the share of bins that
-agree. Texts that agree on all bins of a band are candidates, and whole fingerprints verify them (similar_documents).
+A shared random walk reads a text: at step j it stands on a character, and a random bit that depends on j and on that
+character alone says whether it moves on. After an edit two walks soon fall back into step (most of the time: how long it takes
+has a heavy tail, so WALKS walks share the work), and the edit distance of texts becomes a Hamming distance of walks. A
+fingerprint samples steps of the walks, the same steps for all texts: a shared hash deals the steps into bins and gives each a
+rank, and each bin keeps a byte for the two characters at which the walk stood at its step of the lowest rank. A text of
+any length is sampled over its whole walk; walks of different lengths have the lowest-ranked step of a bin in common as often
+as the shorter one's length is to the longer one's. Likeness is the share of bins that agree. Texts that agree on all bins of
+a band are candidates, and whole fingerprints verify them (similar_documents).
 
 The walk is sequential in a text, so numpy walks many texts abreast, one step at a time.
 """
@@ -24,34 +26,30 @@ from pyspark.sql import types as T
 from martlib.llm.buckets import links_in_buckets
 from martlib.llm.common import map_texts, read, small_batches
 
-BANDS, ROWS, CLASSES, PERIOD, SEED = 32, 4, 256, 4096, 11
+BANDS, ROWS, CLASSES, PERIOD, WALKS, SEED = 32, 4, 256, 4096, 2, 11
 BINS = BANDS * ROWS
+OF_WALK = BINS // WALKS
 #: Code points of the texts that a task holds and walks abreast (a longer text walks alone); documents of one range of ids.
-ABREAST, RANGE_DOCS = 16_000_000, 6_000
-_NONE, _END, _BLOCK = np.uint32(0xFFFFFFFF), np.zeros(1, np.uint8), 64
+ABREAST, RANGE_DOCS = 16_000_000, 20_000
+_END, _BLOCK, _LEAST = np.zeros(1, np.uint8), 64, -(1 << 63)
 
 
 def _tables():
-    rng = np.random.default_rng(SEED)
-    moves = rng.integers(0, 2, (PERIOD, CLASSES), dtype=np.int64)
-    moves[:, 0] = 0  # class 0: the end, where the pointer stays
-    return moves, rng.integers(1, 1 << 32, CLASSES, dtype=np.uint32)
+    moves = np.random.default_rng(SEED).integers(0, 2, (WALKS, PERIOD, CLASSES), dtype=np.int64)
+    moves[:, :, 0] = 0  # class 0: the end, where the pointer stays
+    return moves
 
 
-MOVES, SALT = _tables()
+MOVES = _tables()
 
 
-def _steps(start: int) -> tuple[list[int], np.ndarray]:
-    """Of _BLOCK steps from start on: the bin of each, and each class's priority there."""
+def _steps(walk: int, start: int) -> tuple[list[int], list[int]]:
+    """The bin and the rank of each of _BLOCK steps of a walk from start on."""
     with np.errstate(over="ignore"):
-        x = (np.arange(start, start + _BLOCK, dtype=np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (np.arange(start, start + _BLOCK, dtype=np.uint64) * np.uint64(WALKS) + np.uint64(walk + SEED)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(27)
-        h = (SALT[None, :] ^ (x >> np.uint64(32)).astype(np.uint32)[:, None]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-    h[:, 0] = _NONE
-    return (x & np.uint64(BINS - 1)).astype(np.int64).tolist(), h
+    return (x % np.uint64(OF_WALK)).tolist(), (x >> np.uint64(16)).tolist()
 
 
 def classes(text: str) -> np.ndarray:
@@ -63,34 +61,43 @@ def classes(text: str) -> np.ndarray:
 def fingerprints(texts: list[str]) -> np.ndarray:
     """(texts, BINS) bytes. A bin that no step fell into takes the next one's byte; an empty text has zeros only."""
     n = len(texts)
-    out = np.full((BINS, n), _NONE, np.uint32)
     codes = [classes(t) for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
     flat = np.concatenate([x for c in codes for x in (c, _END)]) if n else _END
     del codes
     first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if n else sizes
+    two = np.zeros(len(flat), np.uint8)  # a character and the next one as 1 to 255
+    two[:-1] = (flat[:-1].astype(np.uint32) * 263 + flat[1:]) % 255 + 1
+    out = np.concatenate([_walk(w, flat, two, first, sizes) for w in range(WALKS)])
+    for _ in range(BINS):
+        empty = (out == 0) & (sizes > 0)
+        if not empty.any():
+            break
+        out = np.where(empty, np.roll(out, -1, axis=0), out)
+    return out.T
+
+
+def _walk(walk: int, flat: np.ndarray, two: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(OF_WALK, texts) bytes that one walk leaves; 0 where no step fell."""
+    out = np.zeros((OF_WALK, len(sizes)), np.uint8)
     live = np.flatnonzero(sizes)
     pos, end = first[live], (first + sizes)[live]
-    sig, j = np.full((BINS, len(live)), _NONE, np.uint32), 0
+    sig, lowest, j = np.zeros((OF_WALK, len(live)), np.uint8), [1 << 64] * OF_WALK, 0
+    moves = MOVES[walk]
     while len(live):
-        bins, priority = _steps(j)
+        bins, ranks = _steps(walk, j)
         for k in range(_BLOCK):
             c = flat.take(pos)
-            row = sig[bins[k]]
-            np.minimum(row, priority[k].take(c), out=row)
-            pos += MOVES[(j + k) % PERIOD].take(c)
+            if ranks[k] < lowest[bins[k]]:
+                lowest[bins[k]] = ranks[k]
+                np.copyto(sig[bins[k]], two.take(pos), where=c > 0)  # walks that are over keep what they have
+            pos += moves[(j + k) % PERIOD].take(c)
         j += _BLOCK
         over = pos >= end
         if (gone := int(over.sum())) == len(live) or 8 * gone > len(live):  # arrays shrink in few, growing steps
             out[:, live[over]] = sig[:, over]
             live, pos, end, sig = live[~over], pos[~over], end[~over], np.ascontiguousarray(sig[:, ~over])
-    empty = out == _NONE
-    for _ in range(BINS if empty.any() else 0):
-        out = np.where(empty, np.roll(out, -1, axis=0), out)
-        if not (empty := empty & np.roll(empty, -1, axis=0)).any() or empty[:, sizes > 0].sum() == 0:
-            break
-    out[:, sizes == 0] = 0
-    return (out & np.uint32(0xFF)).astype(np.uint8).T
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,42 +135,59 @@ def similar_documents(prints: DataFrame, least: float = 0.8, key: str = "doc_id"
     return equal.unionByName(near)
 
 
+def place_among(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bounds (rows of id, hash, in order) lie below each (id, hash), and whether it is itself a bound."""
+    first, after = (np.searchsorted(bounds[:, 0], ids, side) for side in ("left", "right"))
+    at = first.copy()
+    for i in np.unique(ids[after > first]):  # ids that bound a range
+        some = ids == i
+        a, b = np.searchsorted(bounds[:, 0], [i, i], "left")[0], np.searchsorted(bounds[:, 0], i, "right")
+        at[some] = a + np.searchsorted(bounds[a:b, 1], hashes[some])
+    at = np.minimum(at, len(bounds) - 1)
+    return at, (bounds[at, 0] == ids) & (bounds[at, 1] == hashes)
+
+
+def _greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greatest (i, h) of a partition."""
+    best = max(((int(i[k]), int(h[k])) for i, h in ((b.column("i").to_numpy(), b.column("h").to_numpy()) for b in batches) if len(i) for k in [np.lexsort((h, i))[-1]]), default=None)
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in best], names=["i", "h"])
+
+
 def by_descending_id(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     """doc_id, text, __range, __ahead: ranges of ids, each in one task in descending order, followed by the document that
     comes next after its last (__ahead = 1), which is the first of the range below; below the lowest, the first of all.
 
-    Range bounds are ids that occur, so the first of each range is known and travels to the range above as well: one shuffle.
-    Rows without an id come after all ids; ties are in order of text.
+    Range bounds are rows that occur, the greatest of each part that Spark's range partitioning makes, so the first of each
+    range is known and travels to the range above as well: one shuffle of texts. The bounds are two numbers for range_docs
+    documents. Rows of one id are in order of their text's hash, and a bound may lie among them; rows without an id come
+    after all ids.
     """
-    ids = docs.select("doc_id")
-    n = ids.agg(F.count("doc_id").alias("n")).first()["n"]
-    m = max(1, -(-n // range_docs))
-    shares = F.array(*[F.lit((k + 1) / m) for k in range(m)])
-    got = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * m)).alias("q"), F.max("doc_id").alias("most")).first()
-    bounds = np.unique(np.array([*(got["q"] or []), got["most"]] if n else [], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(bounds)  # one id for range_docs documents
-
-    @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        at = np.searchsorted(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at), pa.int32())
-
-    @F.arrow_udf("int")
-    def range_above(ids: pa.Array) -> pa.Array:
-        """Of an id that bounds a range: the range above, or the lowest one for the greatest id. Of others -1."""
-        values, bounds = ids.fill_null(0).to_numpy(zero_copy_only=False), shared.value
-        if not len(bounds):
-            return pa.array(np.full(len(values), -1), pa.int32())
-        at = np.minimum(np.searchsorted(bounds, values), len(bounds) - 1)
-        hit = (bounds[at] == values) & ~ids.is_null().to_numpy(zero_copy_only=False)
-        return pa.array(np.where(hit, (at + 1) % len(bounds), -1), pa.int32())
-
-    both = docs.select("doc_id", "text", range_of("doc_id").alias("own"), range_above("doc_id").alias("above"))
-    homes = F.when(F.col("above") < 0, F.array(F.struct(F.col("own").alias("r"), F.lit(0).alias("a")))).otherwise(
-        F.array(F.struct(F.col("own").alias("r"), F.lit(0).alias("a")), F.struct(F.col("above").alias("r"), F.lit(1).alias("a")))
-    )
-    placed = both.select("doc_id", "text", F.explode(homes).alias("h")).select("doc_id", "text", F.col("h.r").alias("__range"), F.col("h.a").alias("__ahead"))
-    return placed.repartitionById(max(1, len(bounds)), F.col("__range")).sortWithinPartitions("__range", "__ahead", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    spark = docs.sparkSession
+    hashed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LEAST)).alias("i"), F.xxhash64("text").alias("h"))
+    n = max(2 * spark.sparkContext.defaultParallelism if range_docs == RANGE_DOCS else 1, -(-docs.count() // range_docs))
+    found = hashed.select("i", "h").repartitionByRange(n, "i", "h").mapInArrow(_greatest, "i long, h long").toArrow()
+    bounds = np.unique(np.stack([found.column(c).to_numpy().astype(np.int64) for c in ("i", "h")], axis=1), axis=0)
+    if not len(bounds):
+        bounds = np.zeros((1, 2), np.int64)
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf(T.IntegerType())
+    def range_of(i: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(place_among(i.to_numpy(), h.to_numpy(), shared.value)[0], pa.int32())
+
+    @F.arrow_udf(T.IntegerType())
+    def range_above(i: pa.Array, h: pa.Array) -> pa.Array:
+        """Of a row that bounds a range: the range above, or the lowest one for the greatest row. Of others -1."""
+        at, is_bound = place_among(i.to_numpy(), h.to_numpy(), shared.value)
+        return pa.array(np.where(is_bound, (at + 1) % len(shared.value), -1), pa.int32())
+
+    both = hashed.select("doc_id", "text", "i", "h", range_of("i", "h").alias("own"), range_above("i", "h").alias("above"))
+    at_home = F.struct(F.col("own").alias("r"), F.lit(0).alias("a"))
+    homes = F.when(F.col("above") < 0, F.array(at_home)).otherwise(F.array(at_home, F.struct(F.col("above").alias("r"), F.lit(1).alias("a"))))
+    placed = both.select("doc_id", "text", "i", "h", F.explode(homes).alias("p")).select("doc_id", "text", "i", "h", F.col("p.r").alias("__range"), F.col("p.a").alias("__ahead"))
+    order = ["__range", "__ahead", F.desc("i"), F.desc("h"), F.asc_nulls_first("text")]
+    return placed.repartitionById(len(bounds), F.col("__range")).sortWithinPartitions(*order).drop("i", "h")
 
 
 FIELDS = T.StructType(
@@ -231,8 +255,8 @@ def compare_edited(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     """FIELDS for every row of docs (doc_id, text): fingerprints of each text and of its edited text, and likenesses.
 
     The edited text ends in the start of the next document, by descending doc_id; after the last comes the first. Null texts
-    are empty; two empty texts have likeness 1. Repeated ids are in order of text, and rows without an id come last. A single
-    row is followed by itself. An empty table gives an empty table. Further columns are ignored.
+    are empty; two empty texts have likeness 1. Rows of one id are in order of their text's hash, and rows without an id come
+    last. A single row is followed by itself. A very long text walks alone. An empty table gives an empty table. Further columns are ignored.
     """
     small_batches(docs.sparkSession)
     return by_descending_id(docs.select("doc_id", "text"), range_docs).mapInArrow(_walked, FIELDS)

@@ -8,25 +8,19 @@ from tests.llm.conftest import tables
 
 
 def walked(text):
-    """The coordinates of one walk, one step at a time."""
-    codes, at, j, best = E.classes(text), 0, 0, {}
-    while at < len(codes):
-        bins, priority = E._steps(j - j % E._BLOCK)
-        c = codes[at]
-        p = int(priority[j % E._BLOCK][c])
-        b = bins[j % E._BLOCK]
-        best[b] = min(best.get(b, p), p)
-        at += int(E.MOVES[j % E.PERIOD][c])
-        j += 1
-    out, k = [], 0
-    for b in range(E.BINS):
-        k = b
-        while k % E.BINS not in best:
-            k += 1
-            if k > b + E.BINS:
-                return [0] * E.BINS
-        out.append(best[k % E.BINS] & 0xFF)
-    return out
+    """The sampled steps of the walks, one step at a time."""
+    codes, best = [*map(int, E.classes(text)), 0], {}
+    for w in range(E.WALKS):
+        at, j = 0, 0
+        while at < len(codes) - 1:
+            bins, ranks = E._steps(w, j - j % E._BLOCK)
+            b = w * E.OF_WALK + bins[j % E._BLOCK]
+            best[b] = min(best.get(b, (1 << 65, 0)), (ranks[j % E._BLOCK], (codes[at] * 263 + codes[at + 1]) % 255 + 1))
+            at += int(E.MOVES[w][j % E.PERIOD][codes[at]])
+            j += 1
+    if not best:
+        return [0] * E.BINS
+    return [next(best[k % E.BINS][1] for k in range(b, b + E.BINS) if k % E.BINS in best) for b in range(E.BINS)]
 
 
 def test_walks_abreast_equal_walks_alone():
@@ -77,6 +71,48 @@ def test_edge_cases(spark, odd, none):
     assert E.compare_edited(missing).count() == 2
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_recall_against_exact_edit_distance(spark):
+    """Texts of 400 characters with a few edits: pairs within two per cent of their length are found, others are not."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(400))
+        for n in (0, 1, 2, 4):
+            t = list(base)
+            for _ in range(n):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice(["", [rng.choice("xyz")], [t[at], rng.choice("xyz")]])
+            texts.append("".join(t))
+    near = {(i, j) for f in range(0, 100, 4) for i in range(f, f + 4) for j in range(i + 1, f + 4) if edit_distance(texts[i], texts[j]) <= 8}
+    links = E.similar_documents(E.add_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), least=0.6)
+    up = list(range(100))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for r in links.collect():
+        up[find(r["a"])] = find(r["b"])
+        assert r["a"] // 4 == r["b"] // 4
+    assert len(near) > 100 and sum(find(i) == find(j) for i, j in near) >= 0.9 * len(near)
+
+
+def test_one_id_in_many_ranges(spark):
+    """A third of the rows have one id, a third have none; every row is compared with the one after it."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    want = sorted((E.likeness(f[:1], f[1:])[0], len(t)) for k, (_, t) in enumerate(order) for f in [E.fingerprints([t, order[(k + 1) % 90][1]])])
+    for size in (E.RANGE_DOCS, 5):
+        assert sorted((r["near_next"], r["n_chars"]) for r in E.compare_edited(docs, size).collect()) == want
+
+
 def test_similar_documents(spark):
     rng = random.Random(1)
     base = ["".join(rng.choice("abcdefghij ") for _ in range(600)) for _ in range(30)]
