@@ -1,30 +1,32 @@
 """Language identification by known words first, then by ever shorter character n-grams.
 
-Training counts, per language, the words and the n-grams (lengths MAX_GRAM to 1, with word boundaries) of a bounded sample
-of documents. A word that training knows scores its smoothed log frequency in each language. Any other word is walked from
-left to right: at each position the longest known n-gram that ends there is used, else the next shorter one at a fixed cost.
-A text scores the sum over its words; its score is the posterior of the best language for a text of the same average word.
+Spark counts, per language, the words and the n-grams (lengths MAX_GRAM to 1, with word boundaries) of a bounded sample of
+documents; the model keeps all that the sample has. A word that training knows scores its smoothed log frequency in each
+language. Any other word is walked from left to right: at each position the longest known n-gram that ends there is used,
+else the next shorter one at a fixed cost. A text scores the sum over its words; its score is the posterior of the best
+language for a text of the same average word. Words are runs of letters, in training and afterwards.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlib.llm.common import map_texts, read
+from martlib.llm.common import map_texts, materialize, read
 
-#: Bounds of the model: about SAMPLE_DOCS documents for a language, its MODEL_WORDS most frequent words (each in two
-#: documents or more), and its MODEL_GRAMS most frequent n-grams of those.
-SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, MAX_GRAM = 1200, 20_000, 20_000, 4
+#: Bounds of the labelled rows that are learned from: about SAMPLE_DOCS documents of a language and SAMPLE_ROWS of all languages
+#: together, drawn by hash, none over SAMPLE_CHARS code points.
+SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_CHARS, MAX_GRAM = 600, 60_000, 200_000, 4
 BACKOFF, CACHE_WORDS, UNKNOWN = math.log(0.4), 200_000, "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -32,92 +34,102 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, str, int]]:
-    """(language, word, count) of the model, counted by Spark in a sample drawn by hash of the key; bounded as stated above,
-    for the 1,000 most frequent languages at most."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(lang).agg(F.count("*").alias("__n"))
-    drawn = known.join(F.broadcast(sizes.orderBy(F.desc("__n"), lang).limit(1000)), lang)
-    drawn = drawn.where(F.pmod(F.xxhash64(F.col(key), F.lit("langid")), F.lit(1_000_000)) < F.lit(1_000_000.0) * sample_docs / F.col("__n"))
-    words = drawn.select(F.col(lang).alias("lang"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"), F.col(key).alias("key")).where("word <> ''")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word")))
-    frequent = counts.where("a <> b").withColumn("part", F.pmod(F.hash("word"), F.lit(32)))
-    short = frequent.groupBy("lang", "part").agg(F.slice(best, 1, MODEL_WORDS // 32).alias("top"))  # about the most frequent: the top of each hash part
-    return [(r["lang"], r["word"], -r["n"]) for r in short.select("lang", F.explode("top").alias("t")).select("lang", "t.word", "t.n").collect()]
+def grams_of(word: str) -> Iterable[str]:
+    w = f" {word} "
+    return (w[i : i + size] for size in range(1, MAX_GRAM + 1) for i in range(len(w) - size + 1))
 
 
-class Model:
-    """Per-language log frequencies; langs are the learned values in order."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model of the languages of docs, counted by Spark in a sample drawn by hash of the key (rows without a key by their text).
+
+    Every language has a share of the sample, the rare ones all of their documents. Rows without a language or text, or over
+    SAMPLE_CHARS, teach nothing. More languages than sample_rows are an error: such a column holds something else.
+    """
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
+    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    languages = sizes.agg(F.count("*").alias("k"))
+    room = F.when(F.col("k") <= sample_rows, F.least(F.lit(sample_docs), F.lit(float(sample_rows)) / F.col("k"))).otherwise(F.raise_error(F.lit(f"more than {sample_rows} languages")).cast("double"))
+    shares = sizes.crossJoin(F.broadcast(languages)).select("lang", (room / F.col("n")).alias("share"))  # one row
+    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit("langid")), 11) / F.lit(2.0**53)
+    drawn = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).join(shares, "lang").where("place < share")
+    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    counts = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    w = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+
+    def of_size(size: int):
+        starts = F.sequence(F.lit(1), F.char_length("word") + 3 - size)
+        return F.when(F.char_length("word") + 2 >= size, F.transform(starts, lambda i: F.substring(w, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(*[of_size(size) for size in range(1, MAX_GRAM + 1)])
+    of_grams = counts.select("lang", F.explode(grams).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = lambda df: zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True)
+    return Model(rows(counts.select("lang", "word", "n")), rows(of_grams.select("lang", "gram", "n")))
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
+
+class Model:
+    """Per-language log frequencies; langs are the learned values in order. words and grams name the rows of two matrices."""
+
+    def __init__(self, counts: Iterable[tuple[str, str, int]], grams: Iterable[tuple[str, str, int]] | None = None):
+        counts = sorted(counts)
+        if grams is None:
+            summed: Counter[tuple[str, str]] = Counter()
+            for lang, word, n in counts:
+                for g in grams_of(word):
+                    summed[lang, g] += n
+            grams = [(*k, n) for k, n in summed.items()]
+        grams = sorted(grams)
         self.langs = sorted({lang for lang, _, _ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
         self.k = len(self.langs)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.k))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.k))
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-            w = f" {word} "
-            for size in range(1, MAX_GRAM + 1):
-                for i in range(len(w) - size + 1):
-                    grams[w[i : i + size]][at[lang]] += n
-        kept = set()
-        for i in range(self.k):
-            for size in range(1, MAX_GRAM + 1):
-                own = ((v[i], g) for g, v in grams.items() if len(g) == size and v[i])
-                kept.update(g for _, g in sorted(own, reverse=True)[: MODEL_GRAMS // MAX_GRAM])
-        self.words = self._logs(words)
-        self.gram_at: dict[str, int] = {}
-        rows = [np.zeros(self.k)]  # row 0: a character that training never saw
+        self.words, self.word_rows = self._logs(counts)
+        self.grams, parts = [], [np.zeros((1, self.k))]  # row 0: a character that training never saw
         for size in range(1, MAX_GRAM + 1):
-            for g, v in self._logs({g: v for g, v in grams.items() if len(g) == size and g in kept}).items():
-                self.gram_at[g] = len(rows)
-                rows.append(v + BACKOFF * (MAX_GRAM - size))
-        self.gram_rows = np.array(rows)
-
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        total = np.sum(list(counts.values()), axis=0)
-        return {w: np.log((v + 0.1) / (total + 0.1 * len(counts))) for w, v in counts.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is not None:
-            return got
-        w, at, found = f" {word} ", self.gram_at, []
-        for end in range(2, len(w) + 1):
-            for start in range(max(0, end - MAX_GRAM), end):
-                if (g := at.get(w[start:end])) is not None:
-                    found.append(g)
-                    break
-        return self.gram_rows[found].sum(axis=0) * (2 / (len(w) - 1))  # an unseen word weighs less than a known one
+            names, rows = self._logs([r for r in grams if len(r[1]) == size])
+            self.grams += names
+            parts.append(rows + BACKOFF * (MAX_GRAM - size))
+        self.gram_rows = np.concatenate(parts)
+
+    def _logs(self, counts: list[tuple[str, str, int]]) -> tuple[list[str], np.ndarray]:
+        names = sorted({name for _, name, _ in counts})
+        at, of = {n: i for i, n in enumerate(names)}, {lang: i for i, lang in enumerate(self.langs)}
+        v = np.zeros((len(names), self.k))
+        for lang, name, n in counts:
+            v[at[name], of[lang]] = n
+        return names, np.log((v + 0.1) / (v.sum(axis=0) + 0.1 * len(names))) if names else v
 
 
 class Predictor:
-    """A model with the scores of words already met: rows of one matrix."""
+    """A model with the scores of words already met: rows of one matrix, those that training knows first."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.gram_at = {g: i + 1 for i, g in enumerate(model.grams)}
         self._clear()
 
     def _clear(self):
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.model.k))
+        self.at: dict[str, int] = {w: i for i, w in enumerate(self.model.words)}
+        self.rows = np.concatenate([self.model.word_rows, np.zeros((1024, self.model.k))])
+
+    def unseen(self, word: str) -> np.ndarray:
+        w, at, found = f" {word} ", self.gram_at, []
+        for end in range(2, len(w) + 1):
+            for start in range(max(0, end - MAX_GRAM), end):
+                if (g := at.get(w[start:end])) is not None:
+                    found.append(g)
+                    break
+        return self.model.gram_rows[found].sum(axis=0) * (2 / (len(w) - 1))  # an unseen word weighs less than a known one
 
     def _row(self, word: str) -> int:
         i = self.at[word] = len(self.at)
         if i >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.word(word)
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 4, self.model.k))])
+        self.rows[i] = self.unseen(word)
         return i
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.model.k:
             return UNKNOWN, 0.0
-        if len(self.at) > CACHE_WORDS:
+        if len(self.at) > len(self.model.words) + CACHE_WORDS:
             self._clear()
         at, row = self.at, self._row
         total = self.rows_of([at[w] if w in at else row(w) for w in words])
@@ -129,14 +141,14 @@ class Predictor:
         return self.rows[ids].sum(axis=0)
 
 
-def identify_language(df: DataFrame, counts: list[tuple[str, str, int]], text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+def identify_language(df: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """Append lang_pred and score to every row of df, from whole texts alone.
 
     Null texts, texts without a letter, and all texts if nothing was learned: `und` and 0. Equal texts get equal results;
     ties go to the first language in alphabetical order; other columns pass through, and input columns named lang_pred or
     score are replaced. An empty table gives an empty table.
     """
-    shared, name = df.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex
+    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
         predict = _predictor(name, shared)
@@ -151,12 +163,12 @@ _LAST: list = [None, None]
 def _predictor(name: str, shared) -> Predictor:
     """One predictor in a worker for the model in use."""
     if _LAST[0] != name:
-        _LAST[:] = [name, Predictor(Model(shared.value))]
+        _LAST[:] = [name, Predictor(shared.value)]
     return _LAST[1]
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
-    counts = word_counts(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), counts, drop=("text",))
+    model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), model, drop=("text",))

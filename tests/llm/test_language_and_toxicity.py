@@ -1,4 +1,8 @@
+import math
+import random
+import unicodedata
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ def test_language_edge_cases(spark, odd, none, tmp_path):
     assert by_id[None][0] is not None and {r["held_out"] for r in got if r["doc_id"] is None} == {True}
     assert L.op5_language_id(spark, tables(spark, tmp_path / "none", documents=none)).count() == 0
     clash = odd.withColumnRenamed("lang", "SCORE")
-    assert L.identify_language(clash, []).columns == ["doc_id", "text", "source", "n_chars", "lang_pred", "score"]
+    assert L.identify_language(clash, L.Model([])).columns == ["doc_id", "text", "source", "n_chars", "lang_pred", "score"]
 
 
 def test_unseen_words_back_off(spark):
@@ -47,6 +51,49 @@ def test_unseen_words_back_off(spark):
     assert predict("sting")[0] == "en" and predict("gateaux")[0] == "fr"
     assert predict("1234") == ("und", 0.0) and predict(None) == ("und", 0.0)
     assert 0 <= predict("漢字")[1] <= 1
+    assert predict("½ ² Ⅷ ①") == predict("_ -") == ("und", 0.0)
+
+
+def test_language_equals_a_plain_way(spark):
+    """Counts, model and scores from scratch, with nothing but dictionaries."""
+    rng = random.Random(3)
+    made = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 30)))
+    rows = [(i, made(letters) + rng.choice([" 12½", "", "! X²y"]), lang) for i in range(60) for lang, letters in [rng.choice([("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "efghij")])]]
+    rows += [(100, "only one text speaks it", "rare"), (101, None, "aa"), (102, "no language", None)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    split = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+    words, grams = Counter(), Counter()
+    for _, t, lang in rows:
+        if t and lang:
+            for w in split(t):
+                words[lang, w] += 1
+                for n in range(1, 5):
+                    for k in range(len(w) + 3 - n):
+                        grams[lang, n, f" {w} "[k : k + n]] += 1
+    langs = ["aa", "bb", "cc", "rare"]
+    known, seen = {w for _, w in words}, {(n, g) for _, n, g in grams}
+
+    def log(counts, key, lang, of):
+        every = {k[1:] for k in counts if of(k)}
+        return math.log((counts.get((lang, *key), 0) + 0.1) / (sum(v for k, v in counts.items() if k[0] == lang and of(k)) + 0.1 * len(every)))
+
+    def score(word, lang):
+        if word in known:
+            return log(words, (word,), lang, lambda k: True)
+        w, total = f" {word} ", 0.0
+        for end in range(2, len(w) + 1):
+            n = next((n for n in range(min(4, end), 0, -1) if (n, w[end - n : end]) in seen), 0)
+            total += log(grams, (n, w[end - n : end]), lang, lambda k: k[1] == n) + (4 - n) * math.log(0.4) if n else 0.0
+        return total * 2 / (len(w) - 1)
+
+    predict = L.Predictor(model)
+    assert model.langs == langs
+    for text in ["abc deé", "fghij zz new", "only speaks", rows[0][1], "Cß a1b ÉÉ"]:
+        totals = [sum(score(w, lang) for w in split(text)) for lang in langs]
+        best = max(range(4), key=lambda i: totals[i])
+        want = 1 / sum(math.exp((t - totals[best]) / math.sqrt(len(split(text)))) for t in totals)
+        got = predict(text)
+        assert got[0] == langs[best] and abs(got[1] - want) < 1e-9
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -101,6 +148,42 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * eps) - grads[k][at]) < 2e-3 + 0.02 * abs(grads[k][at]), k
 
 
+def test_toxicity_equals_a_plain_network(spark):
+    """Scores of trained weights, one word at a time in plain loops; the highest window counts."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("good", "bad", "ugly", "plain") for b in ("ing", "er", "s", "")]
+    rows = [(" ".join(rng.choice(words[:4] + words[8:]) for _ in range(30)) + (" bad bader" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    net = X.train(rows)
+    P, h = net.P, X.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(xs, way):
+        s, out = [0.0] * h, []
+        for x in xs:
+            gates = [sum(x[d] * P[f"W{way}"][d, g] for d in range(len(x))) + P[f"c{way}"][g] for g in range(3 * h)]
+            z, r = ([sig(gates[o + k] + sum(s[d] * P[f"U{way}"][d, o + k] for d in range(h))) for k in range(h)] for o in (0, h))
+            new = [math.tanh(gates[2 * h + k] + sum(r[d] * s[d] * P[f"U{way}"][d, 2 * h + k] for d in range(h))) for k in range(h)]
+            s = [s[k] + z[k] * (new[k] - s[k]) for k in range(h)]
+            out.append(s)
+        return out
+
+    def window(some):
+        xs = [net.embed([w])[0] for w in some]
+        both = [a + b for a, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        weights = [math.exp(sum(a * v for a, v in zip(P["att"], s, strict=True))) for s in both]
+        pooled = [sum(w * s[k] for w, s in zip(weights, both, strict=True)) / sum(weights) for k in range(2 * h)]
+        return sig(sum(a * b for a, b in zip(P["out"], pooled, strict=True)) + P["bias"][0])
+
+    texts = [rows[0][0], "bad", "good plain unknown", " ".join(w for t, _ in rows[:4] for w in t.split()), ""]
+    got = X.Scorer(net).texts(texts)
+    for text, score in zip(texts, got, strict=True):
+        some = text.split()
+        starts = range(0, max(1, len(some) - X.WINDOW + X.STRIDE), X.STRIDE)
+        want = max(window(some[min(s, max(0, len(some) - X.WINDOW)) :][: X.WINDOW]) for s in starts) if some else 0.0
+        assert abs(score - want) < 1e-4
+    assert got[0] > got[2]
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, X.WINDOW - 1, X.WINDOW, X.WINDOW + 1, 1000):
         spans = X.windows_of(n)
