@@ -1,4 +1,5 @@
-"""Merges, history and incremental loads. All are idempotent: applied again with the same input, they change nothing.
+"""Merges, history and incremental loads. All are idempotent: applied again with the same input, they change nothing. Null
+keys are keys: null equals null.
 
 Targets are DataFrames, and each function returns the new target; sources.writers publishes it.
 """
@@ -18,6 +19,12 @@ def _differs(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [~F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns], F.lit(False))
 
 
+def _matched(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join by keys, null equal to null."""
+    b = other.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return df.join(b, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how)
+
+
 def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, attributes: list[str], as_of: Column | str) -> DataFrame:
     """dim (key, attributes, valid_from, valid_to, is_current) after a snapshot (key, attributes) of the day as_of.
 
@@ -28,15 +35,15 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, attributes: list[s
     day = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
     new = snapshot.select(F.col(key).alias("__key"), F.struct(*attributes).alias("s"), day.alias("__day"))
     old = dim.where("is_current").select(key, F.struct(*attributes).alias("o"), "valid_from")
-    pairs = old.join(new, F.col(key) == F.col("__key"), "full")
+    pairs = old.join(new, F.col(key).eqNullSafe(F.col("__key")), "full")
     values = lambda side: [F.col(f"{side}.{c}").alias(c) for c in attributes]
     end = F.lit(C.OPEN_END).cast("date")
     row = lambda side, start, stop, current: F.struct(F.coalesce(F.col(key), F.col("__key")).alias(key), *values(side), start.alias("valid_from"), stop.alias("valid_to"), F.lit(current).alias("is_current"))
     kept, opened = row("o", F.col("valid_from"), end, True), row("s", F.col("__day"), end, True)
     closed, corrected = row("o", F.col("valid_from"), F.date_sub("__day", 1), False), row("s", F.col("valid_from"), end, True)
-    changed = F.col("__key").isNotNull() & _differs("o", "s", attributes)
+    changed = F.col("s").isNotNull() & _differs("o", "s", attributes)
     out = (
-        F.when(F.col(key).isNull(), F.array(opened))
+        F.when(F.col("o").isNull(), F.array(opened))
         .when(changed & (F.col("__day") > F.col("valid_from")), F.array(closed, opened))
         .when(changed & (F.col("__day") == F.col("valid_from")), F.array(corrected))
         .otherwise(F.array(kept))
@@ -68,8 +75,9 @@ def scd2_replay(events: DataFrame, key: str, attribute: str, at: str, tie: list,
 
 def scd1_upsert(dim: DataFrame, batch: DataFrame, key: str, description: str, order: list[Column]) -> DataFrame:
     """Latest non-empty description of each key; an empty one never replaces another."""
-    best = latest_per_key(batch, [key], [F.col(description).isNull().asc(), *order]).select(key, F.col(description).alias("__new"))
-    return dim.select(key, description).join(best, key, "full").select(key, F.coalesce("__new", description).alias(description))
+    best = latest_per_key(batch, [key], [F.col(description).isNull().asc(), *order]).select(F.col(key).alias("__key"), F.col(description).alias("__new"))
+    both = dim.select(key, description).join(best, F.col(key).eqNullSafe(F.col("__key")), "full")
+    return both.select(F.coalesce(key, "__key").alias(key), F.coalesce("__new", description).alias(description))
 
 
 def scd1_latest(dim: DataFrame, batch: DataFrame, key: str, description: str, at: str, tie: str) -> DataFrame:
@@ -89,12 +97,12 @@ def scd1_rebuild(lines: DataFrame, key: str, description: str, at: str, tie: str
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """The batch's row wins on its key. batch has one row for each key."""
-    return target.join(batch.select(*keys), keys, "left_anti").unionByName(batch.select(*target.columns))
+    return _matched(target, batch, keys, "left_anti").unionByName(batch.select(*target.columns))
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the batch whose key the target lacks, one for each key: append them to insert only what is new."""
-    return batch.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*batch.columns)
+    return _matched(batch.dropDuplicates(keys), target, keys, "left_anti")
 
 
 def insert_new(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,7 +117,7 @@ def upsert_if_newer(target: DataFrame, batch: DataFrame, keys: list[str], ts: st
 
 def replace_batch(target: DataFrame, batch: DataFrame, batch_column: str) -> DataFrame:
     """All rows of the batch's dates are replaced by the batch."""
-    return target.join(batch.select(batch_column).distinct(), batch_column, "left_anti").select(*target.columns).unionByName(batch.select(*target.columns))
+    return _matched(target, batch.select(batch_column).distinct(), [batch_column], "left_anti").unionByName(batch.select(*target.columns))
 
 
 def incremental(target: DataFrame, source: DataFrame, keys: list[str], by: str, lookback: str) -> DataFrame:
@@ -122,8 +130,9 @@ def incremental(target: DataFrame, source: DataFrame, keys: list[str], by: str,
 
 def recompute_changed(target: DataFrame, source: DataFrame, changed: DataFrame, key: str, fn) -> DataFrame:
     """fn over the source rows of the changed keys, in place of the target's rows of those keys."""
-    fresh = fn(source.join(changed.select(key).distinct(), key, "left_semi"))
-    return target.join(changed.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(fresh.select(*target.columns))
+    keys = changed.select(key).distinct()
+    fresh = fn(_matched(source, keys, [key], "left_semi"))
+    return _matched(target, keys, [key], "left_anti").unionByName(fresh.select(*target.columns))
 
 
 def count_delta(inserted: DataFrame, batch_id, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
@@ -147,7 +156,7 @@ def missing_members(dim: DataFrame, values: DataFrame, on: list[str]) -> DataFra
 def guest_members(dim: DataFrame, lines: DataFrame, key: str, group: str) -> DataFrame:
     """A member without a key for each group that has guests; open from the beginning, and never versioned."""
     groups = lines.where(F.col(key).isNull()).select(group).distinct()
-    new = groups.join(dim.where(F.col(key).isNull()).select(group), group, "left_anti")
+    new = _matched(groups, dim.where(F.col(key).isNull()), [group], "left_anti")
     kind = dim.schema[key].dataType
     return new.select(F.lit(None).cast(kind).alias(key), group, F.lit("0001-01-01").cast("date").alias("valid_from"), F.lit(C.OPEN_END).cast("date").alias("valid_to"), F.lit(True).alias("is_current"))
 
@@ -165,7 +174,16 @@ def evolve_schema(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def dim_date(spark: SparkSession, first: str, last: str) -> DataFrame:
-    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day")
+    return _calendar(spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day"))
+
+
+def dim_date_of(df: DataFrame, ts: str) -> DataFrame:
+    """The calendar from a column's first day to its last; nothing runs until it is read."""
+    span = df.agg(F.min(F.to_date(ts)).alias("a"), F.max(F.to_date(ts)).alias("b"))
+    return _calendar(span.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day")))
+
+
+def _calendar(days: DataFrame) -> DataFrame:
     return days.select(
         C.date_key("day").alias("date_key"), "day", F.year("day").alias("year"), F.quarter("day").alias("quarter"), F.month("day").alias("month"),
         F.date_format("day", "MMMM").alias("month_name"), F.dayofmonth("day").alias("day_of_month"), C.iso_weekday("day").alias("iso_weekday"),

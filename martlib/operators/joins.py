@@ -21,10 +21,14 @@ def left_enrich(df: DataFrame, dim: DataFrame, on: str | list[str], defaults: di
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (defaults or {}).items()})
 
 
-def broadcast_join(big: DataFrame, small: DataFrame, on, how: str = "inner", most_rows: int = 1_000_000) -> DataFrame:
-    """Send the small side everywhere if it has most_rows rows or fewer, else let both sides shuffle."""
-    fits = small.limit(most_rows + 1).count() <= most_rows
-    return big.join(F.broadcast(small) if fits else small, on, how)
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer expects of df's size, from files and statistics; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_join(big: DataFrame, small: DataFrame, on, how: str = "inner", most_bytes: int = 32 << 20) -> DataFrame:
+    """Send the small side everywhere if it is expected to have most_bytes or fewer, else let both sides shuffle."""
+    return big.join(F.broadcast(small) if estimated_bytes(small) <= most_bytes else small, on, how)
 
 
 def merge_join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -76,14 +80,22 @@ def latest_only(df: DataFrame, ts: str) -> DataFrame:
     return cross_with_scalar(df, df.agg(F.max(ts).alias("__last"))).where(F.col(ts) == F.col("__last")).drop("__last")
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, buckets: int, how: str = "inner") -> DataFrame:
-    """As the plain join on key, with each key of the big side spread over buckets. The salt is a hash of the row, so a
-    task that runs again deals its rows as before. how: inner or left (the small side is repeated, so it can't be kept)."""
+def salted_join(big: DataFrame, small: DataFrame, key: str, buckets: int, how: str = "inner", share: float = 0.01) -> DataFrame:
+    """As the plain join on key, with each hot key of the big side spread over buckets.
+
+    Hot keys have more than `share` of the big side's rows, so there are 1 / share of them at most; the small side is repeated for
+    them alone. The salt is a hash of the row, so a task that runs again deals its rows as before. how: inner or left (the small
+    side is repeated, so it can't be kept).
+    """
     if how not in ("inner", "left"):
         raise ValueError("the repeated side's unmatched rows would be repeated too")
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(buckets)).cast("int"))
-    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted.join(spread, [key, "__salt"], how).drop("__salt")
+    counts, total = big.groupBy(key).agg(F.count("*").alias("__n")), big.agg(F.count("*").alias("__all"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") > share * F.col("__all")).select(F.col(key), F.lit(buckets).alias("__buckets"))
+    spread = F.coalesce(F.col("__buckets"), F.lit(1))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), spread).cast("int")
+    salted = big.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__buckets")
+    repeated = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), spread - 1))).drop("__buckets")
+    return salted.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
 def diff(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("only_a", "only_b")) -> DataFrame:

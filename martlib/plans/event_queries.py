@@ -5,8 +5,6 @@ A session is a user's day; steps are view, click and purchase; 'error' plays an
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +15,7 @@ from martlib.operators import windows as W
 from martlib.operators.history import add_counts, count_delta, new_rows
 from martlib.plans import marts as K
 from martlib.sources.readers import table
+from martlib.sources.scratch import new_folder
 from martlib.streaming import clicks
 
 _PROPS = T.StructType([T.StructField("k", T.LongType())])
@@ -122,15 +121,16 @@ def error_episodes(spark, d):
 
 @query(f"""WITH {_HOURS}, {_EPISODES}, l AS (SELECT station_id, max(minutes_observed_empty) AS m FROM x GROUP BY 1)
 SELECT f.station_id, {_AREA.replace('station_id', 'f.station_id')} AS area, count(*) AS snapshots, round(100 * avg(is_empty::INT), 1) AS empty_pct, round(100 * avg(is_full::INT), 1) AS full_pct, round(100 * sum(ebike) / nullif(sum(bikes), 0), 1) AS ebike_share_pct,
-  coalesce(max(m), 0) AS longest_empty_minutes FROM f LEFT JOIN l ON f.station_id = l.station_id GROUP BY 1, 2""")
+  round(sum(fill_pct::DECIMAL(18,1))::DOUBLE / count(fill_pct), 1) AS avg_fill_pct, coalesce(max(m), 0) AS longest_empty_minutes, 's' || f.station_id AS name, 30 AS capacity, 48.0::DOUBLE AS lat, 2.0::DOUBLE AS lon
+  FROM f LEFT JOIN l ON f.station_id = l.station_id GROUP BY 1, 2""")
 def reliability(spark, d):
-    out = K.station_reliability(station_hours(spark, d), stations(spark, d))
-    return out.select("station_id", "area", "snapshots", "empty_pct", "full_pct", "ebike_share_pct", "longest_empty_minutes")
+    return K.station_reliability(station_hours(spark, d), stations(spark, d))
 
 
-@query(f"""WITH {_HOURS} SELECT {_AREA} AS area, CASE WHEN station_id < 20 THEN station_id + 1 ELSE 99 END::INT AS area_order, hour(taken_at)::INT AS hour, count(DISTINCT taken_at) AS snapshots, round(100 * avg(is_empty::INT), 1) AS empty_pct FROM f GROUP BY ALL""")
+@query(f"""WITH {_HOURS} SELECT {_AREA} AS area, CASE WHEN station_id < 20 THEN station_id + 1 ELSE 99 END::INT AS area_order, hour(taken_at)::INT AS hour, count(DISTINCT taken_at) AS snapshots, round(100 * avg(is_empty::INT), 1) AS empty_pct,
+  round(sum(fill_pct::DECIMAL(18,1))::DOUBLE / count(fill_pct), 1) AS avg_fill_pct FROM f GROUP BY ALL""")
 def area_hour(spark, d):
-    return K.area_hourly(station_hours(spark, d), stations(spark, d)).drop("avg_fill_pct")
+    return K.area_hourly(station_hours(spark, d), stations(spark, d))
 
 
 @query(f"""WITH {_HOURS} SELECT taken_at, sum(bikes)::BIGINT AS bikes, sum(ebike)::BIGINT AS ebikes, round(100 * sum(ebike) / nullif(sum(bikes), 0), 1) AS ebike_share_pct, count(*) AS operating_stations, round(100 * avg(is_empty::INT), 1) AS empty_station_pct,
@@ -146,8 +146,8 @@ def latest_status(spark, d):
 
 @query("""SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1""")
 def user_spans(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    spans = W.span_of(table(spark, d, "events"), ["user_id"], "ts", ("first_seen", "last_seen"))
+    return spans.groupBy("user_id", "first_seen", "last_seen").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
 
 
 @query("""SELECT user_id, max(c) AS longest_run FROM (SELECT user_id, event_type, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) GROUP BY user_id, event_type, g) GROUP BY 1""")
@@ -165,11 +165,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for a stream's tables and checkpoint: below the cluster's shared folder where the session names one."""
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{where}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's tables and checkpoint, below the folder that all machines share."""
+    return new_folder(spark, "stream")
 
 
 def _run(spark: SparkSession, stream: DataFrame, write) -> None:

@@ -14,9 +14,10 @@ from martlib.operators import quality as Q
 from martlib.operators.windows import latest_per_key
 from martlib.plans import marts as K
 from martlib.sources import readers as R
-from martlib.sources.writers import Publisher, State, _fs, full_reload, overwrite_partitions, quarantine
+from martlib.sources.writers import Publisher, State, _fs, overwrite_partitions, quarantine
 
 CUSTOMERS = "customer_id long, country string, valid_from date, valid_to date, is_current boolean"
+DAYS = "day string, run string"
 PRODUCTS = "stock_code string, product_description string, invoiced_at timestamp, sales_line_id long"
 
 
@@ -37,8 +38,9 @@ def snapshot_check(dim: DataFrame, current: DataFrame, key: str, attributes: lis
 class DailyLoader:
     """Retail lines by day: customers (SCD 2, guests by country), products (SCD 1), facts and an audit row.
 
-    A run writes under its own id, is checked, and is published only if every critical check passes. The facts of a day are
-    those of the last published run of that day, so a day that runs again replaces itself.
+    A run writes under its own id, is checked, and is published only if every critical check passes. Which run holds the facts
+    of each day is a table of the run as well, so facts and dimensions change together when the one pointer moves. A day
+    that runs again replaces itself.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -65,6 +67,10 @@ class DailyLoader:
         customers = self.tables.write(run, "customers", merged.unionByName(guests).unionByName(new_guests))
         products = H.scd1_latest(self._read("products", PRODUCTS), staged, "stock_code", "product_description", "invoiced_at", "sales_line_id")
         self.tables.write(run, "products", products)
+        return self._load(run, staged, customers, self.spark.createDataFrame([(day, run)], DAYS), day)
+
+    def _load(self, run: str, staged: DataFrame, customers: DataFrame, days: DataFrame, label: str) -> dict:
+        """Facts, checks and audit of a run whose dimensions are written, and its publication."""
         facts = J.resolve_member(staged.where("NOT is_rejected"), customers, "customer_id", "invoiced_at", "country")
         overwrite_partitions(facts.withColumn("run", F.lit(run)), f"{self.root}/facts", ["run"])
         written = self.spark.read.parquet(f"{self.root}/facts").where(F.col("run") == run)
@@ -74,12 +80,11 @@ class DailyLoader:
         failed = [r["check_name"] for r in results if not r["passed"] and r["severity"] == "critical"]
         counts = {"raw": staged.count(), "facts": written.count()}
         counts |= {"rejected": counts["raw"] - counts["facts"], "failed": failed}
-        audit = self.spark.createDataFrame([(run, day, counts["raw"], counts["facts"], counts["rejected"], "failed" if failed else "loaded")], "run_id string, batch_date string, raw long, facts long, rejected long, status string")
+        audit = self.spark.createDataFrame([(run, label, counts["raw"], counts["facts"], counts["rejected"], "failed" if failed else "loaded")], "run_id string, batch_date string, raw long, facts long, rejected long, status string")
         audit.coalesce(1).write.mode("append").parquet(f"{self.root}/audit")
         if failed:
             raise Q.ChecksFailed(", ".join(failed))
-        days = self.spark.createDataFrame([(run, day)], "run string, day string").withColumn("at", F.current_timestamp())
-        days.coalesce(1).write.mode("append").parquet(f"{self.root}/published")
+        self.tables.write(run, "days", H.upsert(self._read("days", DAYS), days, ["day"]))
         self.tables.publish(run)
         return counts
 
@@ -87,10 +92,23 @@ class DailyLoader:
         """One day after another; each is a range on the feed's timestamp, so a day is a pruned read."""
         return [self.run_batch(R.lines_for_day(feed, "invoiced_at", d, ["line_id"]), d) for d in days]
 
+    def rebuild(self, feed: DataFrame) -> dict:
+        """All days of the feed in one pass and one run, with what a backfill day by day would leave: the whole history is built
+        from all lines at once. The feed is a table, not a batch: it replaces customers, products and facts of all days."""
+        run = f"rebuild-{uuid.uuid4().hex[:8]}"
+        staged = P.stage_sales_lines(feed.withColumn("batch_date", F.to_date("invoiced_at")))
+        known = staged.where("customer_id IS NOT NULL AND NOT is_rejected")
+        members = H.scd2_rebuild(known, "customer_id", "country", "invoiced_at", ["sales_line_id"])
+        none = self.spark.createDataFrame([], CUSTOMERS)
+        customers = self.tables.write(run, "customers", members.select(*none.columns).unionByName(H.guest_members(none, staged.where("NOT is_rejected"), "customer_id", "country")))
+        self.tables.write(run, "products", H.scd1_latest(self.spark.createDataFrame([], PRODUCTS), staged, "stock_code", "product_description", "invoiced_at", "sales_line_id"))
+        days = staged.select(F.col("batch_date").cast("string").alias("day")).distinct().withColumn("run", F.lit(run))
+        return self._load(run, staged, customers, days, "all")
+
     def facts(self) -> DataFrame:
-        """The rows of the last published run of each day."""
-        runs = self._appended("published").groupBy("day").agg(F.max_by("run", "at").alias("run"))
-        return self._appended("facts").join(F.broadcast(runs.select("run")), "run", "left_semi").drop("run")  # a row for each day
+        """The rows of each day from the run that the published table of days names."""
+        days = self._read("days", DAYS).select(F.col("day").cast("date").alias("batch_date"), "run")
+        return self._appended("facts").join(days, ["batch_date", "run"], "left_semi").drop("run")
 
     def customers(self) -> DataFrame:
         return self._read("customers", CUSTOMERS)
@@ -102,9 +120,14 @@ class DailyLoader:
         return self._appended("audit")
 
 
+def read_stations(spark: SparkSession, root: str) -> DataFrame | None:
+    return Publisher(spark, f"{root}/stations").read("stations")
+
+
 def load_snapshot(spark: SparkSession, root: str, snapshots: DataFrame) -> int:
     """Status rows of snapshots that the log does not list, and the stations as last seen; how many rows were new.
-    snapshots: documents of readers.STATION_SNAPSHOT. An earlier snapshot that comes late does not replace a station."""
+    snapshots: documents of readers.STATION_SNAPSHOT. An earlier snapshot that comes late does not replace a station. Stations
+    are published before the log is written: a run that ends in between is done again, and changes nothing twice."""
     fs, log = _fs(spark, f"{root}/status")
     fresh = snapshots
     if fs.exists(log):
@@ -113,11 +136,10 @@ def load_snapshot(spark: SparkSession, root: str, snapshots: DataFrame) -> int:
     n = status.count()
     if n:
         info = latest_per_key(R.flatten_station_info(fresh), ["station_id"], [F.desc("seen_at")])
-        fs, stations = _fs(spark, f"{root}/stations")
-        if fs.exists(stations):
-            info = H.upsert_if_newer(spark.read.parquet(f"{root}/stations"), info, ["station_id"], "seen_at")
-        full_reload(info, f"{root}/stations_next")
-        full_reload(spark.read.parquet(f"{root}/stations_next"), f"{root}/stations")
+        known, stations = read_stations(spark, root), Publisher(spark, f"{root}/stations")
+        run = uuid.uuid4().hex
+        stations.write(run, "stations", info if known is None else H.upsert_if_newer(known, info, ["station_id"], "seen_at"))
+        stations.publish(run)
         status.write.mode("append").partitionBy("day").parquet(f"{root}/status")
     status.unpersist()
     return n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from martlib.functions import columns as C
 from martlib.operators import aggregates as A
+from martlib.operators import history as H
 from martlib.operators import joins as J
 from martlib.operators import windows as W
 
@@ -17,6 +18,11 @@ def total(c: Column | str) -> Column:
     return F.sum(C.col(c)).cast(_MONEY)
 
 
+def exact_mean(c: Column | str, scale: int = 1) -> Column:
+    """The mean of numbers with few decimals: summed as decimals, so the order of rows does not matter."""
+    return F.sum(C.col(c).cast(f"decimal(18,{scale})")).cast("double") / F.count(C.col(c))
+
+
 # --- retail ------------------------------------------------------------------------------------------------------------
 
 
@@ -56,8 +62,16 @@ def fct_sales(lines: DataFrame, versions: DataFrame) -> DataFrame:
     """Lines that are not rejected, with the customer version valid on their day; guests have none."""
     good = lines.where("NOT is_rejected")
     v = versions.select("customer_id", F.col("version_key").alias("customer_version_key"), "valid_from", "valid_to")
-    joined = J.point_in_time_join(good, v, "customer_id", "invoiced_at").drop("valid_from", "valid_to")
-    return joined.withColumn("date_key", C.date_key("invoice_date"))
+    known = J.point_in_time_join(good.where("customer_id IS NOT NULL"), v, "customer_id", "invoiced_at").drop("valid_from", "valid_to")
+    guests = good.where("customer_id IS NULL").withColumn("customer_version_key", F.lit(None).cast("string"))  # apart, or all would meet in one task
+    return known.unionByName(guests).withColumn("date_key", C.date_key("invoice_date"))
+
+
+def dim_products(lines: DataFrame) -> DataFrame:
+    """One row for each stock code: its last description, whether it is a product, and its first and last day of sale."""
+    good = lines.where("NOT is_rejected")
+    last = H.scd1_rebuild(good, "stock_code", "product_description", "invoiced_at", "sales_line_id")
+    return last.withColumns({"product_key": C.surrogate_key("stock_code"), "is_product": C.is_product("stock_code")})
 
 
 def monthly_revenue(sales: DataFrame) -> DataFrame:
@@ -121,19 +135,22 @@ def symbol_report(prices: DataFrame, days: int = 365, average: int = 50) -> Data
 
 def revenue_by_zone_month(trips: DataFrame, zones: DataFrame) -> DataFrame:
     """zones: zone_id, borough, zone."""
-    joined = trips.join(zones, trips["pickup_zone_id"] == zones["zone_id"])
-    return joined.groupBy("pickup_month", "borough", "zone").agg(F.count("*").alias("trips"), F.round(F.sum("total_amount"), 2).alias("revenue_usd"))
+    placed = J.star_join(trips.withColumnRenamed("pickup_zone_id", "zone_id"), [(zones, "zone_id")])
+    return A.group_agg(placed, ["pickup_month", "borough", "zone"], {"trips": F.count("*"), "revenue_usd": F.round(F.sum("total_amount"), 2)})
 
 
 def top_zones(trips: DataFrame, zones: DataFrame, n: int = 3) -> DataFrame:
     return W.top_n_per_group(revenue_by_zone_month(trips, zones), ["pickup_month"], "revenue_usd", n)
 
 
+#: Edges of trip distances in miles, and the names of the bands.
+DISTANCE_BANDS = ([1, 3, 10], ["1: under 1 mi", "2: 1-3 mi", "3: 3-10 mi", "4: 10+ mi"])
+
+
 def tip_rate_by_distance(trips: DataFrame) -> DataFrame:
-    band = C.band("distance_mi", [1, 3, 10], ["1: under 1 mi", "2: 1-3 mi", "3: 3-10 mi", "4: 10+ mi"])
-    cards = trips.where("payment = 'Credit card'").withColumn("distance_band", band)
+    """Cash tips are not recorded, so card payments alone count."""
     tip = F.round(100 * F.avg(C.ratio(F.col("tip_amount"), F.col("fare_amount"))), 1)
-    return cards.groupBy("distance_band").agg(F.count("*").alias("trips"), tip.alias("avg_tip_pct"))
+    return A.group_agg(trips.where("payment = 'Credit card'"), [C.band("distance_mi", *DISTANCE_BANDS).alias("distance_band")], {"trips": F.count("*"), "avg_tip_pct": tip})
 
 
 def monthly_kpis(df: DataFrame, month: str, aggs: dict, growth_of: str) -> DataFrame:
@@ -224,7 +241,7 @@ def network_timeseries(snapshots: DataFrame) -> DataFrame:
 def area_hourly(snapshots: DataFrame, stations: DataFrame, local: str = "taken_at_local") -> DataFrame:
     joined = snapshots.where("is_operating").join(stations.select("station_id", "area", F.coalesce("arrondissement", F.lit(99)).alias("area_order")), "station_id")
     return joined.groupBy("area", "area_order", F.hour(local).alias("hour")).agg(
-        F.count_distinct("snapshot_id").alias("snapshots"), F.round(F.avg("fill_pct"), 1).alias("avg_fill_pct"), C.pct("is_empty").alias("empty_pct"),
+        F.count_distinct("snapshot_id").alias("snapshots"), F.round(exact_mean("fill_pct"), 1).alias("avg_fill_pct"), C.pct("is_empty").alias("empty_pct"),
     )
 
 
@@ -239,7 +256,7 @@ def empty_episodes(snapshots: DataFrame, key: str = "station_id", ts: str = "tak
 def station_reliability(snapshots: DataFrame, stations: DataFrame) -> DataFrame:
     on = snapshots.where("is_operating")
     stats = on.groupBy("station_id").agg(
-        F.count("*").alias("snapshots"), C.pct("is_empty").alias("empty_pct"), C.pct("is_full").alias("full_pct"), F.round(F.avg("fill_pct"), 1).alias("avg_fill_pct"),
+        F.count("*").alias("snapshots"), C.pct("is_empty").alias("empty_pct"), C.pct("is_full").alias("full_pct"), F.round(exact_mean("fill_pct"), 1).alias("avg_fill_pct"),
         F.round(100 * C.ratio(F.sum("ebike"), F.sum("bikes")), 1).alias("ebike_share_pct"),
     )
     longest = empty_episodes(on).groupBy("station_id").agg(F.max("minutes_observed_empty").alias("longest_empty_minutes"))

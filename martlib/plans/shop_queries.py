@@ -73,14 +73,12 @@ def monthly_revenue_by_region(spark, d):
 @query(f"""WITH {REGIONAL} SELECT year(invoiced_at)::INT AS year, quarter(invoiced_at)::INT AS quarter, region, sum(revenue)::DECIMAL(18,2) AS net_revenue FROM r
 GROUP BY GROUPING SETS ((year(invoiced_at), quarter(invoiced_at), region), (year(invoiced_at), region), (region))""")
 def revenue_rollup(spark, d):
-    span = table(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
-    return K.revenue_rollup(regional_sales(spark, d), H.dim_date(spark, span["a"], span["b"]))
+    return K.revenue_rollup(regional_sales(spark, d), H.dim_date_of(table(spark, d, "orders"), "o_orderdate"))
 
 
 @query(f"""WITH {SALES} SELECT isodow(invoiced_at) >= 6 AS is_weekend, count(DISTINCT invoice_no) AS invoices, sum(revenue)::DECIMAL(18,2) AS net_revenue FROM s GROUP BY 1""")
 def weekend_split(spark, d):
-    span = table(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
-    return K.weekend_split(sales(spark, d), H.dim_date(spark, span["a"], span["b"]))
+    return K.weekend_split(sales(spark, d), H.dim_date_of(table(spark, d, "orders"), "o_orderdate"))
 
 
 @query(f"""WITH {SALES}, c AS (SELECT customer_id, max(invoiced_at) AS last_purchase_at, count(DISTINCT invoice_no) FILTER (WHERE line_type = 'sale') AS orders, sum(revenue)::DECIMAL(18,2) AS net_revenue
@@ -328,8 +326,7 @@ def salted_join_equals_plain(spark, d):
 @query("""SELECT strftime(d, '%Y%m%d')::INT AS date_key, d::DATE AS day, year(d)::INT AS year, quarter(d)::INT AS quarter, month(d)::INT AS month, monthname(d) AS month_name, day(d)::INT AS day_of_month, isodow(d)::INT AS iso_weekday, dayname(d) AS day_name,
   isodow(d) >= 6 AS is_weekend FROM (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS d)""")
 def calendar(spark, d):
-    span = table(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
-    return H.dim_date(spark, span["a"], span["b"])
+    return H.dim_date_of(table(spark, d, "orders"), "o_orderdate")
 
 
 @query("""WITH o AS (SELECT o_orderkey, month(o_orderdate)::INT AS m FROM orders), w AS (SELECT *, CASE WHEN m < lag(m) OVER (ORDER BY o_orderkey) THEN 1 ELSE 0 END AS f FROM o)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +50,13 @@ def force_compute(df: DataFrame) -> None:
 
 
 def compact_partitions(spark: SparkSession, path: str, columns: list[str], sort: str, files: int) -> None:
-    """Rewrite partitions as few files, rows near each other by sort. The new files are written aside first."""
-    aside = f"{path}_compact_{uuid.uuid4().hex}"
-    spark.read.parquet(path).repartitionByRange(files, *columns, sort).sortWithinPartitions(*columns, sort).write.partitionBy(*columns).parquet(aside)
+    """Rewrite partitions as few files, rows near each other by sort. The new files are complete aside before the old ones go; a
+    run that ends in between leaves them there, and the next one begins by putting them in place."""
+    aside = f"{path}_compact"
+    fs, done = _fs(spark, f"{aside}/_SUCCESS")
+    if not fs.exists(done):
+        spread = spark.read.parquet(path).repartitionByRange(files, *columns, sort).sortWithinPartitions(*columns, sort)
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).parquet(aside)
     overwrite_partitions(spark.read.parquet(aside), path, columns)
     _delete(spark, aside)
 

@@ -54,7 +54,7 @@ def test_snapshots(spark, tmp_path):
     assert flows.load_snapshot(spark, root, read(doc("b", 10, 30))) == 0
     assert flows.load_snapshot(spark, root, read(doc("a", 5, 99), doc("c", 15, 40), doc("c", 15, 40))) == 2
     assert flows.load_snapshot(spark, root, read(doc("z", 1, 77))) == 1
-    assert rows(spark.read.parquet(f"{root}/stations"), "capacity") == [(40,)]
+    assert rows(flows.read_stations(spark, root), "capacity") == [(40,)]
 
 
 def event(i, day, kind, **more):

@@ -121,7 +121,7 @@ def test_joins(spark):
     for how in ("inner", "left"):
         assert rows(J.salted_join(big, small, "k", 5, how), "k", "id", "name") == rows(big.join(small, "k", how), "k", "id", "name")
     assert J.broadcast_join(big, small, "k").count() == J.merge_join(big, small, "k").count() == 67
-    assert J.broadcast_join(big, small, "k", most_rows=1).count() == 67
+    assert J.broadcast_join(big, small, "k", most_bytes=1).count() == 67
     d = spark.createDataFrame([("x", 1, 5), ("x", 5, 9), ("x", 10, 12), ("y", 1, 2)], "k string, valid_from int, valid_to int")
     assert rows(J.overlap_pairs(d, "k"), "k", "valid_from", "overlaps_until") == [("x", 5, 5)]
     assert rows(J.diff(small, small.where("k = 0")), "k", "side") == [(1, "only_a")]
