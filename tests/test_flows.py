@@ -42,6 +42,38 @@ def test_daily_batches(spark, tmp_path):
     assert flows.revenue_matches(loader.facts(), loader.facts()).first()["passed"]
 
 
+def state(loader):
+    return rows(loader.facts(), "sales_line_id", "revenue", "line_type"), rows(loader.customers(), "customer_id", "country", "valid_from", "valid_to", "is_current"), rows(loader.products())
+
+
+def test_all_days_at_once_equal_one_after_another(spark, tmp_path):
+    feed = spark.createDataFrame(DAY1 + DAY2, LINES)
+    daily, once = flows.DailyLoader(spark, str(tmp_path / "daily")), flows.DailyLoader(spark, str(tmp_path / "once"))
+    daily.backfill(feed, ["2011-01-10", "2011-03-01"])
+    assert once.rebuild(feed)["facts"] == 4
+    assert state(once) == state(daily)
+    once.run_batch(readers.lines_for_day(feed, "invoiced_at", "2011-03-01", ["line_id"]), "2011-03-01")
+    assert state(once) == state(daily)
+
+
+def test_a_run_that_stops_before_publication_changes_nothing(spark, tmp_path, monkeypatch):
+    feed = spark.createDataFrame(DAY1 + DAY2, LINES)
+    loader = flows.DailyLoader(spark, str(tmp_path / "shop"))
+    loader.run_batch(readers.lines_for_day(feed, "invoiced_at", "2011-01-10", ["line_id"]), "2011-01-10")
+    before = state(loader)
+
+    def stop(run):
+        raise RuntimeError("the machine went away")
+
+    with monkeypatch.context() as m:
+        m.setattr(loader.tables, "publish", stop)
+        with pytest.raises(RuntimeError):
+            loader.run_batch(readers.lines_for_day(feed, "invoiced_at", "2011-03-01", ["line_id"]), "2011-03-01")
+    assert state(loader) == before
+    loader.run_batch(readers.lines_for_day(feed, "invoiced_at", "2011-03-01", ["line_id"]), "2011-03-01")
+    assert rows(loader.facts(), "sales_line_id") == [(1,), (2,), (3,), (5,)]
+
+
 def test_snapshots(spark, tmp_path):
     def doc(name, minute, capacity):
         s = {"station_id": 1, "stationCode": "16107", "num_bikes_available_types": [{"mechanical": 2}], "num_docks_available": 3, "is_installed": 1, "is_renting": 1, "is_returning": 1}
@@ -55,6 +87,12 @@ def test_snapshots(spark, tmp_path):
     assert flows.load_snapshot(spark, root, read(doc("a", 5, 99), doc("c", 15, 40), doc("c", 15, 40))) == 2
     assert flows.load_snapshot(spark, root, read(doc("z", 1, 77))) == 1
     assert rows(flows.read_stations(spark, root), "capacity") == [(40,)]
+    cut = str(tmp_path / "cut")  # a load that stopped after its stations were published is done again
+    stations = flows.Publisher(spark, f"{cut}/stations")
+    stations.write("r", "stations", readers.flatten_station_info(read(doc("a", 5, 99))))
+    stations.publish("r")
+    assert flows.load_snapshot(spark, cut, read(doc("a", 5, 99))) == 1
+    assert rows(flows.read_stations(spark, cut), "capacity") == [(99,)] and spark.read.parquet(f"{cut}/status").count() == 1
 
 
 def event(i, day, kind, **more):

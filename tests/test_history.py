@@ -82,3 +82,28 @@ def test_dim_date(spark):
     d = H.dim_date(spark, "2009-12-01", "2011-12-31")
     assert d.count() == 761
     assert tuple(d.where("date_key = 20110630").select("quarter", "iso_weekday", "is_weekend", "month_name").first()) == (2, 4, False, "June")
+
+
+def test_null_keys_are_keys(spark):
+    """Applied twice, each merge gives what it gave once, and a null key matches a null key."""
+    target = spark.createDataFrame([(1, "a"), (None, "n")], "k long, v string")
+    batch = spark.createDataFrame([(None, "new"), (2, "b")], "k long, v string")
+    once = H.upsert(target, batch, ["k"])
+    assert rows(once) == rows(H.upsert(once, batch, ["k"])) == [(None, "new"), (1, "a"), (2, "b")]
+    once = H.insert_new(target, batch, ["k"])
+    assert rows(once) == rows(H.insert_new(once, batch, ["k"])) == [(None, "n"), (1, "a"), (2, "b")]
+    once = H.replace_batch(target, batch, "k")
+    assert rows(once) == rows(H.replace_batch(once, batch, "k")) == [(None, "new"), (1, "a"), (2, "b")]
+    once = H.recompute_changed(target, batch, batch, "k", lambda df: df)
+    assert rows(once) == rows(H.recompute_changed(once, batch, batch, "k", lambda df: df)) == [(None, "new"), (1, "a"), (2, "b")]
+    assert rows(H.scd1_upsert(target, batch, "k", "v", [])) == [(None, "new"), (1, "a"), (2, "b")]
+    dim = spark.createDataFrame([], "k long, v string, valid_from date, valid_to date, is_current boolean")
+    once = H.scd2_merge(dim, batch, "k", ["v"], "2024-01-01")
+    assert rows(once) == rows(H.scd2_merge(once, batch, "k", ["v"], "2024-01-01")) and once.count() == 2
+    guests = H.guest_members(dim, spark.createDataFrame([(None, None), (None, "x")], "k long, v string"), "k", "v")
+    assert guests.count() == 2 and H.guest_members(guests, spark.createDataFrame([(None, None)], "k long, v string"), "k", "v").count() == 0
+
+
+def test_calendar_of_a_column(spark):
+    df = spark.createDataFrame([("2024-02-28",), ("2024-03-02",), (None,)], "d string").select(F.col("d").cast("date").alias("d"))
+    assert rows(H.dim_date_of(df, "d")) == rows(H.dim_date(spark, "2024-02-28", "2024-03-02")) and H.dim_date_of(df.limit(0), "d").count() == 0

@@ -131,3 +131,28 @@ def test_files(spark, tmp_path):
     got = readers.latest_delivery(files, r"(\d{4}-\d{2})_delivered", r"delivered-(\d{4}-\d{2}-\d{2})")
     assert rows(got, "period", "delivered") == [("2024-01", "2024-03-01"), ("2024-02", "2024-03-01")]
     assert readers.new_files(files, files.limit(1)).count() == 2 and readers.new_files(files, files).count() == 0
+
+
+def test_compaction_that_was_cut_short(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "v long, p string")
+    writers.overwrite_partitions(df.repartition(4), path, ["p"])
+    df.write.partitionBy("p").parquet(f"{path}_compact")  # complete aside, and half of the live table is gone
+    writers._delete(spark, f"{path}/p=a")
+    writers.compact_partitions(spark, path, ["p"], "v", 1)
+    assert rows(spark.read.parquet(path), "v", "p") == rows(df) and not (tmp_path / "t_compact").exists()
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster(spark, monkeypatch):
+    from martlib.sources import scratch
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Cluster)
