@@ -109,9 +109,11 @@ def sum_equals_rows(summary: DataFrame, c: str, source: DataFrame, name: str) ->
 
 def load_reconciles(raw: DataFrame, facts: DataFrame, rejected: DataFrame, revenue: str = "revenue", raw_revenue: str = "revenue") -> DataFrame:
     """Each raw line is a fact or rejected; revenue is the same; the load is not empty."""
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    money = lambda df, c, name: df.agg(F.coalesce(F.sum(C.money(c)), F.lit(0)).cast("decimal(38,2)").alias(name))
-    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [n(raw, "raw"), n(facts, "facts"), n(rejected, "rejected"), money(facts, revenue, "fm"), money(raw, raw_revenue, "rm"), money(rejected, raw_revenue, "jm")])
+    def totals(df, c, count, money):  # one pass over each side
+        return df.agg(F.count(F.lit(1)).alias(count), F.coalesce(F.sum(C.money(c)), F.lit(0)).cast("decimal(38,2)").alias(money))
+
+    sides = [totals(raw, raw_revenue, "raw", "rm"), totals(facts, revenue, "facts", "fm"), totals(rejected, raw_revenue, "rejected", "jm")]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), sides)
     rows = F.array(
         F.struct(F.lit("every line is loaded or rejected").alias("check_name"), (F.col("raw") == F.col("facts") + F.col("rejected")).alias("passed"), (F.col("raw") - F.col("facts") - F.col("rejected")).cast("double").alias("observed")),
         F.struct(F.lit("revenue reconciles").alias("check_name"), (F.col("rm") == F.col("fm") + F.col("jm")).alias("passed"), (F.col("rm") - F.col("fm") - F.col("jm")).cast("double").alias("observed")),

@@ -57,7 +57,13 @@ class DailyLoader:
     def run_batch(self, lines: DataFrame, day: str) -> dict:
         """lines: line_id, invoice, stock_code, description, quantity, invoiced_at, unit_price, customer_id, country."""
         run = f"{day}-{uuid.uuid4().hex[:8]}"
-        staged = P.stage_sales_lines(lines.withColumn("batch_date", F.lit(day).cast("date")))
+        staged = P.stage_sales_lines(lines.withColumn("batch_date", F.lit(day).cast("date"))).persist()
+        try:
+            return self._run_day(run, staged, day)
+        finally:
+            staged.unpersist()
+
+    def _run_day(self, run: str, staged: DataFrame, day: str) -> dict:
         known = staged.where("customer_id IS NOT NULL AND NOT is_rejected")
         last = latest_per_key(known, ["customer_id"], [F.desc("invoiced_at"), F.desc("sales_line_id")]).select("customer_id", "country")
         before = self._read("customers", CUSTOMERS)
@@ -78,7 +84,7 @@ class DailyLoader:
         positive = Q.run_checks(written, [Q.Check("sales have positive quantity", Q.offending((F.col("line_type") == "sale") & (F.col("quantity") <= 0)))])
         results = checks.unionByName(positive).collect()  # a row for each check
         failed = [r["check_name"] for r in results if not r["passed"] and r["severity"] == "critical"]
-        counts = {"raw": staged.count(), "facts": written.count()}
+        counts = {"raw": staged.select("sales_line_id").count(), "facts": written.count()}
         counts |= {"rejected": counts["raw"] - counts["facts"], "failed": failed}
         audit = self.spark.createDataFrame([(run, label, counts["raw"], counts["facts"], counts["rejected"], "failed" if failed else "loaded")], "run_id string, batch_date string, raw long, facts long, rejected long, status string")
         audit.coalesce(1).write.mode("append").parquet(f"{self.root}/audit")
