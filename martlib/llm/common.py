@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
 #: Rows of an Arrow batch. Spark holds a batch outside its heap several times over, and texts are wide.
 BATCH_ROWS = 512
+#: Rows of a file of links; a file holds two or three numbers a row.
+FILE_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,11 +33,24 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session's Arrow batches have BATCH_ROWS rows at most; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile has Arrow batches of so many rows at most, for rows that are wider than texts."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -81,9 +97,13 @@ def map_texts(df: DataFrame, text: str, added: list[T.StructField], make: Callab
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder of our own only where the session names none."""
+    """The folder that the driver and all executors share, as the session names it. A session that names none gets a folder of
+    its own where all of Spark is one process; on a cluster that would be a different disk on each machine, so it fails."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -93,15 +113,28 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/martlib-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
+def _scratch_fs(spark: SparkSession):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation.
+
+    rows: about how many there are, where the caller has counted them; few rows then go to few files. The folder goes when
+    the application ends, or before with drop_scratch().
+    """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
+    fs, scratch = _scratch_fs(spark)
+    fs.deleteOnExit(scratch)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what materialize() has written in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _scratch_fs(spark)
+    fs.delete(path, True)

@@ -38,4 +38,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if (new["n"], new["s"]) == state or not new["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = (new["n"], new["s"])
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(_large_star(now)), "edges", rows=new["n"])

@@ -64,7 +64,8 @@ def add_quality(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
     Null texts count as texts without words. A text without words has base_failed true. A ratio over nothing (no words,
     no lines) breaks no rule. Repeated rows are judged each for itself; an empty table gives an empty table; other columns
-    pass through, and input columns with the names above are replaced.
+    pass through, and input columns with the names above are replaced. Names that begin with two underscores are this function's
+    own: input columns of its names (__t, __words, __line, ...) are replaced and dropped. A very long text is one row of arrays.
     """
     stops = sorted({w for line in STOP_WORDS for w in line.split()})
     t, whole = F.col("__t"), F.array_join("__words", "")

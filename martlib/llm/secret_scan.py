@@ -122,7 +122,8 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mask_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with every span of its texts replaced by mark (spans that touch or overlap by one mark). Null stays null."""
+    """df with every span of its texts replaced by mark (spans that touch or overlap by one mark). Null stays null. An
+    input column named __masked is replaced by the result."""
 
     def make():
         scan = scanner()

@@ -29,30 +29,36 @@ WIDTH = FIELD = BITS // SEGMENTS
 BLOCK = 16_384
 
 
-def shingles(text: str | None) -> list[bytes]:
-    """Three-word shingles of a text in ASCII lower case, repeats included; fewer words: the whole sequence."""
-    words = (text or "").encode("utf-8").lower().split()
-    if len(words) <= SHINGLE:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(w) for w in zip(words, words[1:], words[2:], strict=False)]
-
-
-def fingerprint(text: str | None) -> int:
-    """As a signed 64-bit number."""
-    all_ = shingles(text)
-    if not all_:
-        return 0
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in ASCII lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of so many words, repeats included; fewer words: of the whole sequence; none: nothing."""
+    if len(words) <= shingle:
+        runs = [b" ".join(words)] if words else []
+    else:
+        runs = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x, SEED) for x in runs), "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that over half of the hashes have, as a signed 64-bit number; 0 for none."""
     sums = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(all_), BLOCK):
-        h = np.array([digest(s, SEED) for s in all_[at : at + BLOCK]], dtype="<u8")
-        sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * sums > len(all_), bitorder="little").view("<i8")[0])
+    for at in range(0, len(hashes), BLOCK):
+        sums += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * sums > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(words_of(text), shingle))
 
 
-def add_fingerprint(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Append simhash (long). Null and empty texts, and texts without words, have 0."""
-    return map_texts(df, text, [T.StructField("simhash", T.LongType())], lambda: lambda texts: [[fingerprint(t) for t in texts]], drop)
+def add_fingerprint(df: DataFrame, text: str = "text", drop: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
+    """Append simhash (long) of shingles of so many words. Null and empty texts, and texts without words, have 0."""
+    return map_texts(df, text, [T.StructField("simhash", T.LongType())], lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], drop)
 
 
 def _point(fp: Column) -> Column:

@@ -58,10 +58,32 @@ def test_edited_copies_go(spark):
 def test_groups_equal_all_pairs(spark):
     texts = made(random.Random(8))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    of = {r["words"]: r["root"] for r in N.near_copy_groups(docs).collect()}
+    of = {r["words"]: r["root"] for r in N.near_copy_groups(docs)[1].collect()}
     got, want = [of[N.words_digest(t)] for t in texts], groups(texts)
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) < len(texts)
 
 
 def test_no_texts(spark):
-    assert N.near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert [x.count() for x in N.near_copy_groups(spark.createDataFrame([], "doc_id long, text string"))] == [0, 0]
+
+
+def test_cells_connect_as_all_pairs(spark, monkeypatch):
+    """Cells of any size; a family of texts that are 0.7 to 0.9 alike, no one of them alike to all."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(changed(rng, base, rng.choice((2, 4, 6, 8)))) for _ in range(60)]
+    want = groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for members in (7, 512):
+        monkeypatch.setattr(N, "MEMBERS", members)
+        of = {r["words"]: r["root"] for r in N.near_copy_groups(docs)[1].collect()}
+        got = [of[N.words_digest(t)] for t in texts]
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) and 1 < len(set(want)) < 60
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(6)
+    a, b = ([f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(2))
+    rows = [(1, " ".join(a), "en", "s", 1), (1, " ".join(b), "en", "s", 2), (1, " ".join(b), "en", "s", 2), (2, " ".join(b).upper(), "en", "s", 3), (1, " ".join(a), "aa", "s", 1)]
+    kept = [tuple(r)[:3] for r in P.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    assert sorted(kept) == sorted([(1, " ".join(a), "aa"), (1, " ".join(b), "en")])
