@@ -2,18 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir), docs being the documents that the stage before it kept, and returns documents with
 the columns it got; the last returns tokens. run() writes each stage's rows as Parquet and reads them again for the next.
-Every stage gives an empty table for an empty one and keeps further columns.
+Every stage gives an empty table for an empty one; all but the last keep further columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlib.llm.bpe import encode_texts
 from martlib.llm.common import materialize, read
 from martlib.llm.mixing import mix
-from martlib.llm.near_copies import near_copy_groups
+from martlib.llm.near_copies import group_heads
 from martlib.llm.secret_scan import mask_secrets
 from martlib.llm.toxicity import score_toxicity, train, training_rows
 
@@ -28,12 +29,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (near_copies: five-word shingles, similarity 0.8 or more), the document with the least id.
-    Rows without an id have no group and stay."""
+    Rows without an id have no group and stay. Of rows with one id, those of different texts are documents of their own; of
+    rows with one id and one text the least in order of all columns stays."""
     known = docs.where("doc_id IS NOT NULL")
-    heads = near_copy_groups(known).groupBy("root").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
-    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    heads = materialize(group_heads(known), "heads")
+    same = lambda some: (known["doc_id"] == some["key"]) & (F.xxhash64(known["text"]) == some["print"])
+    single, repeated = heads.where("n = 1"), heads.where("n > 1")
+    kept = known.join(single, same(single), "left_semi")
+    if not repeated.isEmpty():
+        ordered = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+        first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), ordered).alias("row")
+        some = known.join(repeated, same(repeated), "left_semi")
+        kept = kept.unionByName(some.groupBy("doc_id", F.xxhash64("text")).agg(first).select("row.*"))
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -44,9 +51,11 @@ def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of one epoch at most that make up the target mixture. Rows without an id are not drawn."""
-    drawn = mix(docs, max_epochs=1).select("doc_id").distinct()
-    return docs.join(drawn, "doc_id", "left_semi").select(*docs.columns)
+    """The documents of one epoch at most that make up the target mixture. A row without an id is drawn by a hash of its text,
+    so rows without an id and of one text are drawn together."""
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    drawn = mix(docs.select(key.alias("doc_id"), "text", "lang", "source"), max_epochs=1).select(F.col("doc_id").alias("__drawn")).distinct()
+    return docs.join(drawn, key == F.col("__drawn"), "left_semi")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
