@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +18,12 @@ from pyspark.sql import types as T
 
 from martlib.llm.common import map_texts, read
 
-WINDOW, STRIDE, GRAM, THRESHOLD = 40, 32, 5, 0.3
+WINDOW, STRIDE, GRAM, THRESHOLD = 40, 20, 5, 0.3
 #: Bounds of training: labelled documents drawn of each class, the longest text drawn (code points), and the vocabulary.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, VOCABULARY, GRAMS = 1000, 2500, 20_000, 6000, 16_384
-EMBED, CHARS, HIDDEN, STEPS, BATCH, RATE, SLOW, DECAY, DROP, SEED = 8, 8, 8, 200, 128, 0.015, 0.1, 0.3, 0.2, 7
+EMBED, CHARS, HIDDEN, STEPS, BATCH, RATE, SLOW, DECAY, DROP, SEED = 8, 8, 8, 240, 128, 0.015, 0.1, 0.3, 0.2, 7
+#: The share of RATE that is gone at the last step, and the last steps whose weights are averaged.
+FALL, AVERAGED = 0.85, 80
 #: Words whose gates a worker keeps, and windows that it reads side by side.
 CACHE_WORDS, SIDE_BY_SIDE = 150_000, 2048
 _WORD = re.compile(r"\w+")
@@ -197,13 +198,14 @@ class Trainer:
         np.add.at(G["word"], [self.net.at.get(w, 0) for w in at], per_word[:, :EMBED])
         flat, lengths = grams_of(list(at))
         np.add.at(G["gram"], flat, np.repeat(per_word[:, EMBED:] / lengths[:, None], lengths, axis=0).astype(np.float32))
+        rate = RATE * (1 - FALL * min(1.0, self.t / STEPS))
         self.t += 1
         for k, g in G.items():
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
             if k in ("word", "gram"):
-                P[k] *= 1 - RATE * DECAY
-            P[k] -= (RATE * (SLOW if k in ("word", "gram") else 1.0) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
+                P[k] *= 1 - rate * DECAY
+            P[k] -= (rate * (SLOW if k in ("word", "gram") else 1.0) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)).astype(np.float32)
 
 
 class Scorer:
@@ -237,14 +239,18 @@ class Scorer:
         """(text numbers, probabilities) of the overlapping windows of texts, some at a time; windows of a text stay in order."""
         if len(self.at) > CACHE_WORDS:
             self._clear()
-        full: list[tuple[int, np.ndarray]] = []
-        short: list[tuple[int, np.ndarray]] = []
-        held, at = 0, self.at
+        at = self.at
         fresh = list(dict.fromkeys(w for words in texts for w in words if w not in at))
         for k in range(0, len(fresh), 65_536):
             self._add(fresh[k : k + 65_536])
-        for i, words in enumerate(texts):
-            ids = np.array([at[w] for w in words], dtype=np.int32)
+        return self.of_ids([np.array([at[w] for w in words], dtype=np.int32) for words in texts])
+
+    def of_ids(self, texts: list[np.ndarray]):
+        """As windows(), of the rows of words that are known."""
+        full: list[tuple[int, np.ndarray]] = []
+        short: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for i, ids in enumerate(texts):
             if len(ids) >= WINDOW:
                 starts = np.array([a for a, _ in windows_of(len(ids))])
                 full.append((i, ids[starts[:, None] + np.arange(WINDOW)]))
@@ -255,11 +261,12 @@ class Scorer:
                 yield from self._full(full)
                 full, held = [], 0
         yield from self._full(full)
-        if short:
-            sizes = np.array([len(x) for _, x in short])
-            ids = np.zeros((len(short), int(sizes.max())), np.int32)
-            ids[np.arange(ids.shape[1])[None, :] < sizes[:, None]] = np.concatenate([x for _, x in short])
-            yield np.array([i for i, _ in short]), self.net.scores(self.rows, ids.T, sizes)
+        for k in range(0, len(short), SIDE_BY_SIDE):
+            some = short[k : k + SIDE_BY_SIDE]
+            sizes = np.array([len(x) for _, x in some])
+            ids = np.zeros((len(some), int(sizes.max())), np.int32)
+            ids[np.arange(ids.shape[1])[None, :] < sizes[:, None]] = np.concatenate([x for _, x in some])
+            yield np.array([i for i, _ in some]), self.net.scores(self.rows, ids.T, sizes)
 
     def _full(self, some: list[tuple[int, np.ndarray]]):
         if not some:
@@ -278,56 +285,73 @@ def _evidence(a: int, n: int, b: int, m: int) -> float:
 
 
 def train(rows: list[tuple[str, int]]) -> Network:
-    """A network from (text, label) rows; deterministic for equal rows in equal order."""
+    """A network from (text, label) rows; deterministic for equal rows in equal order. Texts are numbers of words meanwhile."""
     rng = np.random.default_rng(SEED)
-    texts = [(words_of(t), y) for t, y in rows]
-    texts = [(w, y) for w, y in texts if w]
-    seen = (Counter(), Counter())
+    number: dict[str, int] = {}
+    texts = [(np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32), y) for t, y in rows]
+    texts = [(ids, y) for ids, y in texts if len(ids)]
+    every = list(number)
+    seen, grams = np.zeros((2, len(every)), np.int64), np.zeros((2, GRAMS), np.int64)
     sizes = [sum(y == k for _, y in texts) for k in (0, 1)]
-    for w, y in texts:
-        seen[y].update(set(w))
-    both = seen[0] + seen[1]
-    vocabulary = sorted((w for w in both if both[w] >= 5), key=lambda w: (-both[w], w))[:VOCABULARY]
-    prior = np.array([_evidence(seen[1][w], sizes[1], seen[0][w], sizes[0]) for w in vocabulary], np.float32)
-    grams = (np.zeros(GRAMS), np.zeros(GRAMS))
-    for w, y in texts:
-        grams[y][np.unique(grams_of(list(set(w)))[0])] += 1
-    gram_prior = np.array([_evidence(a, sizes[1], b, sizes[0]) if a + b >= 5 else 0.0 for a, b in zip(grams[1], grams[0], strict=True)], np.float32)
-    net = Network(vocabulary, np.clip(prior, -10, 10) / 4 if len(vocabulary) else None, np.clip(gram_prior, -10, 10) / 2)
+    for ids, y in texts:
+        own = np.unique(ids)
+        seen[y][own] += 1
+        grams[y][np.unique(grams_of([every[i] for i in own])[0])] += 1
+    both = seen.sum(axis=0)
+    chosen = sorted(np.flatnonzero(both >= 5).tolist(), key=lambda i: (-both[i], every[i]))[:VOCABULARY]
+    prior = np.array([_evidence(int(seen[1][i]), sizes[1], int(seen[0][i]), sizes[0]) for i in chosen], np.float32)
+    gram_prior = np.array([_evidence(int(a), sizes[1], int(b), sizes[0]) if a + b >= 5 else 0.0 for a, b in zip(grams[1], grams[0], strict=True)], np.float32)
+    net = Network([every[i] for i in chosen], np.clip(prior, -10, 10) / 4 if chosen else None, np.clip(gram_prior, -10, 10) / 2)
     if not texts or not all(sizes):
         net.P["bias"][0] = 4.0 if sizes[1] else -4.0
         net.P["out"][:] = 0
         return net
     trainer = Trainer(net)
-    every = list(dict.fromkeys(v for w, _ in texts for v in w))
+    summed = {k: np.zeros_like(v) for k, v in net.P.items()}
     inputs = net.embed(every)
-    weight = dict(zip(every, np.maximum(inputs[:, 0], 2 * inputs[:, EMBED]).tolist(), strict=True))
-    spans = [windows_of(len(w)) for w, _ in texts]
+    weight = np.maximum(inputs[:, 0], 2 * inputs[:, EMBED])
+    del inputs
     epoch = -1
     while trainer.t < STEPS:
         epoch += 1
-        picked: list[tuple[list[str], int]] = []
         if epoch == 0:  # at first, the window with the words most peculiar to toxic texts
-            of_word = [[weight.get(v, 0.0) for v in w] for w, _ in texts]
-            hardest = [int(np.argmax([max(of[a:b]) for a, b in own])) for of, own in zip(of_word, spans, strict=True)]
+            hardest = [int(np.argmax([weight[ids[a:b]].max() for a, b in windows_of(len(ids))])) for ids, _ in texts]
         else:
-            found: list[list[float]] = [[] for _ in texts]
-            for i, p in Scorer(net).windows([w for w, _ in texts]):
-                for k, q in zip(i.tolist(), p.tolist(), strict=True):
-                    found[k].append(q)
-            hardest = [int(np.argmax(f)) for f in found]
-        for (w, y), own, at in zip(texts, spans, hardest, strict=True):
-            picked.append((w[slice(*own[at])], y))
+            hardest = _hardest(net, every, [ids for ids, _ in texts])
+        picked: list[tuple[int, tuple[int, int]]] = []
+        for i, ((ids, y), at) in enumerate(zip(texts, hardest, strict=True)):
+            own = windows_of(len(ids))
+            picked.append((i, own[at]))
             if not y and len(own) > 1:
-                picked.append((w[slice(*own[int(rng.integers(len(own)))])], y))
+                picked.append((i, own[int(rng.integers(len(own)))]))
         order = rng.permutation(len(picked))
-        for at in range(0, len(order), BATCH):
+        for at in range(0, len(order), BATCH)[: STEPS - trainer.t]:
             some = [picked[i] for i in order[at : at + BATCH]]
-            lost = [rng.random(len(w)) < DROP for w, _ in some]  # a word now and then, so that single texts are not learned by heart
-            trainer.step([[v for v, x in zip(w, out, strict=True) if not x] or w for (w, _), out in zip(some, lost, strict=True)], np.array([y for _, y in some], np.float32))
+            words = [[every[k] for k in texts[i][0][a:b]] for i, (a, b) in some]
+            lost = [rng.random(len(w)) < DROP for w in words]  # a word now and then, so that single texts are not learned by heart
+            trainer.step([[v for v, x in zip(w, out, strict=True) if not x] or w for w, out in zip(words, lost, strict=True)], np.array([texts[i][1] for i, _ in some], np.float32))
+            if trainer.t > STEPS - AVERAGED:
+                for k, v in net.P.items():
+                    summed[k] += v
+    net.P |= {k: v / AVERAGED for k, v in summed.items()}
     return net
 
 
+def _hardest(net: Network, every: list[str], texts: list[np.ndarray]) -> list[int]:
+    """Of each text (numbers of words in every), the window that scores highest."""
+    scorer = Scorer(net)
+    for k in range(0, len(every), 65_536):
+        scorer._add(every[k : k + 65_536])
+    best, arg, passed = np.full(len(texts), -1.0), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for owner, p in scorer.of_ids([ids + 1 for ids in texts]):  # row 0 is no word's
+        for i, start, n in zip(*np.unique(owner, return_index=True, return_counts=True), strict=True):
+            k = int(p[start : start + n].argmax())
+            if p[start + k] > best[i]:
+                best[i], arg[i] = p[start + k], passed[i] + k
+            passed[i] += n
+    return arg.tolist()
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """The bounded sample: documents that are labelled, not held out and not over SAMPLE_CHARS, drawn by hash of their id.
 
