@@ -51,7 +51,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     room = F.when(F.col("k") <= sample_rows, F.least(F.lit(sample_docs), F.lit(float(sample_rows)) / F.col("k"))).otherwise(F.raise_error(F.lit(f"more than {sample_rows} languages")).cast("double"))
     shares = sizes.crossJoin(F.broadcast(languages)).select("lang", (room / F.col("n")).alias("share"))  # one row
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit("langid")), 11) / F.lit(2.0**53)
-    drawn = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).join(shares, "lang").where("place < share")
+    # A row for each language, sample_rows at most: above, the shares fail. The texts stay where they are.
+    drawn = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).join(F.broadcast(shares), "lang").where("place < share")
     words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counts = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     w = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
