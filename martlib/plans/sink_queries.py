@@ -11,7 +11,6 @@ from martlib.operators import clean as P
 from martlib.operators import joins as J
 from martlib.operators import quality as Q
 from martlib.plans import flows
-from martlib.plans import marts as K
 from martlib.plans.event_queries import _HOURS, _run, _stream, station_hours
 from martlib.plans.load_queries import _CONTACTS, contacts
 from martlib.sources import lake, readers, writers
