@@ -134,6 +134,19 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """df written to the shared folder in buckets of key and read back: joins by key of tables with as many buckets need no
+    shuffle. Bucketing needs a name in the catalog, which is there while the table is opened only."""
+    spark = df.sparkSession
+    name = f"martlib_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", f"{_scratch(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    fs, scratch = _scratch_fs(spark)
+    fs.deleteOnExit(scratch)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what materialize() has written in this application."""
     fs, path = _scratch_fs(spark)
