@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlib.functions import columns as C
+from martlib.operators.windows import numbered
 
 
 def group_agg(df: DataFrame, keys: list, aggs: dict[str, Column], having: Column | None = None) -> DataFrame:
@@ -83,3 +84,27 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], names: tuple[str,
 
 def prefix_sum(df: DataFrame, part: list[str], order: str, c: str, name: str) -> DataFrame:
     return df.withColumn(name, F.sum(c).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def distinct_bitmaps(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """(keys, bucket, bits): the distinct values of c by keys as bitmaps that can be merged. Values are numbered densely once, and a
+    bucket holds 32,768 numbers in 4 KB; nulls are no values. The numbers are written when this is called."""
+    ids = number_values(df, c).withColumnRenamed(c, "__value")
+    placed = df.where(F.col(c).isNotNull()).select(*keys, c).distinct().join(ids, F.col(c) == F.col("__value"))
+    bit = F.bitmap_construct_agg(F.bitmap_bit_position("number"))
+    return placed.groupBy(*keys, F.bitmap_bucket_number("number").alias("bucket")).agg(bit.alias("bits"))
+
+
+def number_values(df: DataFrame, c: str) -> DataFrame:
+    """(c, number): the distinct values of c in order, 1, 2, 3 ..., by ranges."""
+    return numbered(df.select(c).where(F.col(c).isNotNull()).distinct(), c, "number")
+
+
+def merge_bitmaps(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitmaps of coarser keys from those of finer ones."""
+    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def count_bitmaps(bitmaps: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """How many distinct values there are by keys, exactly. Keys whose values are all null have no row."""
+    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(name))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlib.functions import columns as C
 from martlib.operators.windows import close_intervals, islands_by_change, latest_per_key
+from martlib.sources.scratch import in_ranges, range_starts
 
 
 def _differs(a: str, b: str, columns: list[str]) -> Column:
@@ -58,9 +59,34 @@ def scd2_rebuild(events: DataFrame, key: str, attribute: str, at: str, tie: list
     needed = list(dict.fromkeys([key, attribute, at, *tie])) if all(isinstance(t, str) for t in tie) else events.columns
     day = events.where(F.col(key).isNotNull()).select(*needed).withColumn("__day", F.to_date(at)).repartition(F.col(key))
     days = latest_per_key(day, [key, "__day"], [F.desc(at), *[C.col(t) if isinstance(t, Column) else F.desc(t) for t in tie]])
-    runs = islands_by_change(days.select(key, "__day", attribute), [key], ["__day"], attribute)
-    versions = runs.groupBy(key, "version_number").agg(F.first(attribute).alias(attribute), F.min("__day").alias("valid_from"))
-    return close_intervals(versions, [key]).withColumn("version_key", C.surrogate_key(key, "version_number"))
+    return versions_of_days(days, key, attribute, "__day").withColumn("version_key", C.surrogate_key(key, "version_number"))
+
+
+def versions_of_days(days: DataFrame, key: str, attribute: str, day: str) -> DataFrame:
+    """(key, version_number, attribute, valid_from, valid_to, is_current) from one row for each key and day."""
+    runs = islands_by_change(days.select(key, day, attribute), [key], [day], attribute)
+    versions = runs.groupBy(key, "version_number").agg(F.first(attribute).alias(attribute), F.min(day).alias("valid_from"))
+    return close_intervals(versions, [key])
+
+
+def last_of_day(events: DataFrame, key: str, attribute: str, at: str, tie: str, day: str = "day") -> DataFrame:
+    """(key, day, attribute): the last value of each key on each day; rows without a key are left out."""
+    last = F.max_by(attribute, F.struct(at, tie)).alias(attribute)
+    return events.where(F.col(key).isNotNull()).groupBy(key, F.to_date(at).alias(day)).agg(last)
+
+
+def splice_versions(dim: DataFrame, seen: DataFrame, replaced: DataFrame, fresh: DataFrame, key: str, attribute: str, day: str = "day") -> DataFrame:
+    """dim (key, attribute, valid_from, valid_to, is_current) after any set of days, late ones too, in one pass.
+
+    seen: what was known of each key on the days that stay (key, day, attribute); replaced: rows of the same form that the load
+    takes back; fresh: those that it brings. Only keys in replaced or fresh are touched: their change points are spliced into
+    what was seen of them, so an interval in the middle opens, closes, splits or merges with its neighbours. All other versions
+    pass unread. The result is what scd2_rebuild gives for all days together.
+    """
+    touched = replaced.select(key).union(fresh.select(key)).distinct()
+    known = _matched(seen, touched, [key], "left_semi").select(key, day, attribute).unionByName(fresh.select(key, day, attribute))
+    columns = [key, attribute, "valid_from", "valid_to", "is_current"]
+    return _matched(dim, touched, [key], "left_anti").select(*columns).unionByName(versions_of_days(known, key, attribute, day).select(*columns))
 
 
 def scd2_replay(events: DataFrame, key: str, attribute: str, at: str, tie: list, days: list[str], empty: DataFrame) -> DataFrame:
@@ -162,10 +188,13 @@ def guest_members(dim: DataFrame, lines: DataFrame, key: str, group: str) -> Dat
 
 
 def assign_surrogate_keys(dim: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Integers after the dimension's greatest, in the given order. new is the few rows that a batch adds: they are numbered
-    in one task. Use functions.surrogate_key for many."""
+    """Integers after the dimension's greatest, in the given order, numbered by ranges, which are written when this is called.
+    An order with ties falls anyhow among them."""
     most = dim.agg(F.coalesce(F.max(key), F.lit(0)).alias("__most"))
-    return new.crossJoin(F.broadcast(most)).withColumn(key, (F.col("__most") + F.row_number().over(Window.orderBy(*order))).cast("long")).drop("__most")
+    ranged = in_ranges(new, list(order), "keys")
+    placed = ranged.join(F.broadcast(range_starts(ranged, F.count("*"))), "__part").crossJoin(F.broadcast(most))
+    number = (F.col("__most") + F.col("__start") + F.col("__at") + 1).cast("long")
+    return placed.withColumn(key, number).select(*[c for c in new.columns if c != key], key)
 
 
 def evolve_schema(target: DataFrame, batch: DataFrame) -> DataFrame:

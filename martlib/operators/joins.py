@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlib.functions import columns as C
+from martlib.sources.scratch import in_ranges
 
 
 def star_join(fact: DataFrame, dims: list[tuple[DataFrame, str | list[str]]]) -> DataFrame:
@@ -42,6 +43,38 @@ def point_in_time_join(fact: DataFrame, versions: DataFrame, key: str, at: str,
     return fact.join(v, on, how).drop("__key")
 
 
+def as_of_join(fact: DataFrame, versions: DataFrame, key: str, at: str, how: str = "left", start: str = "valid_from", end: str | None = "valid_to") -> DataFrame:
+    """As point_in_time_join, for versions that do not overlap, by a merge: facts and versions in one order of key and day, the last
+    version carried forward. A fact costs the same however many versions its key has, and a key with most of the rows is spread
+    over ranges; the last version of each range, one row, is carried into the next ones.
+
+    end: the last day of a version, or None where a version lasts until the next one. Facts without a key or a day find none
+    and stay with how='left'. Of versions that start on one day, one that ends later wins. The ranges are written when this is called.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("versions without facts are not kept")
+    taken = [c for c in versions.columns if c != key]
+    if clash := {c.lower() for c in taken} & {c.lower() for c in fact.columns}:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    pack = lambda df, columns: F.struct(*[F.col(f"`{c}`") for c in columns])
+    v = versions.where(F.col(key).isNotNull() & F.col(start).isNotNull())
+    v = v.select(F.col(key).alias("k"), F.col(start).cast("date").alias("t"), F.lit(0).alias("kind"), (F.col(end).cast("date") if end else F.lit(None).cast("date")).alias("until"), pack(v, taken).alias("v"))
+    f = fact.select(F.col(key).alias("k"), F.to_date(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("until"), pack(fact, fact.columns).alias("f"))
+    known, lost = f.where("k IS NOT NULL AND t IS NOT NULL"), f.where("k IS NULL OR t IS NULL").select("f.*")
+    both = v.unionByName(known, allowMissingColumns=True).withColumn("tie", F.xxhash64("f"))
+    ranged = in_ranges(both, ["k", "t", "kind", F.asc_nulls_last("until"), "tie"], "asof")
+    version = F.when(F.col("kind") == 0, F.struct("k", "until", "v"))
+    own = F.last(version, ignorenulls=True).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = ranged.groupBy("__part").agg(F.max_by(version, F.when(F.col("kind") == 0, F.col("__at"))).alias("e"))  # a row for each range
+    carried = ends.select("__part", F.last("e", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("c"))
+    found = ranged.withColumn("own", own).where("kind = 1").join(F.broadcast(carried), "__part").withColumn("last", F.coalesce("own", "c"))
+    holds = (F.col("last.k") == F.col("k")) & (F.col("t") <= F.coalesce("last.until", "t"))
+    out = found.select("f", F.when(holds, F.col("last.v")).alias("v"))
+    if how == "inner":
+        return out.where("v IS NOT NULL").select("f.*", "v.*")
+    return out.select("f.*", "v.*").unionByName(lost, allowMissingColumns=True)
+
+
 def version_on(versions: DataFrame, key: str, value, day: str) -> DataFrame:
     """The version of one key on one day."""
     return versions.where((F.col(key) == F.lit(value)) & F.lit(day).cast("date").between(F.col("valid_from"), F.col("valid_to")))
@@ -81,7 +114,8 @@ def latest_only(df: DataFrame, ts: str) -> DataFrame:
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, buckets: int, how: str = "inner", share: float = 0.01) -> DataFrame:
-    """As the plain join on key, with each hot key of the big side spread over buckets.
+    """As the plain join on key, with each hot key of the big side spread over buckets. Rows without a key match nothing: with
+    how='left' they stay where they are and are not shuffled.
 
     Hot keys have more than `share` of the big side's rows, so there are 1 / share of them at most; the small side is repeated for
     them alone. The salt is a hash of the row, so a task that runs again deals its rows as before. how: inner or left (the small
@@ -89,13 +123,16 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, buckets: int, how: s
     """
     if how not in ("inner", "left"):
         raise ValueError("the repeated side's unmatched rows would be repeated too")
+    if how == "left":
+        alone, big = big.where(F.col(key).isNull()), big.where(F.col(key).isNotNull())
     counts, total = big.groupBy(key).agg(F.count("*").alias("__n")), big.agg(F.count("*").alias("__all"))
     hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") > share * F.col("__all")).select(F.col(key), F.lit(buckets).alias("__buckets"))
     spread = F.coalesce(F.col("__buckets"), F.lit(1))
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), spread).cast("int")
     salted = big.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__buckets")
     repeated = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), spread - 1))).drop("__buckets")
-    return salted.join(repeated, [key, "__salt"], how).drop("__salt")
+    joined = salted.join(repeated, [key, "__salt"], how).drop("__salt")
+    return joined.unionByName(alone, allowMissingColumns=True) if how == "left" else joined
 
 
 def diff(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("only_a", "only_b")) -> DataFrame:

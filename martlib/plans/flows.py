@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from martlib.operators import clean as P
@@ -17,7 +18,10 @@ from martlib.sources import readers as R
 from martlib.sources.writers import Publisher, State, _fs, overwrite_partitions, quarantine
 
 CUSTOMERS = "customer_id long, country string, valid_from date, valid_to date, is_current boolean"
+BRONZE = "value string, _source_file string, _ingested_at timestamp, _landing_date date"
 DAYS = "day string, run string"
+RUNS = "run_id string, batch_date date, started_at timestamp, finished_at timestamp, raw long, facts long, rejected long, status string, error string"
+CHECKS = "run_id string, check_name string, severity string, passed boolean, observed double"
 PRODUCTS = "stock_code string, product_description string, invoiced_at timestamp, sales_line_id long"
 
 
@@ -35,12 +39,19 @@ def snapshot_check(dim: DataFrame, current: DataFrame, key: str, attributes: lis
     return H.scd2_merge(dim, current.select(key, *attributes), key, attributes, at)
 
 
+def _in_days(column: str, days: list[str], kind: str = "DATE") -> Column:
+    """Whether a column is one of the days; one expression, however many there are. Days are checked to be dates."""
+    named = ", ".join(f"{kind} '{date.fromisoformat(d)}'" for d in days)
+    return F.expr(f"coalesce({column} IN ({named}), false)") if days else F.lit(False)
+
+
 class DailyLoader:
-    """Retail lines by day: customers (SCD 2, guests by country), products (SCD 1), facts and an audit row.
+    """Retail lines by day: customers (SCD 2, guests by country), products (SCD 1), facts, and an audit of every run.
 
-    A run writes under its own id, is checked, and is published only if every critical check passes. Which run holds the facts
-    of each day is a table of the run as well, so facts and dimensions change together when the one pointer moves. A day
-    that runs again replaces itself.
+    A run takes any set of days, late ones too. It writes under its own id, is checked, and is published only if every critical
+    check passes. Which run holds each day is a table of the run as well, so facts and dimensions change together when the one
+    pointer moves, and a day that runs again replaces itself. Facts name their customer and day; the version is found on
+    reading (sales()), because a late day can move the versions of days that were loaded before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -50,72 +61,122 @@ class DailyLoader:
         found = self.tables.read(name)
         return self.spark.createDataFrame([], schema) if found is None else found
 
-    def _appended(self, name: str) -> DataFrame | None:
+    def _appended(self, name: str, schema: str | None = None) -> DataFrame | None:
         fs, p = _fs(self.spark, f"{self.root}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{name}") if fs.exists(p) else None
+        if fs.exists(p):
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        return None if schema is None else self.spark.createDataFrame([], schema)
 
     def run_batch(self, lines: DataFrame, day: str) -> dict:
-        """lines: line_id, invoice, stock_code, description, quantity, invoiced_at, unit_price, customer_id, country."""
-        run = f"{day}-{uuid.uuid4().hex[:8]}"
-        staged = P.stage_sales_lines(lines.withColumn("batch_date", F.lit(day).cast("date"))).persist()
+        """One day. lines: line_id, invoice, stock_code, description, quantity, invoiced_at, unit_price, customer_id, country."""
+        return self.run_days(lines, [day])
+
+    def run_days(self, lines: DataFrame, days: list[str]) -> dict:
+        """Any days in one run. Lines of other days fail it; a day without lines is loaded, and has none."""
+        return self._run(lines, days, afresh=False)
+
+    def rebuild(self, feed: DataFrame) -> dict:
+        """All days of the feed in one run, with what a backfill day by day would leave. The feed is a table, not a batch: it
+        replaces customers, products and facts of all days."""
+        return self._run(feed, None, afresh=True)
+
+    def backfill(self, feed: DataFrame, days: list[str], at_once: int = 50) -> list[dict]:
+        """at_once days in each run, in the given order; a run reads from its first day to its last, so it is a pruned read. Returns the
+        counts of each day."""
+        done = []
+        for i in range(0, len(days), at_once):
+            some = days[i : i + at_once]
+            span = R.lines_between(feed, "invoiced_at", min(some), max(some))
+            counts = self.run_days(span.where(_in_days("to_date(invoiced_at)", some)), some)["days"]
+            done += [{"raw": counts[d][0], "facts": counts[d][1], "rejected": counts[d][0] - counts[d][1], "failed": []} for d in some]
+        return done
+
+    def _run(self, lines: DataFrame, days: list[str] | None, afresh: bool) -> dict:
+        run, started = f"{days[0] if days else 'rebuild'}-{uuid.uuid4().hex[:8]}", datetime.now(timezone.utc)
+        counts, checks, error = {}, [], None
         try:
-            return self._run_day(run, staged, day)
+            counts, checks = self._write(run, lines, days, afresh)
+            if failed := [c[0] for c in checks if not c[2] and c[1] == "critical"]:
+                raise Q.ChecksFailed(", ".join(failed))
+            by_day = self.spark.createDataFrame([(d, run) for d in days or counts], DAYS)
+            self.tables.write(run, "days", by_day if afresh else H.upsert(self._read("days", DAYS), by_day, ["day"]))
+            self.tables.publish(run)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"[:2000]
+            raise
         finally:
-            staged.unpersist()
-
-    def _run_day(self, run: str, staged: DataFrame, day: str) -> dict:
-        known = staged.where("customer_id IS NOT NULL AND NOT is_rejected")
-        last = latest_per_key(known, ["customer_id"], [F.desc("invoiced_at"), F.desc("sales_line_id")]).select("customer_id", "country")
-        before = self._read("customers", CUSTOMERS)
+            self._record(run, started, days or sorted(counts), counts, checks, error)
+        raw, facts = (sum(c[k] for c in counts.values()) for k in (0, 1))
+        return {"raw": raw, "facts": facts, "rejected": raw - facts, "failed": [], "days": counts}
+
+    def _write(self, run: str, lines: DataFrame, days: list[str] | None, afresh: bool) -> tuple[dict, list[tuple]]:
+        """({day: (lines, facts)}, checks) of a run whose tables are written. The lines are read once; what the checks need of them
+        is counted by that read and by the write of the facts."""
+        seen_lines, seen_facts = Observation(), Observation()
+        good, money = ~F.col("is_rejected"), F.col("revenue").cast("decimal(38,2)")
+        staged = P.stage_sales_lines(lines.withColumn("batch_date", F.to_date("invoiced_at")))
+        strange = F.lit(False) if days is None else ~_in_days("batch_date", days)
+        staged = staged.observe(seen_lines, F.count(F.lit(1)).alias("lines"), F.count(F.when(~good, 1)).alias("rejected"), F.sum(F.when(good, money)).alias("revenue"), F.count(F.when(strange, 1)).alias("strange"))
+        staged = self.tables.write(run, "staged", staged)
+        good_lines = staged.where(good)
+
+        published = self._read("days", DAYS)
+        ours = F.lit(afresh) | _in_days("day", days or [], "")
+        again, kept = published.where(F.lit(not afresh) & ours), published.where(~ours)
+        fresh = H.last_of_day(good_lines, "customer_id", "country", "invoiced_at", "sales_line_id")
+        overwrite_partitions(fresh.withColumn("run", F.lit(run)), f"{self.root}/customer_days", ["run"])
+        every = self._appended("customer_days")
+        of = lambda some: every.join(some.select(F.col("day").cast("date").alias("day"), "run"), ["day", "run"], "left_semi").drop("run")
+        before = self._read("customers", CUSTOMERS).where(F.lit(not afresh))
         members, guests = before.where("customer_id IS NOT NULL"), before.where("customer_id IS NULL")
-        merged = H.scd2_merge(members, last, "customer_id", ["country"], day)
-        new_guests = H.guest_members(guests, staged.where("NOT is_rejected"), "customer_id", "country")
+        merged = H.splice_versions(members, of(kept), of(again), every.where(F.col("run") == run).drop("run"), "customer_id", "country")
+        new_guests = H.guest_members(guests, good_lines, "customer_id", "country")
         customers = self.tables.write(run, "customers", merged.unionByName(guests).unionByName(new_guests))
-        products = H.scd1_latest(self._read("products", PRODUCTS), staged, "stock_code", "product_description", "invoiced_at", "sales_line_id")
+        products = H.scd1_latest(self._read("products", PRODUCTS).where(F.lit(not afresh)), staged, "stock_code", "product_description", "invoiced_at", "sales_line_id")
         self.tables.write(run, "products", products)
-        return self._load(run, staged, customers, self.spark.createDataFrame([(day, run)], DAYS), day)
 
-    def _load(self, run: str, staged: DataFrame, customers: DataFrame, days: DataFrame, label: str) -> dict:
-        """Facts, checks and audit of a run whose dimensions are written, and its publication."""
-        facts = J.resolve_member(staged.where("NOT is_rejected"), customers, "customer_id", "invoiced_at", "country")
+        facts = J.resolve_member(good_lines, customers, "customer_id", "invoiced_at", "country").select(*staged.columns)
+        odd = (F.col("line_type") == "sale") & (F.col("quantity") <= 0)
+        facts = facts.observe(seen_facts, F.count(F.lit(1)).alias("facts"), F.sum(money).alias("revenue"), F.count(F.when(odd, 1)).alias("odd"))
         overwrite_partitions(facts.withColumn("run", F.lit(run)), f"{self.root}/facts", ["run"])
         written = self.spark.read.parquet(f"{self.root}/facts").where(F.col("run") == run)
-        checks = Q.load_reconciles(staged, written, staged.where("is_rejected")).unionByName(Q.as_check("one current version", Q.one_current_version(customers, "customer_id")))
-        positive = Q.run_checks(written, [Q.Check("sales have positive quantity", Q.offending((F.col("line_type") == "sale") & (F.col("quantity") <= 0)))])
-        results = checks.unionByName(positive).collect()  # a row for each check
-        failed = [r["check_name"] for r in results if not r["passed"] and r["severity"] == "critical"]
-        counts = {"raw": staged.select("sales_line_id").count(), "facts": written.count()}
-        counts |= {"rejected": counts["raw"] - counts["facts"], "failed": failed}
-        audit = self.spark.createDataFrame([(run, label, counts["raw"], counts["facts"], counts["rejected"], "failed" if failed else "loaded")], "run_id string, batch_date string, raw long, facts long, rejected long, status string")
-        audit.coalesce(1).write.mode("append").parquet(f"{self.root}/audit")
-        if failed:
-            raise Q.ChecksFailed(", ".join(failed))
-        self.tables.write(run, "days", H.upsert(self._read("days", DAYS), days, ["day"]))
-        self.tables.publish(run)
-        return counts
-
-    def backfill(self, feed: DataFrame, days: list[str]) -> list[dict]:
-        """One day after another; each is a range on the feed's timestamp, so a day is a pruned read."""
-        return [self.run_batch(R.lines_for_day(feed, "invoiced_at", d, ["line_id"]), d) for d in days]
-
-    def rebuild(self, feed: DataFrame) -> dict:
-        """All days of the feed in one pass and one run, with what a backfill day by day would leave: the whole history is built
-        from all lines at once. The feed is a table, not a batch: it replaces customers, products and facts of all days."""
-        run = f"rebuild-{uuid.uuid4().hex[:8]}"
-        staged = P.stage_sales_lines(feed.withColumn("batch_date", F.to_date("invoiced_at")))
-        known = staged.where("customer_id IS NOT NULL AND NOT is_rejected")
-        members = H.scd2_rebuild(known, "customer_id", "country", "invoiced_at", ["sales_line_id"])
-        none = self.spark.createDataFrame([], CUSTOMERS)
-        customers = self.tables.write(run, "customers", members.select(*none.columns).unionByName(H.guest_members(none, staged.where("NOT is_rejected"), "customer_id", "country")))
-        self.tables.write(run, "products", H.scd1_latest(self.spark.createDataFrame([], PRODUCTS), staged, "stock_code", "product_description", "invoiced_at", "sales_line_id"))
-        days = staged.select(F.col("batch_date").cast("string").alias("day")).distinct().withColumn("run", F.lit(run))
-        return self._load(run, staged, customers, days, "all")
+        raw_of, facts_of = ({str(r["batch_date"]): r["count"] for r in df.groupBy("batch_date").count().collect()} for df in (staged, written))  # a row for each day
+        counts = {d: (raw_of.get(d, 0), facts_of.get(d, 0)) for d in sorted({*(days or []), *raw_of})}
+        return counts, self._checks(seen_lines.get, seen_facts.get, customers)
+
+    def _checks(self, lines: dict, facts: dict, customers: DataFrame) -> list[tuple]:
+        """(check_name, severity, passed, observed)."""
+        members = customers.where("customer_id IS NOT NULL")
+        many = Q.one_current_version(customers, "customer_id").agg(F.count("*").alias("n"))
+        crossing = J.overlap_pairs(members, "customer_id").agg(F.count("*").alias("n"))
+        broken = many.withColumn("kind", F.lit("current")).unionByName(crossing.withColumn("kind", F.lit("crossing"))).collect()  # two rows
+        n = {r["kind"]: r["n"] for r in broken}
+        lost = lines["lines"] - facts["facts"] - lines["rejected"]
+        gap = float((lines["revenue"] or 0) - (facts["revenue"] or 0))
+        rows = [
+            ("every line is loaded or rejected", lost == 0, float(lost)), ("revenue reconciles", gap == 0, gap), ("the load is not empty", lines["lines"] > 0, float(lines["lines"])),
+            ("lines are of the days named", lines["strange"] == 0, float(lines["strange"])), ("one current version", n["current"] == 0, float(n["current"])),
+            ("versions never overlap", n["crossing"] == 0, float(n["crossing"])), ("sales have positive quantity", facts["odd"] == 0, float(facts["odd"])),
+        ]
+        return [(name, "critical", passed, observed) for name, passed, observed in rows]
+
+    def _record(self, run: str, started: datetime, days: list[str], counts: dict, checks: list[tuple], error: str | None) -> None:
+        """What a run did, whether it failed or not: a row for each day, and one for each check."""
+        now, status = datetime.now(timezone.utc), "failed" if error else "loaded"
+        rows = [(run, date.fromisoformat(d), started, now, *((counts[d][0], counts[d][1], counts[d][0] - counts[d][1]) if d in counts else (None,) * 3), status, error) for d in days or ["0001-01-01"]]
+        self.spark.createDataFrame(rows, RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/audit_runs")
+        if checks:
+            self.spark.createDataFrame([(run, *c) for c in checks], CHECKS).coalesce(1).write.mode("append").parquet(f"{self.root}/audit_checks")
 
     def facts(self) -> DataFrame:
         """The rows of each day from the run that the published table of days names."""
         days = self._read("days", DAYS).select(F.col("day").cast("date").alias("batch_date"), "run")
         return self._appended("facts").join(days, ["batch_date", "run"], "left_semi").drop("run")
 
+    def sales(self) -> DataFrame:
+        """Facts with the version of their customer that holds on their day (valid_from, valid_to, is_current)."""
+        return J.resolve_member(self.facts(), self.customers(), "customer_id", "invoiced_at", "country")
+
     def customers(self) -> DataFrame:
         return self._read("customers", CUSTOMERS)
 
@@ -123,7 +184,23 @@ class DailyLoader:
         return self._read("products", PRODUCTS).select("stock_code", "product_description")
 
     def audit(self) -> DataFrame:
-        return self._appended("audit")
+        """A row for each run and day: counts, times, status and error."""
+        return self._appended("audit_runs", RUNS)
+
+    def checks(self) -> DataFrame:
+        """A row for each run and check."""
+        return self._appended("audit_checks", CHECKS)
+
+    def clean(self) -> None:
+        """Delete dimensions of runs that nothing names any more, and rows of days that other runs have replaced. Not for use while
+        a run is being written."""
+        named = {r["run"] for r in self._read("days", DAYS).select("run").distinct().collect()}  # a row for each run
+        self.tables.clean()
+        for name in ("facts", "customer_days"):
+            fs, p = _fs(self.spark, f"{self.root}/{name}")
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                if s.getPath().getName().startswith("run=") and s.getPath().getName().removeprefix("run=") not in named:
+                    fs.delete(s.getPath(), True)
 
 
 def read_stations(spark: SparkSession, root: str) -> DataFrame | None:
@@ -160,16 +237,27 @@ class Medallion:
 
     def _table(self, name: str) -> DataFrame | None:
         fs, p = _fs(self.spark, f"{self.root}/{name}")
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}") if fs.exists(p) else None
+        filled = fs.exists(p) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}") if filled else None
 
     def bronze(self, landing: str) -> int:
         return ingest_new_files(self.spark, landing, f"{self.root}/bronze", f"{self.root}/bronze_checkpoint")
 
     def silver(self) -> dict:
         """New lines as events; rejected lines go to quarantine. A run that is repeated after a crash writes its own rows again."""
-        lines = self._table("bronze")
         last = self.state.get("silver")
-        new = R.changes_since(lines.withColumn("__v", F.unix_micros("_ingested_at")), "__v", last).persist()
+        new = R.changes_since(self._lines().withColumn("__v", F.unix_micros("_ingested_at")), "__v", last).persist()
+        try:
+            return self._silver(new)
+        finally:
+            new.unpersist()
+
+    def _lines(self) -> DataFrame:
+        """Bronze by its own schema: before the first file arrives there is nothing to infer one from."""
+        fs, p = _fs(self.spark, f"{self.root}/bronze")
+        return self.spark.read.schema(BRONZE).parquet(f"{self.root}/bronze") if fs.exists(p) else self.spark.createDataFrame([], BRONZE)
+
+    def _silver(self, new: DataFrame) -> dict:
         version = new.agg(F.max("__v").alias("v")).first()["v"]
         if version is None:
             return {"inserted": 0, "rejected": 0}
@@ -182,19 +270,23 @@ class Medallion:
         overwrite_partitions(valid.withColumn("batch", F.lit(str(version))), f"{self.root}/silver", ["batch", "event_date"])
         quarantine(bad, f"{self.root}/quarantine", str(version))
         self.state.set("silver", version)
-        new.unpersist()
-        own = self._table("silver").where(F.col("batch") == str(version)).count()
-        return {"inserted": own, "rejected": self._table("quarantine").where(F.col("batch_id") == str(version)).count()}
+        events = self._table("silver")
+        own = 0 if events is None else events.where(F.col("batch") == str(version)).count()
+        rejected = self._table("quarantine")
+        return {"inserted": own, "rejected": 0 if rejected is None else rejected.where(F.col("batch_id") == str(version)).count()}
 
     def gold(self) -> int:
         """Recompute the dates that silver has changed, and no others; how many."""
         version, done = self.state.get("silver"), self.state.get("gold")
         events = self._table("silver")
+        if events is None:
+            return 0
         changed = events.where((F.col("batch").cast("long") > F.lit(done if done is not None else -1)) & (F.col("batch").cast("long") <= F.lit(version))).select("event_date").distinct().persist()
         if n := changed.count():
             days = events.join(changed, "event_date", "left_semi")
             overwrite_partitions(K.daily_funnel(days, {"product_view_pct": "product_view", "cart_pct": "add_to_cart", "purchase_pct": "purchase"}), f"{self.root}/daily_funnel", ["event_date"])
             overwrite_partitions(K.product_daily(days, "product_id", "product_view", "purchase", "price"), f"{self.root}/product_daily", ["event_date"])
+        changed.unpersist()
         self.state.set("gold", version)
         return n
 

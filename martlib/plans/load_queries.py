@@ -13,6 +13,7 @@ from martlib.functions import columns as C
 from martlib.operators import clean as P
 from martlib.operators import history as H
 from martlib.operators import joins as J
+from martlib.operators import quality as Q
 from martlib.operators import windows as W
 from martlib.plans import flows
 from martlib.plans import marts as K
@@ -78,16 +79,46 @@ def daily_loader(spark, d):
     return J.left_enrich(facts, opened, "batch_date", {"versions_opened": 0})
 
 
-@query(f"""WITH {_STAGED} SELECT strftime(day, '%Y-%m-%d') AS run_id, day AS batch_date, count(*) AS raw, count(*) FILTER (WHERE NOT is_rejected) AS facts, count(*) FILTER (WHERE is_rejected) AS rejected,
-  (count(*) FILTER (WHERE is_rejected) * 10 > count(*))::BIGINT AS failed_checks, CASE WHEN count(*) FILTER (WHERE is_rejected) * 10 > count(*) THEN 'failed' ELSE 'loaded' END AS status FROM st GROUP BY day""")
+def _numbered_days(lines: DataFrame) -> list[str]:
+    return [str(r["day"]) for r in readers.trading_days(lines, "invoiced_at").orderBy("day").collect()]  # a row for each day
+
+
+@query(f"""WITH {_STAGED}, n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM st)),
+a AS (SELECT day AS batch_date, count(*) AS raw, count(*) FILTER (WHERE NOT is_rejected) AS facts, count(*) FILTER (WHERE is_rejected) AS rejected, 0::BIGINT AS failed_checks, 'loaded' AS status, false AS has_error FROM st GROUP BY day)
+SELECT * FROM a UNION ALL SELECT DATE '2031-01-01', 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT, 'failed', true UNION ALL SELECT DATE '2031-01-02', 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT, 'failed', true""")
 def load_audit(spark, d):
-    """A row for each day's load. Two critical checks and a warning: nothing lost, a tenth rejected at most, no cancellations."""
-    n = lambda test: F.count(F.when(test, 1))
-    rejected = F.col("is_rejected")
-    runs = staged(spark, d).groupBy(F.date_format("batch_date", "yyyy-MM-dd").alias("run_id"), "batch_date").agg(F.count("*").alias("raw"), n(~rejected).alias("facts"), n(rejected).alias("rejected"), n(F.col("line_type") == "cancellation").alias("gone"))
-    check = lambda passed, severity: F.struct(passed.alias("passed"), F.lit(severity).alias("severity"))
-    checks = F.array(check(F.col("raw") == F.col("facts") + F.col("rejected"), "critical"), check(F.col("rejected") * 10 <= F.col("raw"), "critical"), check(F.col("gone") == 0, "warn"))
-    return K.load_audit(runs.drop("gone"), runs.select("run_id", F.inline(checks)))
+    """What the loader wrote down of its runs, by day: all days in two runs, a day without lines (which must not be empty), and a
+    run whose lines are of another day than it names."""
+    loader, lines = flows.DailyLoader(spark, new_folder(spark, "audited")), feed(spark, d)
+    days = _numbered_days(lines)
+    loader.backfill(lines, days, at_once=1 + len(days) // 2)
+    for named, some in (("2031-01-01", lines.where(F.lit(False))), ("2031-01-02", readers.lines_for_day(lines, "invoiced_at", days[0], ["line_id"]))):
+        try:
+            loader.run_batch(some, named)
+        except Q.ChecksFailed:
+            continue
+        raise AssertionError(f"{named} was loaded")
+    return K.load_audit(loader.audit(), loader.checks()).select("batch_date", "raw", "facts", "rejected", "failed_checks", "status", F.col("error").isNotNull().alias("has_error"))
+
+
+@query(f"""WITH {_STAGED}, n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM st)), taken AS (SELECT day FROM n WHERE i % 2 = 0 OR i % 6 = 1),
+lc AS (SELECT customer_id, day, max_by(country, line_id) AS country FROM st JOIN taken USING (day) WHERE NOT is_rejected AND customer_id IS NOT NULL GROUP BY ALL),
+ch AS (SELECT *, CASE WHEN country IS DISTINCT FROM lag(country) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS opens FROM lc WINDOW w AS (PARTITION BY customer_id ORDER BY day)),
+v AS (SELECT customer_id, country, day AS valid_from FROM ch WHERE opens = 1), t AS (SELECT *, lead(valid_from) OVER (PARTITION BY customer_id ORDER BY valid_from) AS next FROM v),
+u AS (SELECT customer_id, country, valid_from, coalesce(next - 1, DATE '9999-12-31')::DATE AS valid_to, next IS NULL AS is_current FROM t),
+s AS (SELECT customer_id, valid_from, count(*) AS lines, sum(revenue)::DECIMAL(18,2) AS revenue FROM st JOIN taken USING (day) JOIN u USING (customer_id) WHERE NOT is_rejected AND day BETWEEN valid_from AND valid_to GROUP BY ALL)
+SELECT u.*, s.lines, s.revenue FROM u JOIN s USING (customer_id, valid_from)""")
+def late_days(spark, d):
+    """Every second day is loaded, then every third of the others, backwards in two runs, and the first run's last days again: the
+    history, and the sales of each version, are those of all these days together."""
+    loader, lines = flows.DailyLoader(spark, new_folder(spark, "late")), feed(spark, d)
+    days = _numbered_days(lines)
+    even, late = days[::2], days[1::6][::-1]
+    loader.backfill(lines, even, at_once=len(even))
+    loader.backfill(lines, late, at_once=1 + len(late) // 2)
+    loader.backfill(lines, even[-3:], at_once=3)
+    sales = loader.sales().where("customer_id IS NOT NULL").groupBy("customer_id", "valid_from").agg(F.count("*").alias("lines"), K.total("revenue").alias("revenue"))
+    return loader.customers().where("customer_id IS NOT NULL").join(sales, ["customer_id", "valid_from"])
 
 
 @query(f"""WITH {_STAGED} SELECT line_type, is_product, customer_id IS NULL AS is_guest, is_rejected, count(*) AS lines, count(descr) AS described, sum(quantity)::BIGINT AS units, sum(revenue)::DECIMAL(18,2) AS revenue FROM st GROUP BY ALL""")

@@ -268,7 +268,7 @@ def latest_status(snapshots: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def load_audit(runs: DataFrame, checks: DataFrame) -> DataFrame:
-    """Runs with their counts and how many checks failed. runs: run_id, batch_date, raw, facts, rejected."""
+    """Runs with how many of their critical checks failed. runs: run_id, status and whatever else they hold; a run may have failed
+    before its checks, or without one."""
     failed = checks.groupBy("run_id").agg(A.count_where(~F.col("passed") & (F.col("severity") == "critical")).alias("failed_checks"))
-    out = J.left_enrich(runs, failed, "run_id", {"failed_checks": 0})
-    return out.withColumn("status", F.when(F.col("failed_checks") == 0, "loaded").otherwise("failed"))
+    return J.left_enrich(runs, failed, "run_id", {"failed_checks": 0})

@@ -14,8 +14,10 @@ from martlib.operators import aggregates as A
 from martlib.operators import history as H
 from martlib.operators import joins as J
 from martlib.operators import windows as W
+from martlib.operators.quantiles import exact_median
 from martlib.plans import marts as K
 from martlib.sources.readers import lines_for_day, table
+from martlib.sources.scratch import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -220,6 +222,46 @@ def pit_join(spark, d):
     return out.select("o_orderkey", "o_custkey", "o_orderdate", "priority_then", "version_number")
 
 
+@query(f"WITH {_VERSIONS} SELECT o_orderkey, o.o_custkey, o_orderdate, v.o_orderpriority AS priority_then, version_number FROM orders o JOIN v ON o.o_custkey = v.o_custkey AND o_orderdate::DATE BETWEEN valid_from AND valid_to")
+def as_of_join(spark, d):
+    """pit_join by a merge instead of a range condition."""
+    v = versions(spark, d).select("o_custkey", F.col("o_orderpriority").alias("priority_then"), "version_number", "valid_from", "valid_to")
+    return J.as_of_join(table(spark, d, "orders"), v, "o_custkey", "o_orderdate", "inner").select("o_orderkey", "o_custkey", "o_orderdate", "priority_then", "version_number")
+
+
+@query("""WITH p AS (SELECT p_partkey, DATE '1992-01-01' + (p_partkey % 2000)::INT AS valid_from, DATE '1992-01-01' + (p_partkey % 2000)::INT + 365 AS valid_to, p_brand FROM part)
+SELECT p_brand, count(*) AS lines, sum(l_quantity) AS units FROM lineitem LEFT JOIN p ON l_partkey = p_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to GROUP BY 1""")
+def as_of_closed_ends(spark, d):
+    """Each part has a price list for a year; before and after it a line finds none."""
+    start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("p_partkey") % 2000).cast("int"))
+    lists = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), start.alias("valid_from"), F.date_add(start, 365).alias("valid_to"), "p_brand")
+    return J.as_of_join(table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_quantity"), lists, "l_partkey", "l_shipdate").groupBy("p_brand").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("units"))
+
+
+@query("""SELECT 'day' AS period, o_orderdate::DATE AS starts_on, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 2 UNION ALL SELECT 'month', date_trunc('month', o_orderdate)::DATE, count(DISTINCT o_custkey) FROM orders GROUP BY 2
+UNION ALL SELECT 'year', date_trunc('year', o_orderdate)::DATE, count(DISTINCT o_custkey) FROM orders GROUP BY 2""")
+def customers_by_period(spark, d):
+    """Distinct customers of days, months and years, exactly, from one bitmap for each day."""
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("starts_on"), "o_custkey")
+    days = materialize(A.distinct_bitmaps(orders, ["starts_on"], "o_custkey"), "bitmaps")
+    counted = []
+    for period in ("day", "month", "year"):
+        coarse = A.merge_bitmaps(days.withColumn("starts_on", F.date_trunc(period, "starts_on").cast("date")), ["starts_on"])
+        counted.append(A.count_bitmaps(coarse, ["starts_on"], "customers").withColumn("period", F.lit(period)))
+    return J.union_by_name(counted)
+
+
+@query("""SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median_price, median(CASE WHEN l_linenumber > 1 THEN l_discount END) AS median_discount FROM lineitem GROUP BY ALL
+UNION ALL SELECT NULL, NULL, median(l_extendedprice), median(CASE WHEN l_linenumber > 1 THEN l_discount END) FROM lineitem""")
+def exact_medians(spark, d):
+    """Medians of a few large groups, and of all rows, with nulls."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("l_discount"))
+    keys = ["l_returnflag", "l_linestatus"]
+    of = lambda df, groups: exact_median(df, groups, "l_extendedprice", "median_price").join(exact_median(df, groups, "l_discount", "median_discount"), groups)
+    every = of(lines.withColumn("one", F.lit(1)), ["one"]).drop("one")
+    return of(lines, keys).unionByName(every.withColumns({k: F.lit(None).cast("string") for k in keys}))
+
+
 @query(f"""WITH {_VERSIONS}, {SALES} SELECT o_orderpriority, sum(revenue)::DECIMAL(18,2) AS revenue_historical, (sum(revenue) FILTER (WHERE is_current))::DECIMAL(18,2) AS revenue_from_current_versions
 FROM s JOIN v ON customer_id = o_custkey AND invoiced_at::DATE BETWEEN valid_from AND valid_to GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def then_vs_current(spark, d):

@@ -140,6 +140,11 @@ def lines_for_day(feed: DataFrame, ts: str, day: str, order: list[str]) -> DataF
     return feed.where((F.col(ts) >= start) & (F.col(ts) < F.date_add(start, 1))).orderBy(*order)
 
 
+def lines_between(feed: DataFrame, ts: str, first: str, last: str) -> DataFrame:
+    """Rows from one day to another, both included; a range on the timestamp, so it reaches the scan."""
+    return feed.where((F.col(ts) >= F.lit(first).cast("date")) & (F.col(ts) < F.date_add(F.lit(last).cast("date"), 1)))
+
+
 def trading_days(feed: DataFrame, ts: str) -> DataFrame:
     return feed.select(F.to_date(ts).alias("day")).distinct()
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from martlib.functions import columns as C
 
 
+#: Folders of operators' own tables, by application.
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it. A session that names none gets a folder of
     its own where all of Spark is one process; on a cluster that would be a different disk on each machine, so it fails."""
@@ -34,8 +38,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop(spark: SparkSession) -> None:
+    """Delete what operators have written for themselves in this application; what reads it is of no use then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    path = f"{new_folder(df.sparkSession, label)}/t"
+    folder = new_folder(df.sparkSession, label)
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(folder)
+    path = f"{folder}/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

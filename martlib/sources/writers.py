@@ -50,15 +50,60 @@ def force_compute(df: DataFrame) -> None:
 
 
 def compact_partitions(spark: SparkSession, path: str, columns: list[str], sort: str, files: int) -> None:
-    """Rewrite partitions as few files, rows near each other by sort. The new files are complete aside before the old ones go; a
-    run that ends in between leaves them there, and the next one begins by putting them in place."""
-    aside = f"{path}_compact"
-    fs, done = _fs(spark, f"{aside}/_SUCCESS")
-    if not fs.exists(done):
-        spread = spark.read.parquet(path).repartitionByRange(files, *columns, sort).sortWithinPartitions(*columns, sort)
+    """Rewrite partitions as few files, rows near each other by sort.
+
+    The files to be replaced are listed, and the new ones are complete aside, before anything changes. Then these are moved into
+    the table, and the listed files are deleted, no others: files that were appended meanwhile stay. A run that ends at any
+    point is taken up by the next one where it stopped. Until then readers may see rows of both; none are lost. New files
+    without a list, as an earlier form of this function could leave them, replace partitions that are gone, and no others.
+    """
+    aside, listed = f"{path}_compact", f"{path}_compact_inputs"
+    if _done(spark, aside) and not _done(spark, listed):
+        _move_files(spark, aside, path, columns[0])
+        _delete(spark, aside)
+    if not _done(spark, aside):
+        table = spark.read.option("basePath", path)
+        names = [_plain(spark, f) for f in spark.read.parquet(path).inputFiles()]
+        if not names:
+            return
+        spark.createDataFrame([(n,) for n in names], "path string").coalesce(1).write.mode("overwrite").parquet(listed)
+        spread = table.parquet(*names).repartitionByRange(files, *columns, sort).sortWithinPartitions(*columns, sort)
         spread.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).parquet(aside)
-    overwrite_partitions(spark.read.parquet(aside), path, columns)
-    _delete(spark, aside)
+    _move_files(spark, aside, path)
+    fs = _fs(spark, path)[0]
+    for r in spark.read.parquet(listed).collect():  # a row for each file
+        fs.delete(_fs(spark, r["path"])[1], False)
+    _delete(spark, aside)  # first: a list alone is written anew
+    _delete(spark, listed)
+
+
+def _done(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def _plain(spark: SparkSession, uri: str) -> str:
+    """The path that a URI of a file stands for, its escapes undone."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
+
+
+def _move_files(spark: SparkSession, source: str, target: str, lacking: str | None = None) -> None:
+    """Data files of one folder to the same places below another. lacking: a partition column; only files of its values that the
+    target has no folder for."""
+    fs, root = _fs(spark, source)
+    base = fs.makeQualified(root).toString().rstrip("/")
+    there = {s.getPath().getName() for s in fs.listStatus(_fs(spark, target)[1])}
+    found, names = fs.listFiles(root, True), []
+    while found.hasNext():
+        p = found.next().getPath()
+        place = p.toString().removeprefix(base)
+        if not p.getName().startswith(("_", ".")) and not (lacking and place.split("/")[1] in there):
+            names.append(p.toString())
+    for name in names:
+        _, place = _fs(spark, f"{target}{name.removeprefix(base)}")
+        fs.mkdirs(place.getParent())
+        fs.rename(_fs(spark, name)[1], place)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -90,6 +135,20 @@ class Publisher:
         row = self.spark.createDataFrame([(run,)], "run string").withColumn("at", F.current_timestamp())
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
 
+    def clean(self, keep: int = 2) -> int:
+        """Delete the folders of runs that are not among the last `keep` published ones, runs that failed included; how many. Not
+        for use while a run is being written."""
+        fs, runs = _fs(self.spark, f"{self.root}/runs")
+        if not fs.exists(runs):
+            return 0
+        kept: set[str] = set()
+        if _fs(self.spark, f"{self.root}/pointer")[0].exists(_fs(self.spark, f"{self.root}/pointer")[1]):
+            kept = {r["run"] for r in self.spark.read.parquet(f"{self.root}/pointer").groupBy("run").agg(F.max("at").alias("at")).orderBy(F.desc("at")).limit(keep).collect()}
+        old = [s.getPath() for s in fs.listStatus(runs) if s.getPath().getName() not in kept]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
     def current(self) -> str | None:
         fs, p = _fs(self.spark, f"{self.root}/pointer")
         if not fs.exists(p):

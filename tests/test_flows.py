@@ -1,6 +1,7 @@
 """Composed loads: a day that runs again, a sabotaged load, late snapshots, a medallion that has nothing to do."""
 
 import json
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -114,3 +115,68 @@ def test_medallion(spark, tmp_path):
     gold = spark.read.parquet(str(tmp_path / "lake/daily_funnel"))
     assert rows(gold.withColumn("d", F.col("event_date").cast("string")), "d", "sessions", "purchase_pct") == [("2024-01-01", 2, 50.0), ("2024-01-02", 1, 0.0)]
     assert rows(flows.snapshot_check(spark.createDataFrame([], flows.CUSTOMERS), spark.createDataFrame([(1, "x")], "customer_id long, country string"), "customer_id", ["country"], "2024-01-01"), "country") == [("x",)]
+
+
+def histories(spark, seed):
+    """Lines of a few customers over a month, several a day, countries changing back and forth."""
+    rng = random.Random(seed)
+    return [
+        (i, str(500000 + i), "85123A", "HOLDER", rng.choice([1, 2, 0]), datetime(2011, 1, rng.randint(1, 28), rng.randint(0, 23)), Decimal("2.50"), rng.choice([1, 2, 3, None]), rng.choice(["France", "Spain"]))
+        for i in range(120)
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_days_in_any_order_and_number(spark, tmp_path, seed):
+    """Any cut of the days into runs, in any order, with days that run again and change, leaves what all days at once leave."""
+    rng, lines = random.Random(seed), histories(spark, seed)
+    feed = spark.createDataFrame(lines, LINES)
+    days = sorted({str(r[5].date()) for r in lines})
+    rng.shuffle(days)
+    some, loader, once = days[:-3], flows.DailyLoader(spark, str(tmp_path / "some")), flows.DailyLoader(spark, str(tmp_path / "once"))
+    first = spark.createDataFrame([r[:7] + (4 - (r[7] or 1), "Italy") if str(r[5].date()) == some[0] else r for r in lines], LINES)
+    loader.backfill(first, some[:5], at_once=5)  # its first day has other customers and countries, and is corrected below
+    loader.backfill(feed, some[5:], at_once=4)
+    loader.backfill(feed, [some[0], some[-1]], at_once=2)
+    once.rebuild(feed.where(F.to_date("invoiced_at").cast("string").isin(some)))
+    members = lambda x: rows(x.customers().where("customer_id IS NOT NULL"), "customer_id", "country", "valid_from", "valid_to", "is_current")
+    assert members(loader) == members(once)
+    sold = lambda x: rows(x.sales(), "sales_line_id", "customer_id", "valid_from", "valid_to")
+    assert sold(loader) == sold(once)
+    before = sold(loader), members(loader)
+    loader.clean()
+    assert (sold(loader), members(loader)) == before and len(list((tmp_path / "some/runs").iterdir())) == 2
+    loader.run_batch(readers.lines_for_day(feed, "invoiced_at", days[-1], ["line_id"]), days[-1])
+    assert loader.facts().count() == once.facts().count() + sum(str(r[5].date()) == days[-1] and r[4] != 0 for r in lines)
+
+
+def test_every_run_is_written_down(spark, tmp_path, monkeypatch):
+    """Checks and counts of a good run; a run that fails a check; one that breaks before its checks; one with lines of other days."""
+    feed = spark.createDataFrame(DAY1 + DAY2, LINES)
+    loader = flows.DailyLoader(spark, str(tmp_path / "shop"))
+    day1 = readers.lines_for_day(feed, "invoiced_at", "2011-01-10", ["line_id"])
+    loader.run_batch(day1, "2011-01-10")
+    assert rows(loader.audit(), "raw", "facts", "rejected", "status", "error") == [(4, 3, 1, "loaded", None)]
+    assert rows(loader.checks(), "passed") == [(True,)] * 7
+    whole = J.resolve_member
+    with monkeypatch.context() as m:  # guests are lost
+        m.setattr(J, "resolve_member", lambda fact, *more: whole(fact.where("customer_id IS NOT NULL"), *more))
+        with pytest.raises(Q.ChecksFailed, match="every line is loaded or rejected, revenue reconciles"):
+            loader.run_batch(day1, "2011-01-10")
+    assert rows(loader.checks().where("NOT passed"), "check_name", "observed") == [("every line is loaded or rejected", 1.0), ("revenue reconciles", 2.55)]
+    with pytest.raises(Exception, match="COLUMN"):
+        loader.run_batch(day1.drop("country"), "2011-01-10")
+    with pytest.raises(Q.ChecksFailed, match="days named"):
+        loader.run_batch(feed, "2011-03-01")
+    last = loader.audit().orderBy("started_at").select("status", "raw", F.col("error").isNotNull().alias("said"), (F.col("finished_at") >= F.col("started_at")).alias("timed"))
+    assert [tuple(r) for r in last.collect()] == [("loaded", 4, False, True), ("failed", 4, True, True), ("failed", None, True, True), ("failed", 1, True, True)]
+    assert rows(loader.facts(), "sales_line_id") == [(1,), (2,), (3,)]
+
+
+def test_medallion_without_files(spark, tmp_path):
+    (tmp_path / "land").mkdir()
+    m = flows.Medallion(spark, str(tmp_path / "lake"))
+    for _ in range(2):
+        assert m.run(str(tmp_path / "land")) == {"lines": 0, "inserted": 0, "rejected": 0, "dates": 0}
+    (tmp_path / "land/a.jsonl").write_text(event(1, "2024-01-01", "product_view"))
+    assert m.run(str(tmp_path / "land"))["inserted"] == 1

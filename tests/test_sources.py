@@ -143,6 +143,26 @@ def test_compaction_that_was_cut_short(spark, tmp_path):
     assert rows(spark.read.parquet(path), "v", "p") == rows(df) and not (tmp_path / "t_compact").exists()
 
 
+def test_compaction_keeps_what_was_appended_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run that stops before any file moves, one that stops half way, appends in between, and a value with odd characters."""
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(i, ["a b", "c:d%"][i % 2]) for i in range(20)], "v long, p string")
+    df.repartition(4).write.partitionBy("p").parquet(path)
+    more = lambda start: spark.range(start, start + 5).selectExpr("id AS v", "'a b' AS p")
+    for start, broken in ((100, "_move_files"), (200, "_delete")):
+        with monkeypatch.context() as m:
+            m.setattr(writers, broken, lambda *a: (_ for _ in ()).throw(RuntimeError("the machine went away")))
+            with pytest.raises(RuntimeError):
+                writers.compact_partitions(spark, path, ["p"], "v", 1)
+        more(start).write.mode("append").partitionBy("p").parquet(path)
+        df = df.unionByName(more(start))
+        writers.compact_partitions(spark, path, ["p"], "v", 1)
+        assert rows(spark.read.parquet(path), "v", "p") == rows(df, "v", "p")
+    writers.compact_partitions(spark, path, ["p"], "v", 1)
+    assert rows(spark.read.parquet(path), "v", "p") == rows(df, "v", "p") and sum(1 for _ in (tmp_path / "t").rglob("*.parquet")) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
 def test_shared_folder_has_to_be_named_on_a_cluster(spark, monkeypatch):
     from martlib.sources import scratch
 
