@@ -7,7 +7,8 @@
 3. extract_main_text: blocks under a template subtree go. So does what needs no counting: elements whose tag or role is a
    menu, page header, footer, sidebar, notice, form, script or style, and those whose class or id names nothing else.
 
-Where a page has articles or a main element, blocks outside of them go. Paragraphs, headings and list items within an article
+Where a page has a main element, blocks outside of it and of all articles go. Articles alone are no such sign: a page may have
+its story beside them, and its title before them; what is outside goes as furniture or as a template. Paragraphs, headings and list items within an article
 are never template candidates: a passage that many articles quote stays. Pages whose result no template can change have
 their text after step 1 and take no part in the join of step 3.
 """
@@ -59,9 +60,14 @@ BESIDE = frozenset(
 )
 PAGE_HEADER = frozenset("header site-header page-header top-bar".split())
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL
-)
+#: Of DROP_WORDS, those that tell what an element is when they end its name, as in reader-comments; market-share is no such name.
+HEADS = DROP_WORDS - frozenset("ad share sharing social notice notices alert related respond consent promotion promo banner overlay login signup subscribe sponsor sponsored".split())
+#: Words before which such a name says what a page has or lacks, as in no-sidebar; words that begin a name of reader comments.
+HAVING = frozenset("has have no non not with without is show shows hide hides enable enabled disable disabled allow open".split())
+COMMENTS = frozenset("comments commentlist disqus".split())
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+_MARK = re.compile("""["'>]""")
 _ATTR = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[_-]+")
 _SIZE = re.compile(r"\d+(x\d+)?")
@@ -82,27 +88,37 @@ def names_furniture(token: str) -> bool:
     if token in PAGE_HEADER:
         return True
     words = [w for w in _WORDS.split(token) if w and not _SIZE.fullmatch(w)]
-    return any(w in DROP_WORDS for w in words) and all(w in DROP_WORDS or w in BESIDE for w in words)
+    if not words or words[0] in HAVING:
+        return False
+    return words[-1] in HEADS or words[0] in COMMENTS or any(w in DROP_WORDS for w in words) and all(w in DROP_WORDS or w in BESIDE for w in words)
+
+
+@lru_cache(100_000)
+def names_comment(token: str) -> bool:
+    """Whether a class or id names reader comments; these are often article elements."""
+    return names_furniture(token) and any(w == "comment" or w in COMMENTS for w in _WORDS.split(token))
 
 
-def _named(attrs: str) -> tuple[str, bool, bool]:
-    """The class of a tag as text, and whether its attributes say that it is not main text: by role or hiding, by name."""
+def _named(attrs: str) -> tuple[str, bool, bool, bool]:
+    """The class of a tag as text, and whether its attributes say that it is not main text: by role or hiding, by name, by a name
+    of comments."""
     if not attrs or attrs.isspace():
-        return "", False, False
+        return "", False, False, False
     got = {}
     for m in _ATTR.finditer(attrs):
         got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     by_role = got.get("role", "").lower() in DROP_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true"
-    return got.get("class", ""), by_role, any(map(names_furniture, f"{got.get('class', '')} {got.get('id', '')}".lower().split()))
+    names = f"{got.get('class', '')} {got.get('id', '')}".lower().split()
+    return got.get("class", ""), by_role, any(map(names_furniture, names)), any(map(names_comment, names))
 
 
 class _Open:
     """An element that is open: kids are the texts and subtree hashes below it so far; owner is the candidate it lies in, or is."""
 
-    __slots__ = ("tag", "drop", "place", "kids", "candidate", "owner", "label")
+    __slots__ = ("tag", "drop", "place", "main", "kids", "candidate", "owner", "label")
 
-    def __init__(self, tag, drop, place, candidate, owner, label):
-        self.tag, self.drop, self.place, self.candidate, self.owner, self.label, self.kids = tag, drop, place, candidate, owner, label, []
+    def __init__(self, tag, drop, place, main, candidate, owner, label):
+        self.tag, self.drop, self.place, self.main, self.candidate, self.owner, self.label, self.kids = tag, drop, place, main, candidate, owner, label, []
 
 
 def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple[str, int]] | None, list[tuple[int, int]] | None]:
@@ -112,12 +128,27 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
     Places: 0 body, 1 main, 2 article. A header counts as a page header in the body alone; elsewhere it may hold the title.
     """
     page = page or ""
-    stack = [_Open("#root", False, 0, None, -1, "")]
+    stack = [_Open("#root", False, 0, False, None, -1, "")]
     of_tag: Counter[str] = Counter()
-    blocks: list[tuple[int, str, int]] = []
+    blocks: list[tuple[_Open, str, int]] = []
     hashes: list[int] = []
     parents: list[int] = []
     words: list[str] = []
+    muted: list = []  # an inline element that is not main text: its tag, how many of it are open, and the depth it lies at
+    trusted = True  # whether quotes in tags close
+
+    def tag_end(i: int) -> int:
+        """Where the tag whose name ends at i is closed, or -1. Once a quote or a quoted tag runs to the end of the page, quotes
+        count no more, so a page is read once, or twice."""
+        nonlocal trusted
+        j = i
+        while trusted:
+            mark = _MARK.search(page, j)
+            if mark and mark[0] == ">":
+                return mark.start()
+            j = page.find(mark[0], mark.end()) + 1 if mark else 0
+            trusted = j > 0
+        return page.find(">", i)
 
     def flush():
         if words:
@@ -125,12 +156,14 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
                 top = stack[-1]
                 top.kids.append(text)
                 if not top.drop:
-                    blocks.append((top.place, text, top.owner))
+                    blocks.append((top, text, top.owner))
             words.clear()
 
     def close():
         flush()
         node = stack.pop()
+        if muted and len(stack) < muted[2]:
+            muted.clear()
         of_tag[node.tag] -= 1
         h = _hash(f"{node.tag} {node.label}\0" + "\0".join(map(str, node.kids)))
         stack[-1].kids.append(h)
@@ -152,18 +185,24 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
+        stop = tag_end(m.end()) if m and m[2] else None
+        if stop == -1:  # no tag ends any more
+            m = None
         text = page[at : m.start() if m else end]
-        if text:
+        if text and not muted:
             words.append(_html.unescape(text) if "&" in text else text)
         if not m:
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        at = m.end() if stop is None else stop + 1
+        if not m[2]:
             continue
-        tag = name.lower()
-        if m[1] or m[4]:
+        tag = m[2].lower()
+        if m[1]:
             if tag in INLINE:
+                if muted and tag == muted[0]:
+                    muted[1] -= 1
+                    if not muted[1]:
+                        muted.clear()
                 continue
             if of_tag[tag]:
                 while stack[-1].tag != tag:
@@ -175,6 +214,10 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
         if tag in INLINE:
             if tag == "br":
                 words.append(" ")
+            elif muted:
+                muted[1] += tag == muted[0]
+            elif tag not in VOID and stop > m.end() and any(_named(page[m.end() : stop])[1:3]):
+                muted[:] = [tag, 1, len(stack)]
             continue
         flush()
         if tag in RAW:
@@ -191,9 +234,10 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
         if tag in IMPLIED:
             close_to(*IMPLIED[tag])
         up = stack[-1]
-        label, by_role, by_name = _named(m[3] or m[6] or "")
+        label, by_role, by_name, by_comment = _named(page[m.end() : stop])
         by_name = by_name and not (up.place == 2 and tag in HEADINGS)
-        drop = up.drop or tag in DROP_TAGS or (by_role or by_name) and tag not in ("html", "body", "article", "main") or tag == "header" and up.place == 0
+        whole = tag in ("html", "body", "article", "main")
+        drop = up.drop or bool(muted) or tag in DROP_TAGS or (by_role or by_name) and not whole or by_comment and tag == "article" or tag == "header" and up.place == 0
         place = 2 if tag == "article" else max(up.place, 1) if tag == "main" else up.place
         candidate, owner = None, up.owner
         if tag not in ("html", "body", "article", "main", "head") and not (place == 2 and tag in TEXT_BLOCKS):
@@ -202,12 +246,12 @@ def parse_page(page: str | None) -> tuple[list[int], int, str | None, list[tuple
             parents.append(up.owner)
             owner = candidate
         of_tag[tag] += 1
-        stack.append(_Open(tag, drop, place, candidate, owner, label))
+        stack.append(_Open(tag, drop, place, up.main or tag == "main", candidate, owner, label))
     flush()
     while len(stack) > 1:
         close()
-    best = min(1, max((p for p, _, _ in blocks), default=0))
-    kept = [(t, own) for p, t, own in blocks if p >= best]
+    has_main = any(e.main for e, _, _ in blocks)
+    kept = [(t, own) for e, t, own in blocks if not has_main or e.place]
     content, found = _hash("\n".join(t for t, _ in kept)), list(dict.fromkeys(hashes))
     if all(own < 0 for _, own in kept):
         return found, content, "\n".join(t for t, _ in kept), None, None
@@ -275,7 +319,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", min_pages: int = 10)
 
     Null or empty html: text is empty. Null url: the page belongs to the host ''. Repeated rows each give a row. Further
     columns pass through, whatever their names; an input column named text is replaced. Unclosed tags end as in the HTML
-    standard; a page without article or main element keeps what its body has left. Very long pages are parsed in one pass.
+    standard, and a tag that never ends is text; a page without a main element keeps what its body has left. A page is held and
+    parsed in one task, in time that grows with its length; no tag or quote that stays open makes it read the rest again.
     """
     slim = without(pages, ["text"])
     own = _own(slim.columns)

@@ -1,5 +1,7 @@
 import random
+import time
 from collections import defaultdict
+from html.parser import HTMLParser
 
 from martlib.llm import html_extract as H
 from tests.llm.conftest import tables
@@ -127,3 +129,107 @@ def test_deep_pages_take_linear_time():
 
     seconds(1000)
     assert seconds(40_000) < 30 * max(0.02, seconds(4000))
+
+
+def extracted(page):
+    found, content, text, blocks, nodes = H.parse_page(page)
+    return text if text is not None else H.live_text(blocks, nodes, set())
+
+
+def test_stories_beside_articles():
+    """Text outside of articles stays unless it is furniture; comments go even where they are articles."""
+    cases = {
+        "<body><div class=content><p>Story one.</p><p>Story two.</p></div><div><article class='card'><p>card</p></article></div></body>": "Story one.\nStory two.\ncard",
+        "<body><h1>Headline</h1><p>lead</p><article><p>Body</p></article></body>": "Headline\nlead\nBody",
+        "<div><p>Story text</p></div><section id=comments-x><article class=comment><p>c1 is nice</p></article></section>": "Story text",
+        "<article><p>Story</p></article><article class='comment-body' id='comment-17'><p>I agree</p></article>": "Story",
+        "<h1>out</h1><main><h2>in</h2></main><article>also</article>": "in\nalso",
+    }
+    for page, want in cases.items():
+        assert extracted(page) == want, page
+
+
+def test_names_end_in_a_telling_word():
+    gone = "reader-comments user-comments wp-comments story-comments comments-x main_sidebar site-footer-nav article-newsletter left-ads disqus_thread top-breadcrumbs"
+    stay = "market-share press-notice no-comments has-sidebar with-nav star-banner commentary price-alert show-comments content article-body"
+    for name in gone.split():
+        assert extracted(f"<p>a</p><div class='{name}'><p>b</p></div>") == "a", name
+    for name in stay.split():
+        assert extracted(f"<p>a</p><div class='{name}'><p>b</p></div>") == "a\nb", name
+
+
+def test_inline_elements_have_attributes_too():
+    assert extracted("<p>one <span class='ad'>BUY</span>two <span hidden>x<span>y</span></span><a role='navigation'>n</a><b class='x'>three</b></p>") == "one two three"
+    assert extracted("<p><span class=ad>never closed<p>next</p></p><p>last</p>") == "next\nlast"
+    assert extracted("<div>a <a class='share-button' href='x'><div>block in a link</div></a> b</div>") == "a\nb"
+
+
+def test_long_pages_of_tags_that_do_not_end():
+    """A megabyte each, in a second or two; with every kind of quote left open."""
+    for piece in ("<a ", "<a '", '<a "x', "<a '>'", "<a '>\"", "<", "</", "<!", "<p class=", "<b><a href='", "&#x", "<textarea", "<script x='"):
+        page = piece * (1_000_000 // len(piece))
+        for tail in ("", ">", '"', "'", "\"'>"):
+            start = time.perf_counter()
+            H.parse_page("<p>first</p>" + page + tail)
+            assert time.perf_counter() - start < 10, (piece, tail)
+    assert extracted("<p>a</p><a <b 'x") == "a\n<a <b 'x"
+    assert extracted("<p title='it's > here>b</p><p>c</p>").endswith("b\nc")
+
+
+class Plain(HTMLParser):
+    """Blocks by the standard library's parser, for pages whose tags are all closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words, self.blocks = [], [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.words).split()):
+            self.blocks.append(text)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in H.INLINE:
+            self.flush()
+            self.open.append(tag in H.DROP_TAGS or tag == "header" or dict(attrs).get("class") == "sidebar")
+
+    def handle_endtag(self, tag):
+        if tag not in H.INLINE:
+            self.flush()
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not any(self.open):
+            self.words.append(data)
+
+
+def test_equals_an_independent_parser():
+    """Random trees of closed elements, with attributes, references, comments and spaces."""
+    rng = random.Random(5)
+    texts_ = ["one", " two\n", "&amp;", "&lt;p&gt;", "caf\u00e9 &nbsp; x", "<!-- <p> -->", "5 &gt; 4", " "]
+
+    def element(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(texts_)
+        tag = rng.choice("div section p span b ul li blockquote h2 nav aside header footer form em".split())
+        attrs = rng.choice(["", " class='x y'", ' title="a > b"', " class=sidebar" if tag not in ("span", "b", "em") else "", " data-x=1 id='z'"])
+        inner = "".join(element(depth - 1) for _ in range(rng.randint(0, 4)))
+        if tag in ("p", "h2", "li", "ul"):  # nothing inside may close it
+            inner = "".join(rng.choice(texts_) for _ in range(3))
+        return f"<{tag}{attrs}>{inner}</{tag}>"
+
+    for _ in range(400):
+        page = "<html><body>" + "".join(element(5) for _ in range(4)) + "</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.flush()
+        assert extracted(page) == "\n".join(plain.blocks), page
+
+
+def test_counting_decides_pages_with_articles(spark):
+    """A box without a telling name outside of the article: only its recurrence on the host's pages says that it is furniture."""
+    box = "<div class='x7'><p>Most read this week</p></div>"
+    rows = [(i, "http://h.com/%d" % i, f"<body><h1>Title {i}</h1><article><p>story {i}</p></article>{box}</body>") for i in range(12)]
+    rows += [(100, "http://other.com/1", f"<body><article><p>story</p></article>{box}</body>")]
+    got = texts(H.extract_main_text(spark.createDataFrame(rows, PAGES)))
+    assert got[3] == "Title 3\nstory 3" and got[100] == "story\nMost read this week"
