@@ -19,14 +19,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
 #: Rows of an Arrow batch. Spark holds a batch outside its heap several times over, and texts are wide.
 BATCH_ROWS = 512
-#: Rows of a file of links; a file holds two or three numbers a row.
-FILE_ROWS = 1_000_000
+#: Rows of a file of links, which hold two or three numbers a row, and of a file of wider rows.
+FILE_ROWS, WIDE_ROWS = 1_000_000, 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def own_prefix(columns: list[str]) -> str:
+    """A prefix that no column has (names compare as Spark does, case apart)."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns that a result of that name is about to replace (names compare as Spark does, case apart)."""
     taken = {n.lower() for n in names}
@@ -75,8 +83,9 @@ def map_texts(df: DataFrame, text: str, added: list[T.StructField], make: Callab
     small_batches(df.sparkSession)
     new = [f.name for f in added]
     if text.lower() in {n.lower() for n in new}:
-        source, text = df.withColumn("__text", F.col(text)), "__text"
-        drop = (*drop, "__text")
+        copy = own_prefix(df.columns) + "text"
+        source, text = df.withColumn(copy, F.col(f"`{text}`")), copy
+        drop = (*drop, copy)
     else:
         source = df
     source = without(source, new)
@@ -92,6 +101,7 @@ def map_texts(df: DataFrame, text: str, added: list[T.StructField], make: Callab
                 columns = work(part.column(text).to_pylist())
                 made = [pa.array(values, type=kind) for values, kind in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *made], names=[*names, *new])
+        pa.default_memory_pool().release_unused()  # the worker lives on, and others start beside it
 
     return source.mapInArrow(run, T.StructType([*kept, *added]))
 
@@ -118,16 +128,17 @@ def _scratch_fs(spark: SparkSession):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None, wide: bool = False) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation.
 
-    rows: about how many there are, where the caller has counted them; few rows then go to few files. The folder goes when
-    the application ends, or before with drop_scratch().
+    rows: how many there are at most, or about, where the caller has counted them; they then go to few files. wide: rows are not
+    just links, and work is left to be done on them, so there are as many files as tasks can run, or more. The folder goes
+    when the application ends, or before with drop_scratch().
     """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(1 + rows // FILE_ROWS)
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, 1 + rows // WIDE_ROWS) if wide else 1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
     fs, scratch = _scratch_fs(spark)
     fs.deleteOnExit(scratch)

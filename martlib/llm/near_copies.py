@@ -210,10 +210,12 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     slim = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
     added = [T.StructField("words", T.LongType()), T.StructField("simhash", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     rows = materialize(map_texts(slim, "text", added, lambda: _sketches, drop=("text",)), "sketches")
-    one = materialize(rows.groupBy("words").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("simhash", "bands", "sig")]), "texts")
+    n = rows.count()  # what follows has so many texts at most: tables have files by their rows, not by tasks
+    keep = lambda df, label, times=1, wide=True: materialize(df, label, n * times, wide)
+    one = keep(rows.groupBy("words").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("simhash", "bands", "sig")]), "texts")
 
     # Stars of the grid: equal fingerprints around the least digest, and linked fingerprints by their least digests.
-    prints = materialize(one.where("bands IS NOT NULL").groupBy(F.col("simhash").alias("fp")).agg(F.min("words").alias("least")), "prints")
+    prints = keep(one.where("bands IS NOT NULL").groupBy(F.col("simhash").alias("fp")).agg(F.min("words").alias("least")), "prints")
     equal = one.where("bands IS NOT NULL").join(prints, F.col("simhash") == F.col("fp")).where("words <> least").select(F.col("least").alias("a"), F.col("words").alias("b"))
     of = lambda side: prints.select(F.col("fp").alias(f"f{side}"), F.col("least").alias(side))
     linked = neighbour_links(prints.select("fp")).select(F.col("b").alias("fa"), F.col("a").alias("fb"))
@@ -221,19 +223,19 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     placed = one.select("words", F.posexplode("bands").alias("band", "bucket"))
     met = placed.groupBy("bucket").agg(F.min("words").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    shared = materialize(placed.join(materialize(met, "met"), "bucket"), "shared")
-    pairs = materialize(grid.unionByName(shared.where("words <> head").select(F.col("head").alias("a"), F.col("words").alias("b"))).distinct(), "pairs")
+    shared = keep(placed.join(keep(met, "met"), "bucket"), "shared", BANDS)
+    pairs = keep(grid.unionByName(shared.where("words <> head").select(F.col("head").alias("a"), F.col("words").alias("b"))).distinct(), "pairs", BANDS)
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("words")).union(shared.select("words")).distinct()
     of_key = slim.select("key", "text").join(one.join(involved, "words", "left_semi").select("key").distinct(), "key", "left_semi")
     fields = [T.StructField("words", T.LongType()), T.StructField("size", T.LongType()), T.StructField("shingles", T.BinaryType())]
     sets = map_texts(of_key.select("text"), "text", fields, lambda: _sets_of, drop=("text",)).where("size > 0")
-    sets = materialize(sets.groupBy("words").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")), "sets")
+    sets = keep(sets.groupBy("words").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")), "sets")
 
     with batches_of(spark, SET_ROWS):
-        roots = materialize(connected_components(materialize(_stars(pairs, sets), "links")), "roots")
+        roots = keep(connected_components(keep(_stars(pairs, sets), "links", BANDS)), "roots", wide=False)
         marked = shared.join(roots.withColumnRenamed("node", "words"), "words", "left").select("band", "bucket", "words", F.coalesce("root", "words").alias("mark"))
-        more = materialize(_between_groups(materialize(marked, "marked"), one, sets), "links")
+        more = keep(_between_groups(keep(marked, "marked", BANDS), one, sets), "links", BANDS)
     both = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = connected_components(both)
     groups = one.select("words", "key").join(roots.withColumnRenamed("node", "words"), "words", "left").select("words", "key", F.coalesce("root", "words").alias("root"))

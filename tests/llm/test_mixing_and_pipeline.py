@@ -1,7 +1,9 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from martlib.llm import mixing as M
@@ -122,3 +124,36 @@ def test_repeated_rows_count_once(spark, odd, sf_dir):
     got = dict(P.STAGES)["simhash_near_dedup"](spark, odd, sf_dir)
     ids = [r["doc_id"] for r in got.collect()]
     assert len(ids) == len(set(ids)) and None in ids and 6 in ids and 7 not in ids
+
+
+def test_whole_run_equals_plain_steps(spark):
+    """run() against its stages' contracts, from the kept ids to the ids of tokens: one document of each group by all pairs, secrets
+    masked, the drawn ones encoded as the tokenizers library does."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(P.STAGES)
+    clean = {r["doc_id"]: r["text"] for r in stages["toxicity"](spark, docs, sf_dir).collect()}
+    heads, groups = {}, near_copies_by_all_pairs(clean.values())
+    for i in sorted(clean):  # a document stays if it joins no group of a lesser one
+        if near_copies_by_all_pairs([*heads.values(), clean[i]]) > len(heads):
+            heads[i] = clean[i]
+    assert len(heads) == groups
+    left = docs.where(F.col("doc_id").isin(list(heads)))
+    drawn = {r["doc_id"]: r["text"] for r in stages["mixing"](spark, stages["secret_scan"](spark, left, sf_dir), sf_dir).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in drawn.items()}
+    got = {r["doc_id"]: list(r["ids"]) for r in P.run(spark, sf_dir).collect()}
+    assert 0 < len(got) < len(heads) and got == want
+
+
+def test_columns_of_every_name(spark, odd, sf_dir):
+    named = odd.withColumns({c: F.lit(c) for c in ("__judged", "judged", "__drawn", "__text", "row", "key", "print", "words", "simhash", "score", "predicted", "n", "at", "___x")})
+    stages = dict(P.STAGES)
+    docs = named
+    for name, _ in P.STAGES[:-1]:
+        docs = stages[name](spark, docs, sf_dir)
+        assert docs.columns == named.columns, name
+        for r in docs.collect():
+            assert r["__judged"] == "__judged" and r["__drawn"] == "__drawn" and r["__text"] == "__text" and r["predicted"] == "predicted" and r["row"] == "row", name
