@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlib.llm.bpe import encode_texts
-from martlib.llm.common import materialize, read
+from martlib.llm.common import materialize, own_prefix, read
 from martlib.llm.mixing import mix
 from martlib.llm.near_copies import group_heads
 from martlib.llm.secret_scan import mask_secrets
@@ -22,8 +22,8 @@ from martlib.llm.toxicity import score_toxicity, train, training_rows
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network does not call toxic. It learns from labelled documents that are not held out."""
     net = train(training_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
-    kept = docs.withColumn("__judged", F.col("text"))
-    scored = score_toxicity(kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "__judged"), net, text="__judged", drop=("__judged",))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("judged"))
+    scored = score_toxicity(packed, net, text="judged", drop=("judged",))
     return scored.where("predicted = 0").select("row.*")
 
 
@@ -54,8 +54,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of one epoch at most that make up the target mixture. A row without an id is drawn by a hash of its text,
     so rows without an id and of one text are drawn together."""
     key = F.coalesce("doc_id", F.xxhash64("text"))
-    drawn = mix(docs.select(key.alias("doc_id"), "text", "lang", "source"), max_epochs=1).select(F.col("doc_id").alias("__drawn")).distinct()
-    return docs.join(drawn, key == F.col("__drawn"), "left_semi")
+    own = own_prefix(docs.columns) + "drawn"
+    drawn = mix(docs.select(key.alias("doc_id"), "text", "lang", "source"), max_epochs=1).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(drawn, key == F.col(own), "left_semi")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
