@@ -135,6 +135,49 @@ def insert_new(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFram
     return target.unionByName(new_rows(target, batch, keys), allowMissingColumns=True)
 
 
+def merge_with_changes(target: DataFrame, batch: DataFrame, keys: list[str], gone: Column | None = None) -> DataFrame:
+    """What a merge of batch into target changes, from one full join: rows of target's columns with change: 'insert', 'update_before'
+    and 'update_after', 'delete'. Rows that stay as they are give none.
+
+    batch has one row for each key. gone: a test of batch rows that delete their key; of a key that target lacks nothing comes.
+    """
+    names, same = target.columns, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    old, new = F.struct(*[F.col(f"a.{c}").alias(c) for c in names]), F.struct(*[F.col(f"b.{c}").alias(c) for c in names])
+    both = target.withColumn("__a", F.lit(True)).alias("a").join(batch.withColumns({"__b": F.lit(True), "__gone": F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))}).alias("b"), same, "full")
+    row = lambda kind, values: F.struct(F.lit(kind).alias("change"), values.alias("row"))
+    there, comes, dies = F.col("a.__a").isNotNull(), F.col("b.__b").isNotNull(), F.coalesce(F.col("b.__gone"), F.lit(False))
+    made = (
+        F.when(there & dies, F.array(row("delete", old)))
+        .when(there & comes & ~old.eqNullSafe(new), F.array(row("update_before", old), row("update_after", new)))
+        .when(~there & ~dies, F.array(row("insert", new)))
+    )
+    return both.select(F.explode(made).alias("c")).select("c.row.*", "c.change")
+
+
+def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """target after changes of one merge: applied again, they change nothing more."""
+    now = changes.where("change IN ('insert', 'update_after')").select(*target.columns)
+    return _matched(target, changes.select(*keys).distinct(), keys, "left_anti").unionByName(now)
+
+
+def net_changes(log: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """One merge's worth of changes from those of several versions: of each key what it was before the first and is after the last.
+    A key that came and went, or ends as it began, has none."""
+    first = F.min_by(F.struct("*"), F.struct(version, F.when(F.col("change") == "update_after", 1).otherwise(0)))
+    last = F.max_by(F.struct("*"), F.struct(version, F.when(F.col("change") == "update_after", 1).otherwise(0)))
+    ends = log.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(first.alias("a"), last.alias("b"))
+    names = [c for c in log.columns if c not in (version, "change")]
+    old, new = (F.struct(*[F.col(f"{x}.{c}").alias(c) for c in names]) for x in ("a", "b"))
+    was, stays = F.col("a.change") != "insert", F.col("b.change") != "delete"
+    row = lambda kind, values: F.struct(F.lit(kind).alias("change"), values.alias("row"))
+    made = (
+        F.when(was & stays & ~old.eqNullSafe(new), F.array(row("update_before", old), row("update_after", new)))
+        .when(was & ~stays, F.array(row("delete", old)))
+        .when(~was & stays, F.array(row("insert", new)))
+    )
+    return ends.select(F.explode(made).alias("c")).select("c.row.*", "c.change")
+
+
 def upsert_if_newer(target: DataFrame, batch: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """The later row of each key; a late load can't overwrite, and on equal times the batch wins."""
     both = target.withColumn("__b", F.lit(0)).unionByName(batch.withColumn("__b", F.lit(1)))

@@ -189,6 +189,40 @@ def scd1_upsert_parts(spark, d):
     return H.scd1_upsert(dim, lines, "p_partkey", "p_name", [F.desc("l_shipdate")])
 
 
+_VERSIONED = """t0 AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1),
+b1 AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1),
+t1 AS (SELECT o_custkey, coalesce(b1.p, t0.p) AS p FROM t0 FULL JOIN b1 USING (o_custkey) WHERE b1.p IS DISTINCT FROM '5-LOW'),
+b2 AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1),
+t2 AS (SELECT o_custkey, coalesce(b2.p, t1.p) AS p FROM t1 FULL JOIN b2 USING (o_custkey) WHERE b2.p IS DISTINCT FROM '5-LOW')"""
+
+
+def _merged_versions(spark, d) -> tuple[DataFrame, DataFrame, writers.ChangeLog]:
+    """Customers' last priority before 1995, after 1997 came in, and after the rest did; a customer whose last order of a load has
+    a low priority is deleted. Returns the first and the last table, and the log of both merges."""
+    o, cut = table(spark, d, "orders"), [F.lit(x).cast("timestamp_ntz") for x in ("1995-01-01", "1997-01-01")]
+    at = F.col("o_orderdate")
+    first, one, two = (W.latest_per_key(o.where(t), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderpriority") for t in (at < cut[0], (at >= cut[0]) & (at < cut[1]), at >= cut[1]))
+    log, now = writers.ChangeLog(spark, f"{new_folder(spark, 'changes')}/log"), first
+    for version, batch in ((1, one), (2, two)):
+        log.write(version, H.merge_with_changes(now, batch, ["o_custkey"], F.col("o_orderpriority") == "5-LOW"))
+        now = H.apply_changes(now, log.read(version - 1, version), ["o_custkey"])
+    return first, now, log
+
+
+@query(f"WITH {_VERSIONED} SELECT o_custkey, p AS o_orderpriority FROM t2")
+def merged_by_changes(spark, d):
+    """The first table and the net changes of two merges give the last table."""
+    first, _, log = _merged_versions(spark, d)
+    return H.apply_changes(first, H.net_changes(log.read(0, 2), ["o_custkey"]), ["o_custkey"])
+
+
+@query(f"""WITH {_VERSIONED}, f AS (SELECT 1 AS version, o_custkey, a.p AS was, b.p AS now FROM t0 a FULL JOIN t1 b USING (o_custkey) UNION ALL SELECT 2, o_custkey, a.p, b.p FROM t1 a FULL JOIN t2 b USING (o_custkey)),
+k AS (SELECT version, unnest(CASE WHEN was IS NULL THEN ['insert'] WHEN now IS NULL THEN ['delete'] WHEN was <> now THEN ['update_before', 'update_after'] ELSE [] END) AS change FROM f)
+SELECT version::INT AS version, change, count(*) AS rows FROM k GROUP BY ALL""")
+def changes_by_version(spark, d):
+    return _merged_versions(spark, d)[2].read(0, 2).groupBy("version", "change").agg(F.count("*").alias("rows"))
+
+
 _MISSING = "SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)"
 
 
@@ -300,8 +334,7 @@ def _rides(spark, d) -> DataFrame:
         F.when(F.col("event_id") % 50 != 0, F.col("event_id") - F.col("event_id") % 3).alias("ride_id"), start.alias("started_at"), F.timestamp_seconds(F.unix_seconds(start) + (F.col("value") * 60).cast("bigint") - 30).alias("ended_at"),
         F.when(F.col("user_id") % 2 == 0, "member").otherwise("casual").alias("member_casual"), F.when(F.col("event_type") == "click", "electric_bike").otherwise("classic_bike").alias("rideable_type"),
     )
-    months = [(r["m"].year, r["m"].month) for r in raw.select(C.month_start("started_at").alias("m")).distinct().collect()]
-    return J.union_by_name([P.clean_rides(raw, *m).withColumns({"year": F.lit(m[0]), "month": F.lit(m[1])}) for m in months])
+    return P.clean_rides(raw)
 
 
 _RIDES = """r AS (SELECT CASE WHEN event_id % 50 <> 0 THEN event_id - event_id % 3 END AS ride_id, date_trunc('second', ts) AS a, date_trunc('second', ts) + to_seconds(trunc(value * 60)::BIGINT - 30) AS b, CASE WHEN user_id % 2 = 0 THEN 'member' ELSE 'casual' END AS member_casual, event_type FROM events),
@@ -426,10 +459,20 @@ def latest_deliveries(spark, d):
 _LAKE = "region nation customer supplier part orders lineitem events".split()
 
 
-@query("SELECT table_name AS \"table\", column_name AS \"column\", false AS is_partition FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _LAKE) + ")")
+_COLUMNS = """SELECT {name} AS "table", column_name AS "column", CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type,
+  {is_partition} AS is_partition, {partitions}::INT AS partitions FROM information_schema.columns WHERE table_name IN ({tables})"""
+
+
+@query(
+    _COLUMNS.format(name="table_name", is_partition="false", partitions="0", tables=", ".join(f"'{t}'" for t in _LAKE))
+    + " UNION ALL "
+    + _COLUMNS.format(name="'by_status'", is_partition="column_name = 'o_orderstatus'", partitions="(SELECT count(DISTINCT o_orderstatus) FROM orders)", tables="'orders'")
+)
 def lake_inventory(spark, d):
-    """The tables become views by their names; what is in them, column by column."""
-    return lake.register_lake(spark, d).where(F.col("table").isin(_LAKE)).select("table", "column", "is_partition")
+    """The tables become views by their names, and so does a partitioned one; what is in them, column by column."""
+    root = new_folder(spark, "lake")
+    writers.one_file_per_partition(table(spark, d, "orders"), f"{root}/by_status", "o_orderstatus")
+    return lake.register_lake(spark, d).where(F.col("table").isin(_LAKE)).unionByName(lake.register_lake(spark, root))
 
 
 @query("SELECT 'by_region' AS name, r_name AS label, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'by_status', o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus")

@@ -161,6 +161,20 @@ class Publisher:
         return None if run is None else self.spark.read.parquet(f"{self.root}/runs/{run}/{name}")
 
 
+class ChangeLog:
+    """Changes of a table by version, as merges return them. A version that is written again replaces itself."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, version: int, changes: DataFrame) -> None:
+        overwrite_partitions(changes.withColumn("version", F.lit(version)), self.path, ["version"])
+
+    def read(self, after: int, upto: int) -> DataFrame:
+        """Changes of the versions over `after`, up to `upto`: a consumer keeps the last version it has taken. Reads no others."""
+        return self.spark.read.parquet(self.path).where((F.col("version") > after) & (F.col("version") <= upto))
+
+
 class State:
     """Last processed version of each pipeline: rows (pipeline, version, at), newest wins."""
 

@@ -107,3 +107,26 @@ def test_null_keys_are_keys(spark):
 def test_calendar_of_a_column(spark):
     df = spark.createDataFrame([("2024-02-28",), ("2024-03-02",), (None,)], "d string").select(F.col("d").cast("date").alias("d"))
     assert rows(H.dim_date_of(df, "d")) == rows(H.dim_date(spark, "2024-02-28", "2024-03-02")) and H.dim_date_of(df.limit(0), "d").count() == 0
+
+
+def test_changes_of_merges(spark):
+    """Applied changes equal the merge; null keys and values, rows that stay, deletes of what is not there, repeats, net changes."""
+    schema = "k long, v string"
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "n"), (5, "e")], schema)
+    one = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (None, None), (6, "f"), (7, "gone"), (5, "gone")], schema)
+    two = spark.createDataFrame([(2, "b"), (5, "E"), (6, "gone"), (8, "h")], schema)
+    dead = F.col("v") == "gone"
+    c1 = H.merge_with_changes(first, one, ["k"], dead)
+    assert rows(c1, "change", "k", "v") == rows(spark.createDataFrame([
+        ("update_before", 2, "b"), ("update_after", 2, "B"), ("update_before", 3, None), ("update_after", 3, "c"), ("update_before", None, "n"), ("update_after", None, None), ("insert", 6, "f"), ("delete", 5, "e"),
+    ], "change string, k long, v string"))
+    now = H.apply_changes(first, c1, ["k"])
+    assert rows(now) == rows(spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (None, None), (6, "f")], schema))
+    assert rows(H.apply_changes(now, c1, ["k"])) == rows(now)
+    c2 = H.merge_with_changes(now, two, ["k"], dead)
+    last = H.apply_changes(now, c2, ["k"])
+    net = H.net_changes(c1.withColumn("version", F.lit(1)).unionByName(c2.withColumn("version", F.lit(2))), ["k"])
+    assert rows(H.apply_changes(first, net, ["k"])) == rows(last)
+    assert rows(net.where("k IN (2, 6)")) == [] and rows(net.where("k = 5"), "change", "v") == [("update_after", "E"), ("update_before", "e")]
+    assert H.merge_with_changes(now, now, ["k"]).count() == 0
+    assert H.merge_with_changes(first.limit(0), first, ["k"]).count() == 5
