@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martlib.functions import columns as C
@@ -147,13 +147,32 @@ def deduplicated_within(spark, d):
     return spark.read.parquet(f"{path}/t").groupBy("event_type").agg(F.count("*").alias("events"))
 
 
+@query("""WITH e AS (SELECT *, event_id % 4 AS file FROM events), m AS (SELECT file, max(ts) AS top FROM e GROUP BY 1),
+w AS (SELECT e.*, (SELECT max(top) FROM m WHERE m.file < e.file - 1) AS seen FROM e), k AS (SELECT *, seen IS NOT NULL AND ts <= date_trunc('milliseconds', seen) - INTERVAL 10 DAY AS late FROM w)
+SELECT CASE WHEN late THEN 'too late' ELSE event_type END AS event_type, count(*) AS events FROM k GROUP BY 1""")
+def late_events(spark, d):
+    """Four files of events, a batch each. A batch leaves out what is ten days older than the newest event up to the last batch but
+    one, because it uses the watermark that the batch before it began with; kept and late events are counted."""
+    root = new_folder(spark, "lateness")
+    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_type")
+    for k in range(4):  # files are taken in the order in which they were written
+        events.where(F.col("event_id").cast("long") % 4 == k).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{root}/in/part{k}")
+    lines = clicks.read_clicks_stream(spark, {"path": f"{root}/in", "files_at_once": 1})
+    parsed = lines.select(F.from_json("value", "event_id string, ts timestamp, event_type string").alias("e")).select("e.*")
+    put = lambda batch, i: writers.overwrite_partitions(batch.withColumn("batch_id", F.lit(i)), f"{root}/kept", ["batch_id"])
+    query = clicks.dedupe_within(parsed, "event_id", "ts", "10 days").writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = spark.read.parquet(f"{root}/kept").groupBy("event_type").agg(F.count("*").alias("events"))
+    return kept.unionByName(spark.createDataFrame([("too late", clicks.too_late(query))], "event_type string, events long"))
+
+
 @query("SELECT user_id, count(*) AS events, true AS in_order FROM events GROUP BY 1")
 def user_order(spark, d):
-    """Each user's events lie together in one partition, in order of time."""
+    """Each user's events lie together in one partition, in order of time; each row is held against the one before it."""
     dealt = clicks.in_user_order(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    seen = F.collect_list(F.struct("at", "ts"))
-    in_order = F.transform(F.array_sort(seen), lambda x: x["ts"]) == F.array_sort(F.transform(seen, lambda x: x["ts"]))
-    return dealt.groupBy("user_id").agg(F.count("*").alias("events"), (in_order & (F.count_distinct("part") == 1)).alias("in_order"))
+    before = F.lag("ts").over(Window.partitionBy("user_id", "part").orderBy("at"))
+    checked = dealt.withColumn("in_order", F.coalesce(before <= F.col("ts"), F.lit(True)))
+    return checked.groupBy("user_id").agg(F.count("*").alias("events"), (F.bool_and("in_order") & (F.count_distinct("part") == 1)).alias("in_order"))
 
 
 # --- checks ------------------------------------------------------------------------------------------------------------

@@ -32,9 +32,12 @@ def read_csv_strings(spark: SparkSession, path: str, columns: list[str], casts:
     return raw.select(*[C.blank_to_null(c).try_cast(casts[c]).alias(c) if c in casts else C.blank_to_null(c).alias(c) for c in columns])
 
 
-def read_lines_with_lineage(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Lines of text with their file, the time of reading, and the landing date in the file's path; empty lines go."""
+def read_lines_with_lineage(spark: SparkSession, path: str, stream: bool = False, files_at_once: int | None = None) -> DataFrame:
+    """Lines of text with their file, the time of reading, and the landing date in the file's path; empty lines go.
+    files_at_once: of a stream, how many files a batch takes, oldest first."""
     reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", "true")
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
     lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
     day = F.try_to_timestamp(F.nullif(F.regexp_extract("_source_file", r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))).cast("date")
     return lines.where(F.trim("value") != "").withColumns({"_ingested_at": F.current_timestamp(), "_landing_date": day})

@@ -13,10 +13,10 @@ from martlib.sources.writers import _fs, overwrite_partitions
 
 
 def read_clicks_stream(spark: SparkSession, source: dict[str, str]) -> DataFrame:
-    """value and the source's own columns. {'path': folder} reads lines of new files; other options go to the message broker's
-    connector, which must be on the class path (key, value, partition, offset)."""
+    """value and the source's own columns. {'path': folder} reads lines of new files, {'files_at_once': n} so many a batch; other
+    options go to the message broker's connector, which must be on the class path (key, value, partition, offset)."""
     if "path" in source:
-        return read_lines_with_lineage(spark, source["path"], stream=True)
+        return read_lines_with_lineage(spark, source["path"], stream=True, files_at_once=source.get("files_at_once"))
     stream = spark.readStream.format("kafka").options(**source).load()
     return stream.select(F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset")
 
@@ -54,6 +54,12 @@ def dedupe_within(events: DataFrame, key: str, ts: str, limit: str) -> DataFrame
     return with_lateness(events, ts, limit).dropDuplicatesWithinWatermark([key])
 
 
+def too_late(query: StreamingQuery) -> int:
+    """How many rows a query has left out because the watermark had passed their time, in the batches that it remembers
+    (spark.sql.streaming.numRecentProgressUpdates)."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def in_user_order(batch: DataFrame, user: str, ts: str) -> DataFrame:
     """Each user's events together and in order of time."""
     return batch.repartition(F.col(user)).sortWithinPartitions(user, ts)
