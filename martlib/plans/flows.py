@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from martlib.functions import columns as C
 from martlib.operators import clean as P
 from martlib.operators import history as H
 from martlib.operators import joins as J
@@ -19,6 +20,7 @@ from martlib.sources.writers import Publisher, State, _fs, overwrite_partitions,
 
 CUSTOMERS = "customer_id long, country string, valid_from date, valid_to date, is_current boolean"
 BRONZE = "value string, _source_file string, _ingested_at timestamp, _landing_date date"
+LEDGER = "load long, path string, digest string"
 DAYS = "day string, run string"
 RUNS = "run_id string, batch_date date, started_at timestamp, finished_at timestamp, raw long, facts long, rejected long, status string, error string"
 CHECKS = "run_id string, check_name string, severity string, passed boolean, observed double"
@@ -34,6 +36,33 @@ def ingest_new_files(spark: SparkSession, path: str, bronze: str, checkpoint: st
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
+def ingest_by_content(spark: SparkSession, path: str, root: str) -> dict:
+    """Lines of files whose content was never loaded, whatever their names, to root/bronze by load; how many files and lines.
+
+    The ledger (root/ledger: load, path, digest) knows files by the SHA-256 of their bytes: one that is delivered again under another
+    name, or twice in one run, is loaded once, and one that has changed under its old name is loaded again. Lines are
+    written before the ledger, under the load's number, so a run that stops in between is done again and replaces itself.
+    A file is read whole by one task to be hashed; it can have 2 GB.
+    """
+    fs, p = _fs(spark, f"{root}/ledger")
+    ledger = spark.read.parquet(f"{root}/ledger") if fs.exists(p) else spark.createDataFrame([], LEDGER)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = seen.select("path", C.content_digest("content").alias("digest")).groupBy("digest").agg(F.min("path").alias("path"))
+    new = files.join(ledger.select("digest"), "digest", "left_anti").persist()
+    try:
+        load = 1 + (ledger.agg(F.max("load").alias("m")).first()["m"] or 0)
+        paths = [r["path"] for r in new.select("path").collect()]  # the files of one load
+        if not paths:
+            return {"files": 0, "lines": 0}
+        lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_source_file")).where(F.trim("value") != "")
+        overwrite_partitions(lines.withColumn("load", F.lit(load)), f"{root}/bronze", ["load"])
+        new.select(F.lit(load).cast("long").alias("load"), "path", "digest").coalesce(1).write.mode("append").parquet(f"{root}/ledger")
+        wrote = spark.read.schema("value string, _source_file string, load long").parquet(f"{root}/bronze").where(F.col("load") == load)
+        return {"files": len(paths), "lines": wrote.count()}
+    finally:
+        new.unpersist()
+
+
 def snapshot_check(dim: DataFrame, current: DataFrame, key: str, attributes: list[str], at: str) -> DataFrame:
     """Versions by what changed between two looks at a table: the merge, with the day of the look."""
     return H.scd2_merge(dim, current.select(key, *attributes), key, attributes, at)

@@ -6,6 +6,8 @@ less (so some are 0 or negative), and a tax above 7 % makes a price negative. Th
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from martlib.plans import flows
 from martlib.plans import marts as K
 from martlib.plans.shop_queries import _VERSIONS, versions
 from martlib.sources import lake, readers, writers
+from martlib.sources.layout import ClusteredTable
 from martlib.sources.readers import table
 from martlib.sources.scratch import new_folder
 
@@ -475,6 +478,37 @@ def lake_inventory(spark, d):
     return lake.register_lake(spark, d).where(F.col("table").isin(_LAKE)).unionByName(lake.register_lake(spark, root))
 
 
+@query("""SELECT l_returnflag, count(*) AS lines, sum(l_quantity) AS units, true AS few_files FROM lineitem
+WHERE l_shipdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-08-31' AND l_partkey BETWEEN 20 AND (SELECT max(l_partkey) // 4 FROM lineitem) GROUP BY 1""")
+def clustered_lookup(spark, d):
+    """Lines laid out by day and part: a range of both reads a third of the files at most, and one of either half of them."""
+    lines = table(spark, d, "lineitem").withColumn("shipped", F.col("l_shipdate").cast("timestamp"))
+    most = lines.agg(F.max("l_partkey")).first()[0] // 4
+    t = ClusteredTable(spark, new_folder(spark, "clustered"), ["shipped", "l_partkey"])
+    t.write(lines, 32)
+    days, parts = {"shipped": (datetime(1995, 3, 1), datetime(1995, 8, 31))}, {"l_partkey": (20, most)}
+    shares = [len(files) / n for files, n in (t.picked(r) for r in (days | parts, days, parts))]
+    found = t.read(days | parts).groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("units"))
+    return found.withColumn("few_files", F.lit(shares[0] <= 1 / 3 and max(shares[1:]) <= 1 / 2))
+
+
+@query("""SELECT * FROM (VALUES (1, 5, (SELECT count(*) FROM region)), (2, 0, 0), (3, 1, (SELECT count(*) FROM nation))) t(run, files, lines)""")
+def ingested_by_content(spark, d):
+    """Regions in five files, one of them delivered twice; then copies under other names; then a file with a changed content."""
+    root = new_folder(spark, "ledger")
+    put = lambda df, folder: df.write.mode("append").text(f"{root}/in/{folder}")
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("k"), F.col("r_name").alias("value"))
+    for k in range(5):
+        put(regions.where(F.col("k") == k).select("value").coalesce(1), f"first{k}")
+    put(regions.where("k = 3").select("value").coalesce(1), "again")
+    done = [flows.ingest_by_content(spark, f"{root}/in", f"{root}/lake")]
+    put(regions.where("k = 1").select("value").coalesce(1), "renamed")
+    done.append(flows.ingest_by_content(spark, f"{root}/in", f"{root}/lake"))
+    put(table(spark, d, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("value")).coalesce(1), "first0")
+    done.append(flows.ingest_by_content(spark, f"{root}/in", f"{root}/lake"))
+    return spark.createDataFrame([(i + 1, r["files"], r["lines"]) for i, r in enumerate(done)], "run int, files int, lines long")
+
+
 @query("SELECT 'by_region' AS name, r_name AS label, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'by_status', o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus")
 def named_queries(spark, d):
     lake.register_lake(spark, d)
