@@ -15,6 +15,8 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,11 @@ from pyspark.sql import types as T
 from martlib.llm.common import map_texts, materialize, read
 
 #: Bounds of the labelled rows that are learned from: about SAMPLE_DOCS documents of a language and SAMPLE_ROWS of all languages
-#: together, drawn by hash, none over SAMPLE_CHARS code points.
-SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_CHARS, MAX_GRAM = 600, 60_000, 200_000, 4
-BACKOFF, CACHE_WORDS, UNKNOWN = math.log(0.4), 200_000, "und"
+#: together, drawn by hash, none over SAMPLE_CHARS code points and about SAMPLE_TEXT in all.
+SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TEXT, MAX_GRAM = 600, 60_000, 200_000, 50_000_000, 4
+#: Numbers that a worker keeps for unseen words that it has met; words of a text that are added up at once.
+CACHE_VALUES, BLOCK_ROWS = 8_000_000, 65_536
+BACKOFF, UNKNOWN = math.log(0.4), "und"
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -39,17 +43,18 @@ def grams_of(word: str) -> Iterable[str]:
     return (w[i : i + size] for size in range(1, MAX_GRAM + 1) for i in range(len(w) - size + 1))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS, sample_text: int = SAMPLE_TEXT) -> Model:
     """A model of the languages of docs, counted by Spark in a sample drawn by hash of the key (rows without a key by their text).
 
-    Every language has a share of the sample, the rare ones all of their documents. Rows without a language or text, or over
-    SAMPLE_CHARS, teach nothing. More languages than sample_rows are an error: such a column holds something else.
+    Every language has a share of the sample, in rows and in text; the rare ones have all of their documents. Rows without a language or text, or over
+    SAMPLE_CHARS, teach nothing; where there are so many languages that one text is a good part of a share, a language of few texts
+    may be left out. More languages than sample_rows are an error: such a column holds something else.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
-    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    sizes = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.sum(F.char_length(text)).alias("chars"))
     languages = sizes.agg(F.count("*").alias("k"))
     room = F.when(F.col("k") <= sample_rows, F.least(F.lit(sample_docs), F.lit(float(sample_rows)) / F.col("k"))).otherwise(F.raise_error(F.lit(f"more than {sample_rows} languages")).cast("double"))
-    shares = sizes.crossJoin(F.broadcast(languages)).select("lang", (room / F.col("n")).alias("share"))  # one row
+    shares = sizes.crossJoin(F.broadcast(languages)).select("lang", F.least(room / F.col("n"), F.lit(float(sample_text)) / F.col("k") / F.greatest("chars", F.lit(1))).alias("share"))  # one row
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit("langid")), 11) / F.lit(2.0**53)
     # A row for each language, sample_rows at most: above, the shares fail. The texts stay where they are.
     drawn = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).join(F.broadcast(shares), "lang").where("place < share")
@@ -63,84 +68,120 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     grams = F.concat(*[of_size(size) for size in range(1, MAX_GRAM + 1)])
     of_grams = counts.select("lang", F.explode(grams).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = lambda df: zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True)
-    return Model(rows(counts.select("lang", "word", "n")), rows(of_grams.select("lang", "gram", "n")))
+    return Model(counts.select("lang", "word", "n").toArrow(), of_grams.select("lang", "gram", "n").toArrow())
+
+
+def _in_columns(rows: Iterable[tuple[str, str, int]] | pa.Table) -> pa.Table:
+    """lang, name, n in order of name and lang."""
+    if not isinstance(rows, pa.Table):
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        rows = pa.table([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "name", "n"])
+    return rows.rename_columns(["lang", "name", "n"]).sort_by([("name", "ascending"), ("lang", "ascending")]).combine_chunks()
+
+
+class Gains:
+    """Sparse rows: row i has the entries starts[i] to starts[i + 1] of langs and gains."""
+
+    def __init__(self, starts: np.ndarray, langs: np.ndarray, gains: np.ndarray):
+        self.starts, self.langs, self.gains = starts, langs, gains
+
+    def total(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """The sum of rows (with repeats) by language, BLOCK_ROWS at a time."""
+        out = np.zeros(k)
+        for i in range(0, len(rows), BLOCK_ROWS):
+            first, n = self.starts[rows[i : i + BLOCK_ROWS]], self.starts[rows[i : i + BLOCK_ROWS] + 1]
+            n = n - first
+            ends = np.cumsum(n)
+            at = np.repeat(first - ends + n, n) + np.arange(ends[-1])
+            out += np.bincount(self.langs[at], self.gains[at], minlength=k)
+        return out
 
 
 class Model:
-    """Per-language log frequencies; langs are the learned values in order. words and grams name the rows of two matrices."""
+    """Log frequencies by language; langs are the learned values in order.
 
-    def __init__(self, counts: Iterable[tuple[str, str, int]], grams: Iterable[tuple[str, str, int]] | None = None):
-        counts = sorted(counts)
+    A name that a language never had has that language's floor of its kind (floors[0] for words, floors[n] for n-grams), and only
+    what other languages have above their floors is kept, so the model grows with the counts and not with names x languages.
+    words and grams name the rows of word_gains and gram_gains; grams are in order of length.
+    """
+
+    def __init__(self, counts: Iterable[tuple[str, str, int]] | pa.Table, grams: Iterable[tuple[str, str, int]] | pa.Table | None = None):
+        counts = _in_columns(counts)
         if grams is None:
             summed: Counter[tuple[str, str]] = Counter()
-            for lang, word, n in counts:
+            for lang, word, n in zip(*(c.to_pylist() for c in counts.columns), strict=True):
                 for g in grams_of(word):
                     summed[lang, g] += n
             grams = [(*k, n) for k, n in summed.items()]
-        grams = sorted(grams)
-        self.langs = sorted({lang for lang, _, _ in counts})
+        grams = _in_columns(grams)
+        self.langs = sorted(pc.unique(counts["lang"]).to_pylist())
         self.k = len(self.langs)
-        self.words, self.word_rows = self._logs(counts)
-        self.grams, parts = [], [np.zeros((1, self.k))]  # row 0: a character that training never saw
-        for size in range(1, MAX_GRAM + 1):
-            names, rows = self._logs([r for r in grams if len(r[1]) == size])
-            self.grams += names
-            parts.append(rows + BACKOFF * (MAX_GRAM - size))
-        self.gram_rows = np.concatenate(parts)
-
-    def _logs(self, counts: list[tuple[str, str, int]]) -> tuple[list[str], np.ndarray]:
-        names = sorted({name for _, name, _ in counts})
-        at, of = {n: i for i, n in enumerate(names)}, {lang: i for i, lang in enumerate(self.langs)}
-        v = np.zeros((len(names), self.k))
-        for lang, name, n in counts:
-            v[at[name], of[lang]] = n
-        return names, np.log((v + 0.1) / (v.sum(axis=0) + 0.1 * len(names))) if names else v
+        self.floors = np.zeros((MAX_GRAM + 1, self.k))
+        self.words, self.word_gains = self._part(counts, 0)
+        sizes = pc.utf8_length(grams["name"])
+        parts = [self._part(grams.filter(pc.equal(sizes, size)), size) for size in range(1, MAX_GRAM + 1)]
+        self.grams = pa.concat_arrays([names for names, _ in parts])
+        ends = np.cumsum([0, *(len(g.langs) for _, g in parts)])
+        self.gram_gains = Gains(
+            np.concatenate([*(g.starts[:-1] + e for (_, g), e in zip(parts, ends, strict=False)), ends[-1:]]), np.concatenate([g.langs for _, g in parts]), np.concatenate([g.gains for _, g in parts])
+        )
+
+    def _part(self, counts: pa.Table, kind: int) -> tuple[pa.Array, Gains]:
+        """The names of one kind and their rows; sets the floors of that kind."""
+        n = counts["n"].to_numpy().astype(np.float64)
+        langs = pc.index_in(counts["lang"], pa.array(self.langs, pa.string())).to_numpy().astype(np.int32)
+        coded = pc.dictionary_encode(counts["name"]).combine_chunks()
+        names, codes = (coded.dictionary, coded.indices.to_numpy()) if len(counts) else (pa.array([], pa.string()), np.zeros(0, np.int32))
+        if len(names):
+            self.floors[kind] = np.log(0.1 / (np.bincount(langs, n, minlength=self.k) + 0.1 * len(names))) + (BACKOFF * (MAX_GRAM - kind) if kind else 0.0)
+        return names.cast(pa.string()), Gains(np.searchsorted(codes, np.arange(len(names) + 1)), langs, np.log((n + 0.1) / 0.1))
 
 
 class Predictor:
-    """A model with the scores of words already met: rows of one matrix, those that training knows first."""
+    """A model with the scores of words already met."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.gram_at = {g: i + 1 for i, g in enumerate(model.grams)}
-        self._clear()
-
-    def _clear(self):
-        self.at: dict[str, int] = {w: i for i, w in enumerate(self.model.words)}
-        self.rows = np.concatenate([self.model.word_rows, np.zeros((1024, self.model.k))])
+        self.gram_at = {g: i for i, g in enumerate(model.grams.to_pylist())}
+        self.word_at = {w: i for i, w in enumerate(model.words.to_pylist())}
+        self.met: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
-        w, at, found = f" {word} ", self.gram_at, []
+        w, at, found, sizes = f" {word} ", self.gram_at, [], np.zeros(MAX_GRAM + 1)
         for end in range(2, len(w) + 1):
             for start in range(max(0, end - MAX_GRAM), end):
                 if (g := at.get(w[start:end])) is not None:
                     found.append(g)
+                    sizes[end - start] += 1
                     break
-        return self.model.gram_rows[found].sum(axis=0) * (2 / (len(w) - 1))  # an unseen word weighs less than a known one
-
-    def _row(self, word: str) -> int:
-        i = self.at[word] = len(self.at)
-        if i >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 4, self.model.k))])
-        self.rows[i] = self.unseen(word)
-        return i
+        total = self.model.gram_gains.total(np.array(found, np.int64), self.model.k) + sizes @ self.model.floors
+        return total * (2 / (len(w) - 1))  # an unseen word weighs less than a known one
+
+    def _unseen(self, word: str) -> np.ndarray:
+        """As unseen(), from the words met before; these are forgotten when they hold CACHE_VALUES numbers."""
+        found = self.met.get(word)
+        if found is None:
+            if (len(self.met) + 1) * max(self.model.k, 32) > CACHE_VALUES:
+                self.met.clear()
+            found = self.met[word] = self.unseen(word)
+        return found
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.model.k:
+        k = self.model.k
+        if not words or not k:
             return UNKNOWN, 0.0
-        if len(self.at) > len(self.model.words) + CACHE_WORDS:
-            self._clear()
-        at, row = self.at, self._row
-        total = self.rows_of([at[w] if w in at else row(w) for w in words])
+        at = self.word_at
+        known = [at[w] for w in words if w in at]
+        total = self.model.word_gains.total(np.array(known, np.int64), k) + len(known) * self.model.floors[0]
+        if len(known) < len(words):
+            for w in words:
+                if w not in at:
+                    total += self._unseen(w)
         best = int(np.argmax(total))
         scaled = (total - total[best]) / math.sqrt(len(words))
         return self.model.langs[best], float(1.0 / np.exp(scaled).sum())
 
-    def rows_of(self, ids: list[int]) -> np.ndarray:
-        return self.rows[ids].sum(axis=0)
-
 
 def identify_language(df: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """Append lang_pred and score to every row of df, from whole texts alone.
