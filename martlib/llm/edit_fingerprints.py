@@ -15,6 +15,7 @@ The walk is sequential in a text, so numpy walks many texts abreast, one step at
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlib.llm.buckets import links_in_buckets
-from martlib.llm.common import map_texts, read, small_batches
+from martlib.llm.common import map_texts, materialize, read, small_batches
 
 BANDS, ROWS, CLASSES, PERIOD, WALKS, SEED = 32, 4, 256, 4096, 2, 11
 BINS = BANDS * ROWS
+#: Likeness at which documents are linked: nine in ten pairs reach it that are within two per cent of their length in edits.
+LIKE = 0.6
 OF_WALK = BINS // WALKS
-#: Code points of the texts that a task holds and walks abreast (a longer text walks alone); documents of one range of ids.
-ABREAST, RANGE_DOCS = 16_000_000, 6_000
+#: Code points of the texts that a task holds and walks abreast (a longer text walks alone).
+ABREAST = 16_000_000
+#: Bytes of a range of ids: the root of all bytes times RANGE_UNIT, RANGE_MOST at most; what a row counts for besides its text.
+RANGE_UNIT, RANGE_MOST, ROW_BYTES = 1 << 19, 1 << 28, 2048
 _END, _BLOCK, _LEAST = np.zeros(1, np.uint8), 64, -(1 << 63)
 
 
@@ -114,13 +119,15 @@ def add_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(df, text, [T.StructField("fingerprint", T.StringType())], lambda: work)
 
 
-def similar_documents(prints: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+def similar_documents(prints: DataFrame, least: float = LIKE, key: str = "doc_id") -> DataFrame:
     """(a, b, likeness): links between documents (columns key, fingerprint) that share a band, verified on all bins. They connect
     the same documents as all links of likeness least or more would, between documents that share a band.
 
     Documents of one fingerprint are linked to the least key among them, which alone stands for them further on. In each
     band's bucket every two members meet, in groups of bounded size (links_in_buckets). At a likeness of 0.8 or more 25 of
-    the bins differ at most, so of 32 bands 7 agree or more and no pair escapes. Null keys are left out.
+    the bins differ at most, so of 32 bands 7 agree or more and no pair escapes; at 0.6 one pair in 80 shares no band. Edits
+    put walks out of step for a while, so likeness is lower than the share of characters that two texts have in common. Null
+    keys are left out.
     """
     known = prints.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "fingerprint")
     one = known.groupBy("fingerprint").agg(F.min("key").alias("key"))
@@ -154,19 +161,31 @@ def _greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in best], names=["i", "h"])
 
 
-def by_descending_id(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+def range_size(total: int) -> int:
+    """Bytes of a range where there are total bytes: ranges grow with their number until they are as large as a task should be."""
+    return max(1, min(RANGE_MOST, math.isqrt(total * RANGE_UNIT)))
+
+
+def by_descending_id(docs: DataFrame, range_bytes: int | None = None) -> DataFrame:
     """doc_id, text, __range, __ahead: ranges of ids, each in one task in descending order, followed by the document that
     comes next after its last (__ahead = 1), which is the first of the range below; below the lowest, the first of all.
 
-    Range bounds are rows that occur, the greatest of each part that Spark's range partitioning makes, so the first of each
-    range is known and travels to the range above as well: one shuffle of texts. The bounds are two numbers for range_docs
-    documents. Rows of one id are in order of their text's hash, and a bound may lie among them; rows without an id come
+    Range bounds are rows that occur, the greatest of each part that Spark's range partitioning makes of (id, hash) alone, so
+    the first of each range is known and travels to the range above as well: one shuffle of texts. A row takes part in that
+    partitioning once, and once more for every ROW_BYTES of its text, so ranges are alike in bytes wherever the long texts are;
+    texts are read for their sizes once. A range has range_bytes, or range_size() of the whole table, and the bounds are two numbers
+    for each range. Rows of one id are in order of their text's hash, and a bound may lie among them; rows without an id come
     after all ids.
     """
     spark = docs.sparkSession
     hashed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LEAST)).alias("i"), F.xxhash64("text").alias("h"))
-    n = max(2 * spark.sparkContext.defaultParallelism if range_docs == RANGE_DOCS else 1, -(-docs.count() // range_docs))
-    found = hashed.select("i", "h").repartitionByRange(n, "i", "h").mapInArrow(_greatest, "i long, h long").toArrow()
+    places = materialize(hashed.select("i", "h", (1 + F.coalesce(F.octet_length("text"), F.lit(0)) / ROW_BYTES).cast("int").alias("weight")), "places")
+    total = ROW_BYTES * (places.agg(F.sum("weight").alias("n")).first()["n"] or 0)
+    n = -(-total // (range_bytes or range_size(total))) or 1
+    if range_bytes is None:
+        n = max(2 * spark.sparkContext.defaultParallelism, n)
+    weighted = places.select("i", "h", F.explode(F.array_repeat(F.lit(0), "weight"))).select("i", "h")
+    found = weighted.repartitionByRange(n, "i", "h").mapInArrow(_greatest, "i long, h long").toArrow()
     bounds = np.unique(np.stack([found.column(c).to_numpy().astype(np.int64) for c in ("i", "h")], axis=1), axis=0)
     if not len(bounds):
         bounds = np.zeros((1, 2), np.int64)
@@ -251,15 +270,16 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(ready, after)
 
 
-def compare_edited(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+def compare_edited(docs: DataFrame, range_bytes: int | None = None) -> DataFrame:
     """FIELDS for every row of docs (doc_id, text): fingerprints of each text and of its edited text, and likenesses.
 
     The edited text ends in the start of the next document, by descending doc_id; after the last comes the first. Null texts
     are empty; two empty texts have likeness 1. Rows of one id are in order of their text's hash, and rows without an id come
-    last. A single row is followed by itself. A very long text walks alone. An empty table gives an empty table. Further columns are ignored.
+    last. A single row is followed by itself. A very long text walks alone, which takes
+    its task two seconds for 100,000 characters. An empty table gives an empty table. Further columns are ignored.
     """
     small_batches(docs.sparkSession)
-    return by_descending_id(docs.select("doc_id", "text"), range_docs).mapInArrow(_walked, FIELDS)
+    return by_descending_id(docs.select("doc_id", "text"), range_bytes).mapInArrow(_walked, FIELDS)
 
 
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from martlib.llm import edit_fingerprints as E
 from tests.llm.conftest import tables
@@ -52,7 +53,7 @@ def test_query_equals_a_plain_pass(spark, tmp_path):
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
         a, b, c = E.fingerprints([t, edited, after])
         want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), (a == b).mean(), (a == c).mean())
-    for size in (6_000, 7):
+    for size in (None, 100_000_000, 20_000):
         got = E.compare_edited(docs, size).collect()
         assert len(got) == len(rows)
         assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got} == want
@@ -93,7 +94,7 @@ def test_recall_against_exact_edit_distance(spark):
                 t[at : at + 1] = rng.choice(["", [rng.choice("xyz")], [t[at], rng.choice("xyz")]])
             texts.append("".join(t))
     near = {(i, j) for f in range(0, 100, 4) for i in range(f, f + 4) for j in range(i + 1, f + 4) if edit_distance(texts[i], texts[j]) <= 8}
-    links = E.similar_documents(E.add_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), least=0.6)
+    links = E.similar_documents(E.add_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     up = list(range(100))
     find = lambda i: i if up[i] == i else find(up[i])
     for r in links.collect():
@@ -109,7 +110,7 @@ def test_one_id_in_many_ranges(spark):
     hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
     want = sorted((E.likeness(f[:1], f[1:])[0], len(t)) for k, (_, t) in enumerate(order) for f in [E.fingerprints([t, order[(k + 1) % 90][1]])])
-    for size in (E.RANGE_DOCS, 5):
+    for size in (None, 20_000):
         assert sorted((r["near_next"], r["n_chars"]) for r in E.compare_edited(docs, size).collect()) == want
 
 
@@ -168,3 +169,13 @@ def test_large_buckets_connect_as_all_pairs(spark):
     for block in (7, 512):
         forest = {tuple(r) for r in E.links_in_buckets(members, 0.8, forest=True, block=block).select("a", "b").collect()}
         assert forest <= pairs and tops(forest) == tops(pairs)
+
+
+def test_ranges_are_alike_in_bytes(spark):
+    """The long texts have the greatest ids; ranges of them have few rows, and one text beyond a range has one of its own."""
+    rows = [(i, "x" * (40 if i < 3000 else 40_000)) for i in range(3060)] + [(5000, "y" * 900_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    placed = E.by_descending_id(docs, 400_000).where("__ahead = 0").groupBy("__range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in placed) == len(rows) and len(placed) >= 6
+    assert all(r["bytes"] <= 3 * 400_000 or r["n"] == 1 for r in placed if r["longest"] < 900_000)
+    assert E.range_size(10**8) < E.range_size(10**9) < E.range_size(10**15) == E.RANGE_MOST and E.range_size(0) == 1
