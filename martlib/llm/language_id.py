@@ -27,8 +27,8 @@ from martlib.llm.common import map_texts, materialize, read
 #: Bounds of the labelled rows that are learned from: about SAMPLE_DOCS documents of a language and SAMPLE_ROWS of all languages
 #: together, drawn by hash, none over SAMPLE_CHARS code points and about SAMPLE_TEXT in all.
 SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TEXT, MAX_GRAM = 600, 60_000, 200_000, 50_000_000, 4
-#: Numbers that a worker keeps for unseen words that it has met; words of a text that are added up at once.
-CACHE_VALUES, BLOCK_ROWS = 8_000_000, 65_536
+#: Numbers that a worker keeps for unseen words that it has met; numbers that are added up at once; letters of a word that is not long.
+CACHE_VALUES, BLOCK_VALUES, SHORT = 8_000_000, 2_000_000, 64
 BACKOFF, UNKNOWN = math.log(0.4), "und"
 _WORD = regex.compile(r"\p{L}+")
 
@@ -85,16 +85,18 @@ class Gains:
     def __init__(self, starts: np.ndarray, langs: np.ndarray, gains: np.ndarray):
         self.starts, self.langs, self.gains = starts, langs, gains
 
-    def total(self, rows: np.ndarray, k: int) -> np.ndarray:
-        """The sum of rows (with repeats) by language, BLOCK_ROWS at a time."""
-        out = np.zeros(k)
-        for i in range(0, len(rows), BLOCK_ROWS):
-            first, n = self.starts[rows[i : i + BLOCK_ROWS]], self.starts[rows[i : i + BLOCK_ROWS] + 1]
-            n = n - first
-            ends = np.cumsum(n)
-            at = np.repeat(first - ends + n, n) + np.arange(ends[-1])
-            out += np.bincount(self.langs[at], self.gains[at], minlength=k)
-        return out
+    def totals(self, rows: np.ndarray, times: np.ndarray, of: np.ndarray, groups: int, k: int) -> np.ndarray:
+        """(groups, k): the sums of the rows of each group (of), each row so many times; BLOCK_VALUES at a time."""
+        out, block = np.zeros(groups * k), max(1, BLOCK_VALUES // k)
+        for i in range(0, len(rows), block):
+            part = slice(i, i + block)
+            first = self.starts[rows[part]]
+            n = self.starts[rows[part] + 1] - first
+            ends = n.cumsum()
+            at = (first - ends + n).repeat(n)
+            at += np.arange(len(at))
+            out += np.bincount(self.langs[at] + (of[part] * k).repeat(n), self.gains[at] * times[part].repeat(n), minlength=groups * k)
+        return out.reshape(groups, k)
 
 
 class Model:
@@ -146,38 +148,54 @@ class Predictor:
         self.word_at = {w: i for i, w in enumerate(model.words.to_pylist())}
         self.met: dict[str, np.ndarray] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        w, at, found, sizes = f" {word} ", self.gram_at, [], np.zeros(MAX_GRAM + 1)
-        for end in range(2, len(w) + 1):
-            for start in range(max(0, end - MAX_GRAM), end):
-                if (g := at.get(w[start:end])) is not None:
-                    found.append(g)
-                    sizes[end - start] += 1
-                    break
-        total = self.model.gram_gains.total(np.array(found, np.int64), self.model.k) + sizes @ self.model.floors
-        return total * (2 / (len(w) - 1))  # an unseen word weighs less than a known one
-
-    def _unseen(self, word: str) -> np.ndarray:
-        """As unseen(), from the words met before; these are forgotten when they hold CACHE_VALUES numbers."""
-        found = self.met.get(word)
-        if found is None:
-            if (len(self.met) + 1) * max(self.model.k, 32) > CACHE_VALUES:
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """(words, k): what each word scores by its n-grams, the longest known one at each position."""
+        at, found, of, sizes = self.gram_at, [], [], np.zeros((len(words), MAX_GRAM + 1))
+        for i, word in enumerate(words):
+            w, before = f" {word} ", len(found)
+            taken = [0] * (MAX_GRAM + 1)
+            for end in range(2, len(w) + 1):
+                for start in range(max(0, end - MAX_GRAM), end):
+                    if (g := at.get(w[start:end])) is not None:
+                        found.append(g)
+                        taken[end - start] += 1
+                        break
+            of.extend([i] * (len(found) - before))
+            sizes[i] = taken
+        total = self.model.gram_gains.totals(np.array(found, np.int64), np.ones(len(found)), np.array(of, np.int64), len(words), self.model.k)
+        for size in range(1, MAX_GRAM + 1):
+            total += sizes[:, size, None] * self.model.floors[size]
+        return total * (2 / (np.array([len(w) for w in words]) + 1))[:, None]  # an unseen word weighs less than a known one
+
+    def _unseen(self, counts: dict[str, int]) -> np.ndarray:
+        """The sum of unseen words, each so many times, in their order. What a word scores is kept until CACHE_VALUES numbers are, and
+        does not depend on the words that it is scored with: a block holds all n-grams of the short words of a step."""
+        k, words, total = self.model.k, list(counts), np.zeros(self.model.k)
+        step = max(1, BLOCK_VALUES // k // (SHORT + 1))
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            if (len(self.met) + len(some)) * max(k, 32) > CACHE_VALUES:
                 self.met.clear()
-            found = self.met[word] = self.unseen(word)
-        return found
+            new = [w for w in some if w not in self.met]
+            short = [w for w in new if len(w) <= SHORT]
+            if short:
+                self.met.update(zip(short, self.unseen(short), strict=True))
+            if len(short) < len(new):
+                self.met.update((w, self.unseen([w])[0]) for w in new if len(w) > SHORT)
+            total += np.array([counts[w] for w in some], np.float64) @ np.array([self.met[w] for w in some])
+        return total
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
         k = self.model.k
         if not words or not k:
             return UNKNOWN, 0.0
-        at = self.word_at
-        known = [at[w] for w in words if w in at]
-        total = self.model.word_gains.total(np.array(known, np.int64), k) + len(known) * self.model.floors[0]
-        if len(known) < len(words):
-            for w in words:
-                if w not in at:
-                    total += self._unseen(w)
+        at, counts = self.word_at, Counter(words)
+        known = [w for w in counts if w in at]
+        times = np.array([counts[w] for w in known], np.float64)
+        total = self.model.word_gains.totals(np.array([at[w] for w in known], np.int64), times, np.zeros(len(known), np.int64), 1, k)[0] + times.sum() * self.model.floors[0]
+        if len(known) < len(counts):
+            total += self._unseen({w: n for w, n in counts.items() if w not in at})
         best = int(np.argmax(total))
         scaled = (total - total[best]) / math.sqrt(len(words))
         return self.model.langs[best], float(1.0 / np.exp(scaled).sum())

@@ -54,6 +54,25 @@ def test_unseen_words_back_off(spark):
     assert predict("½ ² Ⅷ ①") == predict("_ -") == ("und", 0.0)
 
 
+def test_language_scores_do_not_depend_on_words_met_before():
+    rng = random.Random(4)
+    made = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 6, 9, 80]))) for _ in range(n))
+    model = L.Model([(lang, w, 1 + len(w) % 3) for lang in ("aa", "bb", "cc") for w in set(made(60).split())])
+    texts = [made(40) for _ in range(12)]
+    alone = [L.Predictor(model)(t) for t in texts]
+    together = L.Predictor(model)
+    together(" ".join(texts[::2]))
+    assert [together(t) for t in texts] == alone == [together(t) for t in texts]
+
+
+def test_language_model_is_sparse():
+    """Languages with words of their own: the model grows with words, not with words x languages."""
+    counts = [(f"l{i:03d}", f"{'abcdefghij'[i % 10]}{i}w{j}", 2) for i in range(300) for j in range(40)]
+    model = L.Model(counts)
+    assert len(model.words) == len(model.word_gains.gains) == len(counts) and len(model.gram_gains.gains) < 40 * len(counts)
+    assert L.Predictor(model)(counts[4567][1].replace("4", "b"))[1] <= 1
+
+
 def test_language_equals_a_plain_way(spark):
     """Counts, model and scores from scratch, with nothing but dictionaries."""
     rng = random.Random(3)
