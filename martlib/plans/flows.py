@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlib.functions import columns as C
 from martlib.operators import clean as P
 from martlib.operators import history as H
 from martlib.operators import joins as J
 from martlib.operators import quality as Q
+from martlib.operators import variants as V
 from martlib.operators.windows import latest_per_key
 from martlib.plans import marts as K
 from martlib.sources import readers as R
@@ -20,6 +23,8 @@ from martlib.sources.writers import Publisher, State, _fs, overwrite_partitions,
 
 CUSTOMERS = "customer_id long, country string, valid_from date, valid_to date, is_current boolean"
 BRONZE = "value string, _source_file string, _ingested_at timestamp, _landing_date date"
+#: The columns of silver before the source adds any.
+SILVER = [*P.EVENT_SCHEMA.fieldNames(), "event_date", "batch", "_source_file", "_landing_date"]
 LEDGER = "load long, path string, digest string"
 DAYS = "day string, run string"
 RUNS = "run_id string, batch_date date, started_at timestamp, finished_at timestamp, raw long, facts long, rejected long, status string, error string"
@@ -275,7 +280,7 @@ class Medallion:
     def silver(self) -> dict:
         """New lines as events; rejected lines go to quarantine. A run that is repeated after a crash writes its own rows again."""
         last = self.state.get("silver")
-        new = R.changes_since(self._lines().withColumn("__v", F.unix_micros("_ingested_at")), "__v", last).persist()
+        new = R.changes_since(self._lines().withColumn("__v", F.unix_micros("_ingested_at")), "__v", last).withColumn("__object", V.parse_object()).persist()
         try:
             return self._silver(new)
         finally:
@@ -287,11 +292,13 @@ class Medallion:
         return self.spark.read.schema(BRONZE).parquet(f"{self.root}/bronze") if fs.exists(p) else self.spark.createDataFrame([], BRONZE)
 
     def _silver(self, new: DataFrame) -> dict:
-        version = new.agg(F.max("__v").alias("v")).first()["v"]
+        version, types = new.agg(F.max("__v"), V.field_types("__object")).first()
         if version is None:
             return {"inserted": 0, "rejected": 0}
-        schema = P.widen_schema(new)
-        valid, bad = P.parse_events(new.select("value", "_source_file", "_landing_date"), schema)
+        more = V.column_names(set(V.as_fields(types).fieldNames()) - set(P.EVENT_SCHEMA.fieldNames()), SILVER)
+        parsed = new.select("value", P.event_struct("__object", more).alias("e"), "_source_file", "_landing_date")
+        valid, bad = P.judge_events(parsed, [*P.EVENT_SCHEMA.fieldNames(), *more])
+        overwrite_partitions(self.spark.createDataFrame([(types, str(version))], "types string, batch string"), f"{self.root}/fields", ["batch"])
         seen = self._table("silver")
         if seen is not None:
             seen = seen.where(F.col("batch") != str(version)).join(valid.select("event_date").distinct(), "event_date", "left_semi")
@@ -304,6 +311,21 @@ class Medallion:
         rejected = self._table("quarantine")
         return {"inserted": own, "rejected": 0 if rejected is None else rejected.where(F.col("batch_id") == str(version)).count()}
 
+    def fields(self) -> T.StructType:
+        """The columns of silver that the source has added, with the type that holds what all batches sent. The schemas are read, of
+        which there are as many as there were shapes of a batch; silver is not."""
+        catalog = self._table("fields")
+        shapes = [] if catalog is None else catalog.select("types").distinct().collect()
+        merged = V.merge_fields(V.as_fields(r["types"]) for r in shapes)
+        more = V.column_names(set(merged.fieldNames()) - set(P.EVENT_SCHEMA.fieldNames()), SILVER)
+        return T.StructType([T.StructField(c, reduce(V.merge_types, [merged[n].dataType for n in names])) for c, names in more.items()])
+
+    def events(self) -> DataFrame | None:
+        """Silver with the added fields in their types; fields that were of several kinds are text. Files keep the text, so a field
+        whose type changes rewrites nothing."""
+        silver = self._table("silver")
+        return None if silver is None else V.typed(silver, self.fields())
+
     def gold(self) -> int:
         """Recompute the dates that silver has changed, and no others; how many."""
         version, done = self.state.get("silver"), self.state.get("gold")

@@ -112,6 +112,28 @@ def medallion(spark, d):
     return J.left_enrich(of("daily_funnel").join(products, "event_date"), rejected, "event_date", {"rejected": 0})
 
 
+@query("""SELECT event_id::VARCHAR AS event_id, CASE WHEN user_id % 2 = 0 THEN 'phone' END AS device, user_id % 7 AS place_x, CASE WHEN user_id % 3 = 0 THEN 'k' || user_id END AS place_tag,
+  CASE WHEN day(ts) <= 15 THEN (user_id % 5)::VARCHAR ELSE 'level ' || (user_id % 5) END AS level, CASE WHEN day(ts) <= 15 THEN user_id::DOUBLE ELSE (user_id % 9 + 0.25)::DOUBLE END AS score,
+  concat(user_id % 3, ',', user_id % 4) AS steps, 'device string, level variant, place struct<tag:string,x:bigint>, score decimal(21,2), steps array<bigint>' AS kinds FROM events WHERE event_type <> 'error'""")
+def event_fields(spark, d):
+    """Events whose added fields are nested or change their types between two loads, as columns in the types that hold both."""
+    root = new_folder(spark, "fields")
+    early, u = F.dayofmonth("ts") <= 15, F.col("user_id")
+    place = F.struct((u % 7).alias("x"), F.when(u % 3 == 0, F.concat(F.lit("k"), u)).alias("tag"))
+    number = lambda c: F.when(early, c)
+    more = {"place": place, "steps": F.array(u % 3, u % 4), "level": number(u % 5), "score": number(u)}
+    late = {"level": F.when(~early, F.concat(F.lit("level "), u % 5)), "score": F.when(~early, (u % 9 + F.lit(0.25).cast("double")))}
+    events = table(spark, d, "events").withColumn("text", click_text(device=True))
+    join = lambda fields: F.concat(F.expr("left(text, length(text) - 1)"), F.lit(","), F.substring(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])), 2, 1 << 30))
+    m = flows.Medallion(spark, f"{root}/lake")
+    for name, part in (("a", events.where(early).select(join(more))), ("b", events.where(~early).select(join(more | late)))):
+        part.write.text(f"{root}/landing/{name}")
+        m.bronze(f"{root}/landing/*")
+        m.silver()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.fields().fields)
+    return m.events().select("event_id", "device", F.col("place.x").alias("place_x"), F.col("place.tag").alias("place_tag"), "level", F.col("score").cast("double").alias("score"), F.concat_ws(",", F.col("steps").cast("array<string>")).alias("steps"), F.lit(kinds).alias("kinds"))
+
+
 # --- click sink --------------------------------------------------------------------------------------------------------
 
 _PRODUCTS = [str(i) for i in range(90)]
