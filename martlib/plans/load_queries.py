@@ -330,14 +330,16 @@ def tip_rates(spark, d):
 
 
 def _rides(spark, d) -> DataFrame:
-    """Events as rides of as many minutes as their value, less half a minute; ids are shared by three, and some have none."""
+    """Events as rides of as many minutes as their value, less half a minute; ids are shared by three, and some have none. Of rides
+    with one id, start and end the first event counts."""
     e = table(spark, d, "events")
     start = F.date_trunc("second", F.col("ts").cast("timestamp"))
     raw = e.select(
         F.when(F.col("event_id") % 50 != 0, F.col("event_id") - F.col("event_id") % 3).alias("ride_id"), start.alias("started_at"), F.timestamp_seconds(F.unix_seconds(start) + (F.col("value") * 60).cast("bigint") - 30).alias("ended_at"),
         F.when(F.col("user_id") % 2 == 0, "member").otherwise("casual").alias("member_casual"), F.when(F.col("event_type") == "click", "electric_bike").otherwise("classic_bike").alias("rideable_type"),
+        "event_id",
     )
-    return P.clean_rides(raw)
+    return P.clean_rides(raw, ties=("event_id",)).drop("event_id")
 
 
 _RIDES = """r AS (SELECT CASE WHEN event_id % 50 <> 0 THEN event_id - event_id % 3 END AS ride_id, date_trunc('second', ts) AS a, date_trunc('second', ts) + to_seconds(trunc(value * 60)::BIGINT - 30) AS b, CASE WHEN user_id % 2 = 0 THEN 'member' ELSE 'casual' END AS member_casual, event_type FROM events),
