@@ -30,6 +30,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
+def percent_of(a: Column, b: Column, digits: int = 1) -> Column:
+    """100 * a / b rounded, null where b is 0. The product comes first: it is exact for counts, where 100 * (a / b) can end below a
+    half (23 of 80: 28.749999999999996)."""
+    return F.round(ratio(100.0 * a, b), digits)
+
+
 def pct(flag: Column | str, digits: int = 1) -> Column:
     """Aggregate: 100 times the mean of a boolean, nulls left out."""
     return F.round(100 * F.avg(col(flag).cast("int")), digits)

@@ -32,7 +32,7 @@ def rollup_within(df: DataFrame, rolled: list[str], fixed: list[str], aggs: dict
 def share_of_total(counts: DataFrame, c: str, name: str = "share_pct", digits: int = 2) -> DataFrame:
     """Per cent of the total of all rows; counts has a row for each group."""
     total = counts.agg(F.sum(c).alias("__all"))
-    return counts.crossJoin(F.broadcast(total)).withColumn(name, F.round(100 * C.ratio(F.col(c), F.col("__all")), digits)).drop("__all")
+    return counts.crossJoin(F.broadcast(total)).withColumn(name, C.percent_of(F.col(c), F.col("__all"), digits)).drop("__all")
 
 
 def per_day_average(day: Column) -> Column:

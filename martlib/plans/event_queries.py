@@ -98,7 +98,7 @@ def station_hours(spark, d):
     g = e.groupBy((F.col("user_id") % 40).alias("station_id"), F.date_trunc("hour", "ts").alias("taken_at")).agg(
         F.count("*").alias("bikes"), F.count(F.when(F.col("event_type") == "click", 1)).alias("ebike"), F.bool_or(F.col("event_type") == "error").alias("is_empty"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("docks"))
     full = F.col("docks") == 0
-    return g.withColumns({"is_operating": F.lit(True), "is_full": full, "snapshot_id": F.date_format("taken_at", "yyyyMMddHH"), "taken_at_local": F.col("taken_at"), "fill_pct": F.round(100 * C.ratio(F.col("bikes"), F.col("bikes") + F.col("docks")), 1)})
+    return g.withColumns({"is_operating": F.lit(True), "is_full": full, "snapshot_id": F.date_format("taken_at", "yyyyMMddHH"), "taken_at_local": F.col("taken_at"), "fill_pct": C.percent_of(F.col("bikes"), F.col("bikes") + F.col("docks"))})
 
 
 def stations(spark, d):

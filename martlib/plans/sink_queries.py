@@ -36,7 +36,8 @@ def query(sql: str | None = None):
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """A document for each day: what each station has, as counts of the day's events."""
+    """A document for each day, taken at eleven in Paris: what each station has, as counts of the day's events."""
+    taken = F.to_utc_timestamp(F.col("date").cast("timestamp") + F.expr("INTERVAL 11 HOURS"), "Europe/Paris")
     n = lambda kind: F.count(F.when(F.col("event_type") == kind, 1)).cast("int")
     e = table(spark, d, "events").groupBy(F.to_date("ts").alias("date"), (F.col("user_id") % 40).alias("station_id")).agg(n("view").alias("m"), n("click").alias("e"), n("purchase").alias("docks"), n("error").alias("errors"))
     code = ((F.col("station_id") + 1) * 1000 + 7).cast("string").alias("stationCode")
@@ -45,7 +46,7 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     info = F.struct("station_id", code, F.concat(F.lit("s"), F.col("station_id").cast("string")).alias("name"), F.lit(48.5).alias("lat"), F.lit(2.5).alias("lon"), F.dayofmonth("date").alias("capacity"))
     days = e.groupBy("date").agg(F.collect_list(status).alias("s"), F.collect_list(info).alias("i"))  # 40 stations at most
     of = lambda c: F.struct(F.struct(F.col(c).alias("stations")).alias("data"))
-    return days.select("date", F.date_format("date", "yyyyMMdd").alias("snapshot_id"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T10:00:00Z")).alias("taken_at"), of("i").alias("information"), of("s").alias("status"))
+    return days.select("date", F.date_format("date", "yyyyMMdd").alias("snapshot_id"), F.date_format(taken, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("taken_at"), of("i").alias("information"), of("s").alias("status"))
 
 
 def _loaded_stations(spark: SparkSession, d: str) -> str:
