@@ -69,10 +69,12 @@ def versions_of_days(days: DataFrame, key: str, attribute: str, day: str) -> Dat
     return close_intervals(versions, [key])
 
 
-def last_of_day(events: DataFrame, key: str, attribute: str, at: str, tie: str, day: str = "day") -> DataFrame:
-    """(key, day, attribute): the last value of each key on each day; rows without a key are left out."""
-    last = F.max_by(attribute, F.struct(at, tie)).alias(attribute)
-    return events.where(F.col(key).isNotNull()).groupBy(key, F.to_date(at).alias(day)).agg(last)
+def last_of_day(events: DataFrame, key: str, attribute: str, at: str, tie: str, day: str = "day", sums: dict[str, Column] | None = None, groups: bool = False) -> DataFrame:
+    """(key, day, attribute): the last value of each key on each day, with further aggregates `sums`. Rows without a key are left
+    out; with groups they are a row for each of their attributes and days."""
+    last, more = F.max_by(attribute, F.struct(at, tie)).alias(attribute), [c.alias(n) for n, c in (sums or {}).items()]
+    group = F.when(F.col(key).isNull(), F.col(attribute)).alias("__group")
+    return events.where(F.lit(groups) | F.col(key).isNotNull()).groupBy(key, F.to_date(at).alias(day), group).agg(last, *more).drop("__group")
 
 
 def splice_versions(dim: DataFrame, seen: DataFrame, replaced: DataFrame, fresh: DataFrame, key: str, attribute: str, day: str = "day") -> DataFrame:

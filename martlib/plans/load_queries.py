@@ -23,7 +23,7 @@ from martlib.plans.shop_queries import _VERSIONS, versions
 from martlib.sources import lake, readers, writers
 from martlib.sources.layout import ClusteredTable
 from martlib.sources.readers import table
-from martlib.sources.scratch import new_folder
+from martlib.sources.scratch import materialize, new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,6 +55,11 @@ def feed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def delivered(spark: SparkSession, d: str) -> DataFrame:
+    """The feed written once, for loads that read it several times: each read would join lines with orders anew."""
+    return materialize(feed(spark, d), "feed")
+
+
 def staged(spark: SparkSession, d: str) -> DataFrame:
     return P.stage_sales_lines(feed(spark, d).withColumn("batch_date", F.to_date("invoiced_at")))
 
@@ -73,7 +78,7 @@ SELECT st.day AS batch_date, count(*) AS lines, sum(revenue)::DECIMAL(18,2) AS r
 FROM st LEFT JOIN o ON st.day = o.day WHERE NOT is_rejected GROUP BY 1""")
 def daily_loader(spark, d):
     """All days at once, and then the last two days again as daily batches: they replace themselves and change nothing."""
-    loader, lines = flows.DailyLoader(spark, new_folder(spark, "shop")), feed(spark, d)
+    loader, lines = flows.DailyLoader(spark, new_folder(spark, "shop")), delivered(spark, d)
     loader.rebuild(lines)
     last = [str(r["day"]) for r in readers.trading_days(lines, "invoiced_at").orderBy(F.desc("day")).limit(2).collect()][::-1]
     loader.backfill(lines, last)
@@ -92,7 +97,7 @@ SELECT * FROM a UNION ALL SELECT DATE '2031-01-01', 0::BIGINT, 0::BIGINT, 0::BIG
 def load_audit(spark, d):
     """What the loader wrote down of its runs, by day: all days in two runs, a day without lines (which must not be empty), and a
     run whose lines are of another day than it names."""
-    loader, lines = flows.DailyLoader(spark, new_folder(spark, "audited")), feed(spark, d)
+    loader, lines = flows.DailyLoader(spark, new_folder(spark, "audited")), delivered(spark, d)
     days = _numbered_days(lines)
     loader.backfill(lines, days, at_once=1 + len(days) // 2)
     for named, some in (("2031-01-01", lines.where(F.lit(False))), ("2031-01-02", readers.lines_for_day(lines, "invoiced_at", days[0], ["line_id"]))):
@@ -114,7 +119,7 @@ SELECT u.*, s.lines, s.revenue FROM u JOIN s USING (customer_id, valid_from)""")
 def late_days(spark, d):
     """Every second day is loaded, then every third of the others, backwards in two runs, and the first run's last days again: the
     history, and the sales of each version, are those of all these days together."""
-    loader, lines = flows.DailyLoader(spark, new_folder(spark, "late")), feed(spark, d)
+    loader, lines = flows.DailyLoader(spark, new_folder(spark, "late")), delivered(spark, d)
     days = _numbered_days(lines)
     even, late = days[::2], days[1::6][::-1]
     loader.backfill(lines, even, at_once=len(even))

@@ -50,7 +50,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     folder = new_folder(df.sparkSession, label)
     _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(folder)
     path = f"{folder}/t"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

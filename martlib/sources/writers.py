@@ -128,7 +128,7 @@ class Publisher:
 
     def write(self, run: str, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/runs/{run}/{name}"
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path, compression="zstd")
         return self.spark.read.parquet(path)
 
     def publish(self, run: str) -> None:

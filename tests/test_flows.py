@@ -150,6 +150,14 @@ def test_days_in_any_order_and_number(spark, tmp_path, seed):
     assert loader.facts().count() == once.facts().count() + sum(str(r[5].date()) == days[-1] and r[4] != 0 for r in lines)
 
 
+def test_versions_are_looked_up_by_member_and_day(spark, tmp_path, monkeypatch):
+    """Not line by line: four good lines are of two members on three days."""
+    looked, whole = [], J.resolve_member
+    monkeypatch.setattr(J, "resolve_member", lambda fact, *more: looked.append(fact.count()) or whole(fact, *more))
+    counts = flows.DailyLoader(spark, str(tmp_path / "shop")).rebuild(spark.createDataFrame(DAY1 + DAY2, LINES))
+    assert (counts["raw"], counts["facts"], looked) == (5, 4, [3])
+
+
 def test_every_run_is_written_down(spark, tmp_path, monkeypatch):
     """Checks and counts of a good run; a run that fails a check; one that breaks before its checks; one with lines of other days."""
     feed = spark.createDataFrame(DAY1 + DAY2, LINES)
