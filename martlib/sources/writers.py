@@ -50,7 +50,8 @@ def force_compute(df: DataFrame) -> None:
 
 
 def compact_partitions(spark: SparkSession, path: str, columns: list[str], sort: str, files: int) -> None:
-    """Rewrite partitions as few files, rows near each other by sort.
+    """Rewrite partitions as few files, rows near each other by sort: a file for each partition if `files` is no more than there are
+    partitions, each sorted by a task of its own, and else about `files` ranges of the whole table.
 
     The files to be replaced are listed, and the new ones are complete aside, before anything changes. Then these are moved into
     the table, and the listed files are deleted, no others: files that were appended meanwhile stay. A run that ends at any
@@ -67,7 +68,15 @@ def compact_partitions(spark: SparkSession, path: str, columns: list[str], sort:
         if not names:
             return
         spark.createDataFrame([(n,) for n in names], "path string").coalesce(1).write.mode("overwrite").parquet(listed)
-        spread = table.parquet(*names).repartitionByRange(files, *columns, sort).sortWithinPartitions(*columns, sort)
+        rows = table.parquet(*names)
+        values = rows.select(*columns).distinct().orderBy(*columns).collect()  # a row for each partition
+        if files <= len(values):
+            place = [F.struct(*[F.lit(v[c]).cast(rows.schema[c].dataType).alias(c) for c in columns]) for v in values]
+            number = F.array_position(F.array(*place), F.struct(*columns)).cast("int") - 1
+            spread = rows.repartitionById(len(values), number)
+        else:
+            spread = rows.repartitionByRange(files, *columns, sort)
+        spread = spread.sortWithinPartitions(*columns, sort)
         spread.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).parquet(aside)
     _move_files(spark, aside, path)
     fs = _fs(spark, path)[0]

@@ -163,6 +163,19 @@ def test_compaction_keeps_what_was_appended_after_a_crash(spark, tmp_path, monke
     assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
 
 
+def test_compaction_gives_each_partition_a_task(spark, tmp_path, monkeypatch):
+    """One file for each partition, and no task that gets the whole table; a null value is a partition, too."""
+    path, tasks = str(tmp_path / "t"), []
+    df = spark.createDataFrame([(i, [2001, 2002, 2003, None][i % 4]) for i in range(40)], "v long, y int")
+    df.repartition(4).write.partitionBy("y").parquet(path)
+    whole = writers._move_files
+    seen = lambda s, source, *more: tasks.extend(p.name.split("-")[1] for p in (tmp_path / "t_compact").rglob("part-*.parquet")) or whole(s, source, *more)
+    monkeypatch.setattr(writers, "_move_files", seen)
+    writers.compact_partitions(spark, path, ["y"], "v", 1)
+    assert rows(spark.read.parquet(path), "v", "y") == rows(df, "v", "y")
+    assert len(tasks) == 4 and len(set(tasks)) == 4
+
+
 def test_shared_folder_has_to_be_named_on_a_cluster(spark, monkeypatch):
     from martlib.sources import scratch
 
