@@ -29,3 +29,21 @@ def rows(df, *columns):
     """Sorted tuples."""
     out = df.select(*columns) if columns else df
     return sorted((tuple(r) for r in out.collect()), key=lambda t: tuple((x is not None, str(type(x)) if isinstance(x, (dict, list)) else "", x if x is not None else 0) for x in t))
+
+
+def plan_nodes(spark, run):
+    """(name, metrics by name) of the nodes in the plans of all that run() executes."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    bus.waitUntilEmpty()
+    before = {e.executionId() for e in listed(store.executionsList())}
+    run()
+    bus.waitUntilEmpty()
+    out = []
+    for e in listed(store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for node in listed(store.planGraph(e.executionId()).allNodes()):
+                metrics = {m.name(): values.get(m.accumulatorId()) for m in listed(node.metrics())}
+                out.append((node.name(), {k: v.get() for k, v in metrics.items() if v.isDefined()}))
+    return out

@@ -10,7 +10,7 @@ from martlib.operators import aggregates as A
 from martlib.operators import joins as J
 from martlib.operators import quantiles as Q
 from martlib.operators import windows as W
-from tests.conftest import rows
+from tests.conftest import plan_nodes, rows
 
 VALUES = {
     "long": ([3, 3, None, -(2**62), 2**62, 2**62 - 1, 0, 1] + list(range(50)), "long"),
@@ -95,3 +95,15 @@ def test_salted_join_without_keys(spark):
     small = spark.createDataFrame([(1, "x"), (5, "y"), (None, "z")], "k long, name string")
     for how in ("left", "inner"):
         assert rows(J.salted_join(big, small, "k", 4, how), "k", "id", "name") == rows(big.join(small, "k", how), "k", "id", "name")
+
+
+def test_places_share_their_ranges(spark):
+    """A row is counted once a round, not once for each place; long values over the whole range of a long."""
+    values = [(-(2**63) + i if i % 2 else 2**63 - 1 - i * i, i) for i in range(3000)]
+    df = spark.createDataFrame(values, "x long, id long")
+    found: dict = {}
+    nodes = plan_nodes(spark, lambda: found.update(Q.percent_rank_cuts(df, ["x", "id"], 32)))
+    for n, c in enumerate(("x", "id")):
+        assert found[c] == [sorted(v[n] for v in values)[-(-s * 2999 // 32) - 1] for s in range(1, 32)]
+    counted = [int(m["number of output rows"].replace(",", "")) for name, m in nodes if "Join" in name and m.get("number of output rows")]
+    assert max(counted) <= 6000
