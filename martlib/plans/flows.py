@@ -19,7 +19,7 @@ from martlib.operators import variants as V
 from martlib.operators.windows import latest_per_key
 from martlib.plans import marts as K
 from martlib.sources import readers as R
-from martlib.sources.writers import Publisher, State, _fs, overwrite_partitions, quarantine
+from martlib.sources.writers import Publisher, State, _delete, _fs, full_reload, overwrite_partitions, quarantine
 
 CUSTOMERS = "customer_id long, country string, valid_from date, valid_to date, is_current boolean"
 BRONZE = "value string, _source_file string, _ingested_at timestamp, _landing_date date"
@@ -283,13 +283,16 @@ class Medallion:
         return ingest_new_files(self.spark, landing, f"{self.root}/bronze", f"{self.root}/bronze_checkpoint")
 
     def silver(self) -> dict:
-        """New lines as events; rejected lines go to quarantine. A run that is repeated after a crash writes its own rows again."""
+        """New lines as events; rejected lines go to quarantine. A run that is repeated after a crash writes its own rows again.
+
+        Lines are parsed twice: for the fields that there are, and to be judged. Judged events are a table until the run ends, which
+        tasks read in file splits; a cached split of bronze is many times as large, as lines are unpacked in it."""
         last = self.state.get("silver")
-        new = R.changes_since(self._lines().withColumn("__v", F.unix_micros("_ingested_at")), "__v", last).withColumn("__object", V.parse_object()).persist()
+        new = R.changes_since(self._lines().withColumn("__v", F.unix_micros("_ingested_at")), "__v", last).withColumn("__object", V.parse_object())
         try:
             return self._silver(new)
         finally:
-            new.unpersist()
+            _delete(self.spark, f"{self.root}/judged")
 
     def _lines(self) -> DataFrame:
         """Bronze by its own schema: before the first file arrives there is nothing to infer one from."""
@@ -301,8 +304,9 @@ class Medallion:
         if version is None:
             return {"inserted": 0, "rejected": 0}
         more = V.column_names(set(V.as_fields(types).fieldNames()) - set(P.EVENT_SCHEMA.fieldNames()), SILVER)
-        parsed = new.select("value", P.event_struct("__object", more).alias("e"), "_source_file", "_landing_date")
-        valid, bad = P.judge_events(parsed, [*P.EVENT_SCHEMA.fieldNames(), *more])
+        judged = P.tag_events(new.select("value", P.event_struct("__object", more).alias("e"), "_source_file", "_landing_date"))
+        full_reload(judged, f"{self.root}/judged")
+        valid, bad = P.split_events(self.spark.read.schema(judged.schema).parquet(f"{self.root}/judged"), [*P.EVENT_SCHEMA.fieldNames(), *more])
         overwrite_partitions(self.spark.createDataFrame([(types, str(version))], "types string, batch string"), f"{self.root}/fields", ["batch"])
         seen = self._table("silver")
         if seen is not None:

@@ -13,7 +13,7 @@ from martlib.operators import joins as J
 from martlib.operators import quality as Q
 from martlib.plans import flows
 from martlib.sources import readers
-from tests.conftest import rows
+from tests.conftest import plan_nodes, rows
 
 LINES = "line_id long, invoice string, stock_code string, description string, quantity int, invoiced_at timestamp, unit_price decimal(10,2), customer_id long, country string"
 DAY1 = [
@@ -188,3 +188,18 @@ def test_medallion_without_files(spark, tmp_path):
         assert m.run(str(tmp_path / "land")) == {"lines": 0, "inserted": 0, "rejected": 0, "dates": 0}
     (tmp_path / "land/a.jsonl").write_text(event(1, "2024-01-01", "product_view"))
     assert m.run(str(tmp_path / "land"))["inserted"] == 1
+
+
+def test_silver_caches_no_lines(spark, tmp_path):
+    """A task reads splits of files, not cached partitions, whose size nothing bounds; the judged events go when the run ends."""
+    (tmp_path / "land").mkdir()
+    m = flows.Medallion(spark, str(tmp_path / "lake"))
+    for k in (1, 2):
+        (tmp_path / f"land/{k}.jsonl").write_text("\n".join([event(k, "2024-01-01", "product_view", **{"a b": k, "e.f": {"x": k}}), "broken"]))
+        m.bronze(str(tmp_path / "land"))
+        done: dict = {}
+        nodes = plan_nodes(spark, lambda: done.update(m.silver()))  # noqa: B023
+        assert done == {"inserted": 1, "rejected": 1}
+        assert any("parquet" in name for name, _ in nodes) and not [name for name, _ in nodes if "InMemory" in name]
+        assert not (tmp_path / "lake/judged").exists()
+    assert rows(m.events(), "`a b`", "`e.f`.x") == [(1, 1), (2, 2)]
