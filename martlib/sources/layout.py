@@ -27,6 +27,24 @@ def interleaved(df: DataFrame, columns: list[str], bits: int = BITS) -> Column:
     return key
 
 
+def even_cuts(cells: list[tuple[int, int]], files: int) -> list[int] | None:
+    """The last cell of each file but the last one, for files of about as many rows. cells: (number, rows) in order. A cut lies within a
+    quarter of a file of its even place, before the roundest number there: cells that share their leading bits lie near each other,
+    and a file that ends among them reaches into two such groups. None if one place has no end of a cell so near."""
+    share, ends, upto = sum(rows for _, rows in cells) / files, [], 0
+    for (cell, rows), (after, _) in zip(cells, cells[1:]):
+        upto += rows
+        # the highest bit in which a cell differs from the next one: the higher, the rounder the place between them
+        ends.append((upto, (cell ^ after).bit_length(), cell))
+    cuts = []
+    for n in range(1, files):
+        near = [(-roundness, abs(upto - n * share), cell) for upto, roundness, cell in ends if abs(upto - n * share) < share / 4]
+        if not near:
+            return None
+        cuts.append(min(near)[2])
+    return cuts
+
+
 class ClusteredTable:
     """A table in files of rows near each other in several columns, with a table of each file's least and greatest values.
 
@@ -41,12 +59,21 @@ class ClusteredTable:
         """Replace the table by df, in about so many files. df may read the table."""
         run = uuid.uuid4().hex
         keyed = df.withColumn("__key", interleaved(df, self.columns))
-        data = self.tables.write(run, "data", keyed.repartitionByRange(files, "__key", *self.columns).sortWithinPartitions("__key", *self.columns).drop("__key"))
+        data = self.tables.write(run, "data", self._dealt(keyed, files).sortWithinPartitions("__key", *self.columns).drop("__key"))
         spans = [f(c).alias(f"{n}_{c}") for c in self.columns for n, f in (("low", F.min), ("high", F.max))] + [F.count(F.lit(1)).alias("rows")]
         nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in self.columns]
         self.tables.write(run, "files", data.select("*", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(*spans, *nulls).coalesce(1))
         self.tables.publish(run)
 
+    def _dealt(self, keyed: DataFrame, files: int) -> DataFrame:
+        """Rows of a file together: cut where the leading bits of the key change, or in ranges of any values if some are too many."""
+        unused = max(0, BITS * len(self.columns) - files.bit_length() - 5)  # 32 to 64 cells a file
+        keyed = keyed.withColumn("__cell", F.shiftright("__key", unused))
+        cuts = even_cuts(sorted(tuple(r) for r in keyed.groupBy("__cell").count().collect()), files)
+        if cuts is None:
+            return keyed.drop("__cell").repartitionByRange(files, "__key", *self.columns)
+        return keyed.repartitionById(files, score_of(keyed, "__cell", cuts) - 1).drop("__cell")
+
     def compact(self, files: int) -> None:
         """The same rows, clustered anew."""
         self.write(self.all(), files)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martlib.plans import flows
-from martlib.sources.layout import ClusteredTable
+from martlib.sources.layout import ClusteredTable, even_cuts
 from tests.conftest import rows
 
 
@@ -29,6 +29,24 @@ def test_clustered_table(spark, tmp_path, monkeypatch):
     assert rows(t.all()) == before and t.picked({})[1] == 4
 
 
+def test_files_end_where_classes_do(spark, tmp_path):
+    """A quarter of one column's values and a few more, as values are not dealt evenly, lies in half of the files at most."""
+    df = spark.range(40000).select(F.pmod(F.xxhash64("id"), F.lit(2500)).alias("x"), F.pmod(F.xxhash64(-F.col("id")), F.lit(20000)).alias("y"))
+    t = ClusteredTable(spark, str(tmp_path / "t"), ["x", "y"])
+    t.write(df, 32)
+    for ranges, test in (({"y": (20, 5200)}, "y BETWEEN 20 AND 5200"), ({"x": (None, 650)}, "x <= 650")):
+        files, every = t.picked(ranges)
+        assert every == 32 and len(files) <= 16
+        assert t.read(ranges).count() == df.where(test).count()
+
+
+def test_even_cuts():
+    assert even_cuts([(c, 10) for c in range(16)], 4) == [3, 7, 11]
+    assert even_cuts([(c, 9 if c < 8 else 11) for c in range(16)], 2) == [7]
+    assert even_cuts([(0, 10), (1, 1000), (2, 10)], 4) is None and even_cuts([], 2) is None
+    assert even_cuts([(5, 3)], 1) == []
+
+
 def test_ledger_by_content(spark, tmp_path, monkeypatch):
     land, lake = tmp_path / "in", str(tmp_path / "lake")
     land.mkdir()
